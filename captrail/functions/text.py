@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def fold(c: Column) -> Column:
@@ -30,7 +31,7 @@ def compact_caption(c: Column) -> Column:
     return F.regexp_replace(fold(c), r"[^\p{L}\p{N}_]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _norm_eval_unicode(values: pd.Series) -> pd.Series:
     def one(value):
         if value is None:

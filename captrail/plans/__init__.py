@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timeline",)
+MODULES = ("timeline", "scalars", "video")
 
 
 def load_all() -> None:

@@ -19,7 +19,7 @@ BASE = (
 _CUES = """
 select video_id, cue_id, text, start_ms, end_ms,
        cast(start_ms as double) / 1000 as start_time, cast(end_ms as double) / 1000 as end_time,
-       cast(50 + cue_id % 50 as double) / 100 as confidence,
+       case when cue_id % 4 = 1 then cast(98 as double) / 100 else cast(50 + cue_id % 50 as double) / 100 end as confidence,
        case when boxed then x1 end as x1, case when boxed then y1 end as y1,
        case when boxed then x1 + w end as x2, case when boxed then y1 + h end as y2
 from (
@@ -31,9 +31,9 @@ from (
     event_id * 25 + event_id % 7 as start_ms,
     event_id * 25 + event_id % 7 + 200 + cast(floor(value * 10) as bigint) % 1500 as end_ms,
     event_id % 23 <> 0 as boxed,
-    cast(100 + (event_id % 3) * 40 as int) as x1,
-    cast(500 + (event_id % 4) * 60 as int) as y1,
-    cast(200 + (event_id % 5) * 60 as int) as w,
+    cast(100 + (event_id % 3) * 20 as int) as x1,
+    cast(500 + (event_id % 3) * 60 as int) as y1,
+    cast(240 + (event_id % 5) * 40 as int) as w,
     cast(case when event_id % 19 = 0 then 110 when event_id % 11 = 0 then 15 else 50 end as int) as h
   from {events}
 ) e
