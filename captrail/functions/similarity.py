@@ -8,7 +8,6 @@ matcher in an Arrow UDF.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,7 +65,6 @@ def eval_similarity(a_compact: Column, b_compact: Column, at_least: float = 0.0)
     return F.coalesce(shortcut, ratio, F.lit(0.0))
 
 
-@lru_cache(maxsize=200_000)
 def caption_score(a_norm: str, b_norm: str) -> float:
     """The same score inside Python kernels."""
     if not a_norm or not b_norm:
@@ -76,3 +74,9 @@ def caption_score(a_norm: str, b_norm: str) -> float:
         share = len(short) / len(long)
         return 0.72 + share * 0.28 if " " in short else share
     return SequenceMatcher(None, a_norm, b_norm).ratio()
+
+
+def could_reach(a_norm: str, b_norm: str, at_least: float) -> bool:
+    """False when the lengths alone keep the matcher below ``at_least``."""
+    la, lb = len(a_norm), len(b_norm)
+    return 2 * min(la, lb) >= at_least * (la + lb) or a_norm in b_norm or b_norm in a_norm

@@ -32,7 +32,10 @@ def fold_groups(
 ) -> DataFrame:
     arrow_schema = to_arrow_schema(schema)
     keys = list(keys)
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # A fixed number of partitions: folds are bound by CPU, so small inputs must not
+    # be coalesced into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches):
         current, fold, out = None, None, []

@@ -5,6 +5,10 @@ fails when one video holds a large share of all rows. Here every key is cut
 into chunks of bounded length along its order. Windows run per (key, chunk),
 each chunk is reduced to one small carry row, the carries are scanned per key,
 and the result is joined back. The values equal those of the plain window.
+
+Windows and carries read the same shuffle: both branches start from one explicit
+repartition and touch every column, so that pruning leaves the two exchanges
+identical and Spark reuses the first. The input is computed once.
 """
 
 from __future__ import annotations
@@ -51,7 +55,10 @@ def ordered(
     max_before, running_sum = dict(max_before or {}), dict(running_sum or {})
     last_seen, next_seen = dict(last_seen or {}), dict(next_seen or {})
 
-    keyed = df.withColumn(CHUNK, chunk)
+    present = F.expr(" and ".join(f"`{c}` is not null" for c in [*keys, CHUNK]))
+    keyed = df.withColumn(CHUNK, chunk).where(present).repartition(*keys, CHUNK)
+    # Always true, but only at run time: keeps all columns in both branches.
+    touched = F.try_add(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(0))
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,8 +115,10 @@ def ordered(
             F.col(f"_h_{number}") + F.coalesce(F.col(f"_c_{number}"), F.lit(0))
         ).cast("long")
 
-    carries = keyed.groupBy(*keys, CHUNK).agg(*summary).select(*keys, CHUNK, *carry)
-    joined = keyed.withColumns(here).join(carries, [*keys, CHUNK])
+    carries = keyed.groupBy(*keys, CHUNK).agg(*summary, F.bit_or(touched).alias("_all")).select(
+        *keys, CHUNK, *carry, "_all"
+    ).where("_all is not null").drop("_all")
+    joined = keyed.withColumns(here).where(touched.isNotNull()).join(carries, [*keys, CHUNK])
     return joined.select(*[F.col(c) for c in df.columns], *[v.alias(k) for k, v in final.items()])
 
 

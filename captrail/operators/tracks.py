@@ -12,7 +12,7 @@ from captrail.config import CaptionConfig
 from captrail.functions import pybox as B
 from captrail.functions import text as TX
 from captrail.functions.numeric import half_even
-from captrail.functions.similarity import caption_score
+from captrail.functions.similarity import caption_score, could_reach
 from captrail.operators.folds import Fold, fold_groups
 from captrail.operators.ordered import ordered, time_chunk
 
@@ -62,6 +62,7 @@ class Association(Fold):
         self.open: list[_Track] = []
         self.count = 0
         self.now: list[dict] = []
+        self.known: dict[tuple[str, str], float] = {}
 
     def push(self, row):
         out = []
@@ -75,8 +76,19 @@ class Association(Fold):
     def finish(self):
         return self._settle() if self.now else ()
 
+    def _score(self, a: str, b: str) -> float:
+        """Caption score; 0 where it cannot reach the threshold. Captions repeat, so it is kept."""
+        if not could_reach(a, b, self.cfg.text_similarity_threshold):
+            return 0.0
+        score = self.known.get((a, b))
+        if score is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            score = self.known[a, b] = caption_score(a, b)
+        return score
+
     def _pair(self, track: _Track, seen: dict, gap: float) -> float | None:
-        score = caption_score(track.norm, seen["norm"])
+        score = self._score(track.norm, seen["norm"])
         words = frozenset(seen["norm"].split())
         grows = (
             bool(words and track.words) and (words <= track.words or track.words <= words)

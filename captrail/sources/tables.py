@@ -47,15 +47,26 @@ from {events}
 """
 
 _OBS = """
-select l_partkey % 100 as video_id, cast(floor(l_orderkey / 64) as bigint) as frame_index,
-       cast(floor(l_orderkey / 64) as double) / 2 as ts,
-       l_orderkey * 8 + l_linenumber as cand_no,
-       upper(p_name) as text, 1 - l_discount * 4 as confidence,
-       cast(100 + (l_partkey % 7) * 90 as int) as x1,
-       cast(400 + (l_linenumber % 5) * 55 as int) as y1,
-       cast(100 + (l_partkey % 7) * 90 + 120 + p_size * 5 as int) as x2,
-       cast(400 + (l_linenumber % 5) * 55 + 40 + (l_orderkey % 3) * 6 as int) as y2
-from {lineitem} join {part} on l_partkey = p_partkey
+select video_id, frame_index, cast(frame_index as double) / 2 as ts, cand_no,
+       case when noise = 0 then replace(words, 'O', '0') when noise = 1 then upper(p_name)
+            when frame_index % 6 < 3 then first_word else words end as text,
+       confidence, x1, y1, x2, y1 + h as y2
+from (
+  select l_partkey % 100 as video_id, cast(floor(l_orderkey / 64) as bigint) as frame_index,
+         l_orderkey * 8 + l_linenumber as cand_no, p_name, l_orderkey % 11 as noise,
+         concat(split_part('SMALL STAR,LARGE MOON,OLD ROAD,COLD RIVER,BRIGHT DOOR,FAST ROCKET,QUIET HOUSE,GOLDEN BOOK', ',',
+                cast((floor(l_orderkey / 384) + l_linenumber * 3 + l_partkey % 100) % 8 + 1 as int)), ' ',
+                split_part('POWER,GUIDE,LESSON,STORY,CORNER,NUMBER,WINDOW,FOLLOW', ',',
+                cast((floor(l_orderkey / 384) * 5 + l_linenumber + l_partkey % 100) % 8 + 1 as int))) as words,
+         split_part('SMALL STAR,LARGE MOON,OLD ROAD,COLD RIVER,BRIGHT DOOR,FAST ROCKET,QUIET HOUSE,GOLDEN BOOK', ',',
+                cast((floor(l_orderkey / 384) + l_linenumber * 3 + l_partkey % 100) % 8 + 1 as int)) as first_word,
+         1 - l_discount * 4 as confidence,
+         cast(200 + (l_partkey % 7) * 30 as int) as x1,
+         cast(400 + (l_linenumber % 5) * 55 + l_orderkey % 4 as int) as y1,
+         cast(200 + (l_partkey % 7) * 30 + 320 + p_size * 4 as int) as x2,
+         cast(40 + (l_orderkey % 3) * 6 as int) as h
+  from {lineitem} join {part} on l_partkey = p_partkey
+) o
 """
 
 _ASR = """
