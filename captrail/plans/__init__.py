@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timeline", "scalars", "video")
+MODULES = ("timeline", "scalars", "video", "tracks", "changes")
 
 
 def load_all() -> None:

@@ -144,10 +144,9 @@ s as (select video_id, cluster_id,
  coalesce(quantile_cont(x2/{Q.f(1920)}, 0.97) filter (inside), quantile_cont(x2/{Q.f(1920)}, 0.97)) as r,
  quantile_cont(y1/{Q.f(1080)}, 0.03) as t, quantile_cont(y2/{Q.f(1080)}, 0.97) as b, median(h) as th from c group by all),
 z as (select *, least({Q.f(.92)}, greatest({Q.f(.4)}, r-l+greatest({Q.f(.04)}, th*{Q.f(1.2)})*2)) as w, least({Q.f(.36)}, greatest({Q.f(.07)}, b-t+greatest({Q.f(.012)}, th*{Q.f(.45)})*2)) as h from s)
-select video_id, cluster_id, round(round_even(greatest(0, least(1-w, (l+r)/2-w/2)), 6), 5) as x, round(round_even(greatest(0, least(1-h, (t+b)/2-h/2)), 6), 5) as y, round(round_even(w, 6), 5) as width, round(round_even(h, 6), 5) as height from z"""))
+select video_id, cluster_id, round_even(greatest(0, least(1-w, (l+r)/2-w/2)), 6) as x, round_even(greatest(0, least(1-h, (t+b)/2-h/2)), 6) as y, round_even(w, 6) as width, round_even(h, 6) as height from z"""))
 def roi_from_cluster(spark, d):
-    out = R.roi_from_cluster(_members(spark, d), 1920, 1080)
-    return out.select("video_id", "cluster_id", *[F.round(c, 5).alias(c) for c in R.SIDES])
+    return R.roi_from_cluster(_members(spark, d), 1920, 1080)
 
 
 @query("estimate_roi")
