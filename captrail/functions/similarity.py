@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,30 +18,40 @@ from pyspark.sql import types as T
 from captrail.functions import text as TX
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio_junk(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _ratios(a, b, True)
-
-
-@F.pandas_udf(T.DoubleType())
-def _ratio_plain(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _ratios(a, b, False)
-
-
-def _ratios(a: pd.Series, b: pd.Series, autojunk: bool) -> pd.Series:
-    # The matcher indexes its second text, so pairs sharing it are kept together.
-    out = pd.Series([None] * len(a), dtype="float64")
-    matcher, indexed = None, None
-    order = b.fillna("").argsort(kind="stable") if len(b) > 1 else range(len(b))
-    for i in order:
-        left, right = a.iloc[i], b.iloc[i]
-        if left is None or right is None or pd.isna(left) or pd.isna(right):
-            continue
-        if right != indexed:
-            matcher, indexed = SequenceMatcher(None, "", right, autojunk=autojunk), right
-        matcher.set_seq1(left)
-        out.iloc[i] = matcher.ratio()
-    return out
+def _bag_bound(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Upper bound of the matcher ratio from the shared characters, for all pairs at once."""
+    codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
+    alphabet = {ch: i for i, ch in enumerate(sorted(set("".join(texts))))}
+    bags = np.zeros((len(texts), max(1, len(alphabet))), dtype="int32")
+    for row, text in enumerate(texts):
+        for ch in text:
+            bags[row, alphabet[ch]] += 1
+    left, right = bags[codes[: len(a)]], bags[codes[len(a):]]
+    return 2.0 * np.minimum(left, right).sum(axis=1) / np.maximum(1, left.sum(axis=1) + right.sum(axis=1))
+
+
+def matcher_udf(autojunk: bool, at_least: float = 0.0):
+    """Arrow UDF of the matcher ratio; 0 where it provably stays below ``at_least``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        todo = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        if len(todo):
+            out[todo] = 0.0
+            if at_least > 0:
+                todo = todo[_bag_bound(a.iloc[todo], b.iloc[todo]) >= at_least]
+            # The matcher indexes its second text, so pairs sharing it are kept together.
+            matcher, indexed = None, None
+            for i in todo[np.argsort(b.to_numpy()[todo], kind="stable")]:
+                left, right = a.iloc[i], b.iloc[i]
+                if right != indexed:
+                    matcher, indexed = SequenceMatcher(None, "", right, autojunk=autojunk), right
+                matcher.set_seq1(left)
+                out[i] = matcher.ratio()
+        return pd.Series(out)
+
+    return ratio
 
 
 def caption_similarity(a_norm: Column, b_norm: Column, at_least: float = 0.0) -> Column:
@@ -50,8 +61,8 @@ def caption_similarity(a_norm: Column, b_norm: Column, at_least: float = 0.0) ->
     """
     shortcut = TX.containment_score(a_norm, b_norm)
     open_pair = shortcut.isNull() & (TX.matcher_bound(a_norm, b_norm) >= at_least)
-    ratio = _ratio_junk(F.when(open_pair, a_norm), F.when(open_pair, b_norm))
-    return F.coalesce(shortcut, ratio, F.lit(0.0))
+    ratio = matcher_udf(True, at_least)(F.when(open_pair, a_norm), F.when(open_pair, b_norm))
+    return F.coalesce(shortcut, F.nanvl(ratio, F.lit(0.0)), F.lit(0.0))
 
 
 def eval_similarity(a_compact: Column, b_compact: Column, at_least: float = 0.0) -> Column:
@@ -61,8 +72,8 @@ def eval_similarity(a_compact: Column, b_compact: Column, at_least: float = 0.0)
         .when(a_compact == b_compact, F.lit(1.0))
     )
     open_pair = shortcut.isNull() & (TX.matcher_bound(a_compact, b_compact) >= at_least)
-    ratio = _ratio_plain(F.when(open_pair, a_compact), F.when(open_pair, b_compact))
-    return F.coalesce(shortcut, ratio, F.lit(0.0))
+    ratio = matcher_udf(False, at_least)(F.when(open_pair, a_compact), F.when(open_pair, b_compact))
+    return F.coalesce(shortcut, F.nanvl(ratio, F.lit(0.0)), F.lit(0.0))
 
 
 def caption_score(a_norm: str, b_norm: str) -> float:

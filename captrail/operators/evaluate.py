@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import math
-from difflib import SequenceMatcher
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +11,8 @@ from pyspark.sql import types as T
 from captrail.functions import geometry as G
 from captrail.functions import text as TX
 from captrail.functions.numeric import half_even, safe_ratio
-from captrail.functions.similarity import caption_similarity
-from captrail.operators.folds import Fold, fold_groups
+from captrail.functions.similarity import caption_similarity, eval_similarity
+from captrail.operators.folds import Fold, cut, fold_groups, spread
 from captrail.operators.intervals import overlap_join
 from captrail.operators.ordered import ordered
 
@@ -100,44 +97,13 @@ def merge_multiline(pred: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def _bag_bound(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Upper bound of the matcher ratio from the shared characters, for all pairs at once."""
-    texts = pd.unique(pd.concat([a, b], ignore_index=True))
-    alphabet = {ch: i for i, ch in enumerate(sorted(set("".join(texts))))}
-    bags = np.zeros((len(texts), len(alphabet)), dtype="int16")
-    for row, text in enumerate(texts):
-        for ch in text:
-            bags[row, alphabet[ch]] += 1
-    place = {t: i for i, t in enumerate(texts)}
-    ia, ib = a.map(place).to_numpy(), b.map(place).to_numpy()
-    shared = np.minimum(bags[ia], bags[ib]).sum(axis=1)
-    return 2.0 * shared / (bags[ia].sum(axis=1) + bags[ib].sum(axis=1))
-
-
-def _similar_udf(threshold: float):
-    @F.pandas_udf(T.DoubleType())
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.where((a == b).to_numpy(), 1.0, 0.0)
-        if len(a):
-            hopeful = np.flatnonzero((_bag_bound(a, b) >= threshold) & (out < 1.0))
-            matcher, indexed = None, None
-            for i in hopeful[np.argsort(b.to_numpy()[hopeful], kind="stable")]:
-                left, right = a.iloc[i], b.iloc[i]
-                if right != indexed:
-                    matcher, indexed = SequenceMatcher(None, "", right, autojunk=False), right
-                matcher.set_seq1(left)
-                out[i] = matcher.ratio()
-        return pd.Series(out)
-
-    return score
-
-
 def similar_texts(truth: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
     """Pairs of distinct compact texts of one video with similarity >= ``threshold``.
 
     Works on distinct texts. The length bound of the matcher (partners differ by
     at most a fixed ratio) becomes part of the join key as a length class, and
     is checked exactly before Python; a bound on shared characters comes next.
+    The texts of one video are spread over SALTS tasks.
     """
     ratio = threshold / (2.0 - threshold)
     scale = -math.log(ratio) if ratio < 1 else 1e-6
@@ -147,15 +113,25 @@ def similar_texts(truth: DataFrame, pred: DataFrame, threshold: float) -> DataFr
     cls = length_class(F.col("truth_text"))
     left = left.withColumn("_class", F.explode(F.array(cls - 1, cls, cls + 1)))
     right = right.withColumn("_class", length_class(F.col("pred_text")))
-    pairs = left.join(right, ["video_id", "_class"]).where(
-        TX.matcher_bound(F.col("truth_text"), F.col("pred_text")) >= threshold
-    )
+    a, b = F.col("truth_text"), F.col("pred_text")
+    pairs = _salted(left, right, "truth_text", ["video_id", "_class"]).where(TX.matcher_bound(a, b) >= threshold)
     scored = pairs.select("video_id", "truth_text", "pred_text").withColumn(
-        "similarity", _similar_udf(threshold)("truth_text", "pred_text")
+        "similarity", eval_similarity(a, b, threshold)
     )
     return scored.where(F.col("similarity") >= threshold)
 
 
+SALTS = 16
+
+
+def _salted(left: DataFrame, right: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """Equi-join of two text tables, each key split over SALTS tasks by the left text."""
+    l = left.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = [*keys, "_salt"]
+    return spread(l, *on).join(spread(r, *on), on).drop("_salt")
+
+
 class Alignment(Fold):
     """Best order-preserving pairing inside one block.
 
@@ -247,6 +223,7 @@ def _blocks(truth: DataFrame, pred: DataFrame, similar: DataFrame) -> tuple[Data
         behind.withColumn("_open", F.when(opens, F.col("idx"))), ["video_id"], ["idx"], chunk,
         last_seen={"block": "_open"},
     ).select("video_id", "idx", "block")
+    marked = cut(marked)
     # All partners of one prediction lie in one block; its first partner names it.
     home = similar.join(ends(truth, "truth"), ["video_id", "truth_text"]).groupBy(
         "video_id", F.col("pred_text").alias("compact")
@@ -265,7 +242,7 @@ def align_timelines(truth: DataFrame, pred: DataFrame, threshold: float = 0.72)
     as_long = [F.col(c).cast("long").alias(c) for c in cols[1:]]
     t = truth.select("video_id", *as_long, TX.compact_eval(F.col("text")).alias("compact"))
     p = pred.select("video_id", *as_long, TX.compact_eval(F.col("text")).alias("compact"))
-    similar = similar_texts(t, p, threshold)
+    similar = cut(similar_texts(t, p, threshold))
     tb, ph, first_block = _blocks(t, p, similar)
     k = F.col("compact").alias("k")
     t_rows = tb.select("video_id", "block", F.lit(0).alias("side"), *cols[1:], k, "similar")
@@ -398,24 +375,22 @@ def greedy_match(ref: DataFrame, pred: DataFrame) -> DataFrame:
     r, p = side(ref, "ref"), side(pred, "pred")
     rt, pt = (x.select("video_id", f"{n}_text").distinct() for x, n in ((r, "ref"), (p, "pred")))
     a, b = F.col("ref_text"), F.col("pred_text")
-    related = rt.join(pt, "video_id").where(
+    related = _salted(rt, pt, "ref_text", ["video_id"]).where(
         (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | (TX.matcher_bound(a, b) > 0.55))
     )
     alike = related.withColumn("similarity", caption_similarity(a, b, 0.55)).where("similarity > 0.55")
-    by_text = r.join(alike.drop("similarity"), ["video_id", "ref_text"]).join(p, ["video_id", "pred_text"])
+    cols = ["video_id", "ref_idx", "pred_idx", "ref_start", "ref_end", "pred_start", "pred_end", "similarity"]
+    by_text = r.join(alike, ["video_id", "ref_text"]).join(p, ["video_id", "pred_text"]).select(*cols)
     by_time = overlap_join(
         r, p, ["video_id"], (F.col("ref_start"), F.col("ref_end")), (F.col("pred_start"), F.col("pred_end")),
         G.intervals_overlap(F.col("ref_start"), F.col("ref_end"), F.col("pred_start"), F.col("pred_end")),
-    )
-    cols = ["video_id", "ref_idx", "pred_idx", "ref_text", "pred_text", "ref_start", "ref_end", "pred_start", "pred_end"]
-    pairs = by_text.select(*cols).union(by_time.select(*cols)).distinct()
+    ).withColumn("similarity", caption_similarity(a, b)).select(*cols)
+    keys = cols[:-1]
+    pairs = by_text.union(by_time).groupBy(*keys).agg(F.max("similarity").alias("similarity"))
     inter = F.greatest(F.lit(0.0), F.least("ref_end", "pred_end") - F.greatest("ref_start", "pred_start"))
     span = F.greatest("ref_end", "pred_end") - F.least("ref_start", "pred_start")
-    texts = pairs.select("ref_text", "pred_text").distinct().withColumn("similarity", caption_similarity(a, b))
-    scored = pairs.join(texts, ["ref_text", "pred_text"]).withColumn(
-        "score", F.coalesce(F.try_divide(inter, span), F.lit(0.0)) * F.lit(0.6) + F.col("similarity") * F.lit(0.4)
-    ).select("video_id", "ref_idx", "pred_idx", "similarity", "score", "ref_start", "ref_end", "pred_start", "pred_end",
-             (-F.col("score")).alias("_rank"))
+    score = F.coalesce(F.try_divide(inter, span), F.lit(0.0)) * F.lit(0.6) + F.col("similarity") * F.lit(0.4)
+    scored = pairs.withColumn("score", score).withColumn("_rank", -F.col("score"))
     return fold_groups(scored, ["video_id"], ["ref_idx", "_rank", "pred_idx"], GreedyPick, scored.schema).drop("_rank")
 
 
@@ -444,9 +419,12 @@ def error_rates(a_norm: Column, b_norm: Column) -> dict[str, Column]:
     """Word and character edits of ``b`` against reference ``a`` (normal forms)."""
     ta, tb = TX.tokens(a_norm), TX.tokens(b_norm)
     vocabulary = F.array_distinct(F.concat(ta, tb))
-    code = lambda ts: F.array_join(
-        F.transform(ts, lambda t: F.format_string("%c", (F.array_position(vocabulary, t) + F.lit(0x4E00)).cast("int"))), ""
-    )
+
+    def letter(word):  # one code point per distinct word, clear of the surrogates
+        at = F.array_position(vocabulary, word) + F.lit(255)
+        return F.format_string("%c", F.when(at < 0xD800, at).otherwise(at + F.lit(0x800)).cast("int"))
+
+    code = lambda ts: F.array_join(F.transform(ts, letter), "")
     return {
         "word_edits": F.levenshtein(code(ta), code(tb)), "words": F.size(ta),
         "char_edits": F.levenshtein(a_norm, b_norm), "chars": F.length(a_norm),
@@ -455,8 +433,9 @@ def error_rates(a_norm: Column, b_norm: Column) -> dict[str, Column]:
 
 def corpus_error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """WER and CER per key over (reference, hypothesis) text pairs."""
-    edits = error_rates(TX.norm_eval(F.col("reference")), TX.norm_eval(F.col("hypothesis")))
-    totals = pairs.withColumns(edits).groupBy(*keys).agg(
+    normal = pairs.withColumns({c: TX.norm_eval(F.col(c)) for c in ("reference", "hypothesis")})
+    edits = error_rates(F.col("reference"), F.col("hypothesis"))
+    totals = normal.withColumns(edits).groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("word_edits", "words", "char_edits", "chars")]
     )
     return totals.withColumns({

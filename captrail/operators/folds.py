@@ -32,10 +32,7 @@ def fold_groups(
 ) -> DataFrame:
     arrow_schema = to_arrow_schema(schema)
     keys = list(keys)
-    # A fixed number of partitions: folds are bound by CPU, so small inputs must not
-    # be coalesced into one task.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
+    placed = spread(df, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches):
         current, fold, out = None, None, []
@@ -58,6 +55,14 @@ def fold_groups(
     return placed.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by ``keys`` into the configured number of partitions, kept as they are.
+
+    For small inputs of CPU-bound stages, which Spark would merge into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a result that several branches read, in the shared checkpoint folder.
 

@@ -14,6 +14,7 @@ from captrail.config import CaptionConfig
 from captrail.functions import text as TX
 from captrail.functions.numeric import clamp01, finite_nonneg, half_even
 from captrail.operators.cues import resolve_overlaps
+from captrail.operators.folds import spread
 from captrail.operators.intervals import overlap_join
 
 WORD = "struct<word:string,start:double,end:double,confidence:double>"
@@ -253,7 +254,7 @@ def fuse_asr(events: DataFrame, asr: DataFrame, cfg: CaptionConfig = CaptionConf
     pairs = join_asr(
         events.select("video_id", "cue_id", "start_time", "end_time", "text", band.alias("_band")), asr, cfg.asr_pad_seconds
     )
-    texts = pairs.select("text", "asr_text", "_band").distinct()
+    texts = spread(pairs.select("text", "asr_text", "_band"), "text", "asr_text", "_band").distinct()
     graded = texts.withColumn("_m", asr_window_match("text", "asr_text", "_band")).select(
         "text", "asr_text", "_band", "_m.score", "_m.correction"
     )

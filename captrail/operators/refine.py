@@ -10,6 +10,7 @@ from captrail.functions import geometry as G
 from captrail.functions import text as TX
 from captrail.functions.numeric import clamp, half_even
 from captrail.functions.similarity import caption_similarity
+from captrail.operators.folds import spread
 from captrail.operators.intervals import points_in_spans
 
 
@@ -36,7 +37,7 @@ def event_frame_hits(
     inside = TX.token_subset(F.col("_on"), F.col("_en")) & (F.length("_on") >= 4)
     score = caption_similarity(F.col("_en"), F.col("_on"), threshold)
     # A few texts meet in many frames: one comparison per distinct pair of texts.
-    texts = pairs.select("_en", "_on").distinct().withColumn("_hit", inside | (score >= threshold))
+    texts = spread(pairs.select("_en", "_on"), "_en", "_on").distinct().withColumn("_hit", inside | (score >= threshold))
     alike = texts.where("_hit").select("_en", "_on")
     return pairs.join(alike, ["_en", "_on"], "left_semi").select(
         "video_id", "cue_id", *keep, "frame_index", "ts"
