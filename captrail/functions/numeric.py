@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def clamp01(c: Column) -> Column:
 
 
 def is_finite(c: Column) -> Column:
-    inf = float("inf")
-    return c.isNotNull() & ~F.isnan(c) & (c != inf) & (c != -inf)
+    """False for null, NaN (which sorts above every number) and infinities."""
+    return F.coalesce(F.abs(c) <= sys.float_info.max, F.lit(False))
 
 
 def finite_nonneg(c: Column) -> Column:

@@ -29,52 +29,53 @@ def number(text: Column) -> Column:
     return F.when(is_finite(value), value)
 
 
-def _safe_integer(text: Column, minimum: int | None = None) -> tuple[Column, Column]:
-    """(value or null, whether a given value was bad)."""
+def _safe_integer(text: Column, minimum: int = -MAX_SAFE_INTEGER) -> Column:
+    """Whole number within the exact range of doubles and at least ``minimum``, else null."""
     value = F.trim(text).try_cast("double")
-    good = value.isNotNull() & (value == F.floor(value)) & (F.abs(value) <= MAX_SAFE_INTEGER)
-    if minimum is not None:
-        good = good & (value >= minimum)
-    good = F.coalesce(good, F.lit(False))
-    return F.when(good, value.cast("long")), text.isNotNull() & ~good
-
-
-def _box(item: Column, key: str) -> tuple[Column, Column]:
-    raw = F.try_variant_get(item, f"$.{key}", "array<string>")
-    given = F.try_variant_get(item, f"$.{key}", "variant").isNotNull()
-    values = F.transform(raw, number)
-    good = F.coalesce((F.size(values) == 4) & ~F.exists(values, lambda v: v.isNull()), F.lit(False))
-    at = lambda i: F.get(values, F.lit(i))
-    box = F.struct(at(0).alias("x1"), at(1).alias("y1"), at(2).alias("x2"), at(3).alias("y2"))
-    return F.when(good, box), given & ~good
+    return F.when((value == F.floor(value)) & value.between(float(minimum), float(MAX_SAFE_INTEGER)), value.cast("long"))
 
 
 def judge_cues(items: DataFrame) -> DataFrame:
-    """Normalise (owner, n, item variant) cue records; ``problem`` names the first fault."""
+    """Normalise (owner, n, item variant) cue records; ``problem`` names the first fault.
+
+    Fields are read once, then parsed, then judged, so that generated code stays small.
+    """
     item = F.col("item")
-    start, end = number(first_present(item, START_KEYS)), number(first_present(item, END_KEYS))
-    raw_conf = first_present(item, ("confidence",))
-    conf = number(raw_conf)
-    bad_conf = raw_conf.isNotNull() & ~F.coalesce(conf.between(0.0, 1.0), F.lit(False))
-    box, bad_box = _box(item, "position")
-    frame, bad_frame = _safe_integer(first_present(item, ("start_frame",)), 0)
-    frame_end, bad_end = _safe_integer(first_present(item, ("end_frame_exclusive",)), 1)
-    pts, bad_pts = _safe_integer(first_present(item, ("start_pts",)))
-    pts_end, bad_pts_end = _safe_integer(first_present(item, ("end_pts",)))
-    bad_time = start.isNull() | (start < 0) | end.isNull() | (end <= start)
+    texts = {k: first_present(item, (k,)) for k in (
+        "id", "text", "confidence", "source", "start_frame", "end_frame_exclusive", "start_pts", "end_pts", "time_base")}
+    raw = items.select(
+        "owner", "n", *[c.alias(f"_{k}") for k, c in texts.items()],
+        first_present(item, START_KEYS).alias("_start"), first_present(item, END_KEYS).alias("_end"),
+        F.try_variant_get(item, "$.position", "variant").isNotNull().alias("_boxed"),
+        F.transform(F.try_variant_get(item, "$.position", "array<string>"), number).alias("_box"),
+    )
+    parsed = raw.withColumns({
+        "start_time": number(F.col("_start")), "end_time": number(F.col("_end")), "_conf": number(F.col("_confidence")),
+        "_good_box": F.coalesce((F.size("_box") == 4) & ~F.exists("_box", lambda v: v.isNull()), F.lit(False)),
+        "start_frame": _safe_integer(F.col("_start_frame"), 0), "end_frame_excl": _safe_integer(F.col("_end_frame_exclusive"), 1),
+        "start_pts": _safe_integer(F.col("_start_pts")), "end_pts": _safe_integer(F.col("_end_pts")),
+    })
+    s, e = F.col("start_time"), F.col("end_time")
+    bad_int = F.lit(False)
+    for value, given in (("start_frame", "_start_frame"), ("end_frame_excl", "_end_frame_exclusive"),
+                         ("start_pts", "_start_pts"), ("end_pts", "_end_pts")):
+        bad_int = bad_int | (F.col(given).isNotNull() & F.col(value).isNull())
+    conf = F.col("_conf")
     fault = (
-        F.when(bad_time, "time").when(bad_conf, "confidence").when(bad_box, "position")
-        .when(bad_frame | bad_end | bad_pts | bad_pts_end, "integer")
-        .when(frame_end <= frame, "frame_order")
+        F.when(s.isNull() | (s < 0) | e.isNull() | (e <= s), "time")
+        .when(F.col("_confidence").isNotNull() & ~F.coalesce(conf.between(0.0, 1.0), F.lit(False)), "confidence")
+        .when(F.col("_boxed") & ~F.col("_good_box"), "position").when(bad_int, "integer")
+        .when(F.col("end_frame_excl") <= F.col("start_frame"), "frame_order")
     )
-    return items.select(
-        "owner", "n", F.left(F.coalesce(first_present(item, ("id",)), F.concat(F.lit("subtitle-"), F.col("n").cast("string"))), F.lit(128)).alias("id"),
-        TX.clean_text(F.coalesce(first_present(item, ("text",)), F.lit(""))).alias("text"),
-        start.alias("start_time"), end.alias("end_time"),
-        F.when(raw_conf.isNotNull(), clamp(F.coalesce(conf, F.lit(0.0)), 0.0, 1.0)).alias("confidence"),
-        box.alias("box"), F.left(first_present(item, ("source",)), F.lit(64)).alias("source"),
-        frame.alias("start_frame"), frame_end.alias("end_frame_excl"), pts.alias("start_pts"), pts_end.alias("end_pts"),
-        F.left(first_present(item, ("time_base",)), F.lit(32)).alias("time_base"), fault.alias("problem"),
+    at = lambda i: F.get("_box", F.lit(i))
+    box = F.struct(at(0).alias("x1"), at(1).alias("y1"), at(2).alias("x2"), at(3).alias("y2"))
+    return parsed.select(
+        "owner", "n", F.left(F.coalesce("_id", F.concat(F.lit("subtitle-"), F.col("n").cast("string"))), F.lit(128)).alias("id"),
+        TX.clean_text(F.coalesce("_text", F.lit(""))).alias("text"), "start_time", "end_time",
+        F.when(F.col("_confidence").isNotNull(), clamp(F.coalesce(conf, F.lit(0.0)), 0.0, 1.0)).alias("confidence"),
+        F.when(F.col("_good_box"), box).alias("box"), F.left("_source", F.lit(64)).alias("source"),
+        "start_frame", "end_frame_excl", "start_pts", "end_pts", F.left("_time_base", F.lit(32)).alias("time_base"),
+        fault.alias("problem"),
     )
 
 
@@ -96,25 +97,32 @@ def normalize_cues(items: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame
 def normalize_visual(items: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Visual source cues from (owner, n, item variant). Polygons stay nested, bad boxes become empty."""
     item = F.col("item")
-    start, end = number(first_present(item, SOURCE_START_KEYS)), number(first_present(item, SOURCE_END_KEYS))
-    raw_conf = F.when(first_present(item, ("confidence",)) != "", first_present(item, ("confidence",)))
-    conf = number(raw_conf)
-    owner = F.trim(F.coalesce(F.col("owner").cast("string"), first_present(item, ("taskId", "task_id")), F.lit("")))
     place = F.coalesce(F.try_variant_get(item, "$.bbox", "variant"), F.try_variant_get(item, "$.position", "variant"))
-    flat = F.transform(F.try_variant_get(place, "$", "array<string>"), number)
-    nested = F.try_variant_get(place, "$", "array<array<double>>")
-    flat_ok = F.coalesce(~F.exists(flat, lambda v: v.isNull()), F.lit(False))
+    raw = items.select(
+        F.trim(F.coalesce(F.col("owner").cast("string"), first_present(item, ("taskId", "task_id")), F.lit(""))).alias("owner"), "n",
+        first_present(item, SOURCE_START_KEYS).alias("_start"), first_present(item, SOURCE_END_KEYS).alias("_end"),
+        F.nullif(first_present(item, ("confidence",)), F.lit("")).alias("_confidence"),
+        F.coalesce(first_present(item, ("text",)), F.lit("")).alias("_text"), place.alias("_place"),
+    )
+    parsed = raw.withColumns({
+        "start_time": number(F.col("_start")), "end_time": number(F.col("_end")), "_conf": number(F.col("_confidence")),
+        "_nested": F.try_variant_get("_place", "$", "array<array<double>>"),
+        "_flat": F.transform(F.try_variant_get("_place", "$", "array<string>"), number),
+    }).withColumns({
+        "_flat_ok": F.coalesce(~F.exists("_flat", lambda v: v.isNull()), F.lit(False)),
+        "_nested": F.when(~F.exists("_nested", lambda p: p.isNull() | F.exists(p, lambda v: v.isNull())), F.col("_nested")),
+    })
     empty = F.array().cast("array<array<double>>")
-    bbox = F.when(nested.isNotNull(), nested).when(flat_ok, F.transform(flat, lambda v: F.array(v))).otherwise(empty)
+    bbox = F.coalesce("_nested", F.when(F.col("_flat_ok"), F.transform("_flat", lambda v: F.array(v))), empty)
+    conf, s, e, owner = F.col("_conf"), F.col("start_time"), F.col("end_time"), F.col("owner")
     problem = (
         F.when((owner == "") | (F.length(owner) > 80), "owner")
-        .when(start.isNull() | (start < 0) | end.isNull() | (end <= start), "time")
-        .when(F.lit(strict) & place.isNotNull() & nested.isNull() & ~flat_ok, "bbox")
-        .when(F.lit(strict) & raw_conf.isNotNull() & ~F.coalesce(conf.between(0.0, 1.0), F.lit(False)), "confidence")
+        .when(s.isNull() | (s < 0) | e.isNull() | (e <= s), "time")
+        .when(F.lit(strict) & F.col("_place").isNotNull() & F.col("_nested").isNull() & ~F.col("_flat_ok"), "bbox")
+        .when(F.lit(strict) & F.col("_confidence").isNotNull() & ~F.coalesce(conf.between(0.0, 1.0), F.lit(False)), "confidence")
     )
-    out = items.select(
-        owner.alias("owner"), "n", TX.clean_text(F.coalesce(first_present(item, ("text",)), F.lit(""))).alias("text"),
-        start.alias("start_time"), end.alias("end_time"), bbox.alias("bbox"),
+    out = parsed.select(
+        "owner", "n", TX.clean_text(F.col("_text")).alias("text"), "start_time", "end_time", bbox.alias("bbox"),
         F.when(conf.isNotNull(), clamp(conf, 0.0, 1.0)).alias("confidence"), problem.alias("problem"),
     )
     return out.where("problem is null").drop("problem"), out.where("problem is not null").select("owner", "n", "problem")
@@ -128,17 +136,22 @@ def normalize_audio(items: DataFrame) -> DataFrame:
     item = F.col("item")
     raw = F.coalesce(F.try_variant_get(item, "$.words", "array<variant>"), F.array().cast("array<variant>"))
 
-    def word(v):
-        nonneg = lambda keys: F.when(number(first_present(v, keys)) >= 0, number(first_present(v, keys)))
-        start, end = nonneg(SOURCE_START_KEYS), nonneg(SOURCE_END_KEYS)
-        good = ~F.coalesce(end <= start, F.lit(False))
-        conf = number(first_present(v, ("confidence", "score")))
+    def read(v):
+        return F.struct(
+            TX.clean_text(first_present(v, ("word", "text"))).alias("word"), number(first_present(v, SOURCE_START_KEYS)).alias("start"),
+            number(first_present(v, SOURCE_END_KEYS)).alias("end"), number(first_present(v, ("confidence", "score"))).alias("confidence"),
+        )
+
+    def judge(w):
+        start, end = F.when(w["start"] >= 0, w["start"]), F.when(w["end"] >= 0, w["end"])
+        good = ~F.coalesce((w["start"] >= 0) & (w["end"] <= w["start"]), F.lit(False)) | (w["end"] < 0)
         return F.struct(
-            TX.clean_text(first_present(v, ("word", "text"))).alias("word"), F.when(good, start).alias("start"),
-            F.when(good, end).alias("end"), F.when(conf.isNotNull(), clamp(conf, 0.0, 1.0)).alias("confidence"),
+            w["word"].alias("word"), F.when(good, start).alias("start"), F.when(good, end).alias("end"),
+            F.when(w["confidence"].isNotNull(), clamp(w["confidence"], 0.0, 1.0)).alias("confidence"),
         )
 
-    words = F.filter(F.transform(raw, word), lambda w: F.coalesce(w["word"], F.lit("")) != "")
+    items = items.withColumn("_w", F.transform(raw, read))
+    words = F.filter(F.transform("_w", judge), lambda w: F.coalesce(w["word"], F.lit("")) != "")
     start, end = number(first_present(item, SOURCE_START_KEYS)), number(first_present(item, SOURCE_END_KEYS))
     given = F.coalesce((start >= 0) & (end > start), F.lit(False))
     conf = number(first_present(item, ("confidence",)))
@@ -187,16 +200,18 @@ def lint_truth(events: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 # Upload rules.
-VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "avi", "webm", "m4v")
-AUDIO_SUFFIXES = ("wav", "mp3", "m4a", "aac", "flac", "ogg")
+VIDEO_SUFFIXES = ("mp4",)
+AUDIO_SUFFIXES = ("mp4", "m4a", "mp3", "wav", "flac", "ogg", "webm")
 TASK_ID = "^[A-Za-z0-9_-]{1,80}$"
 
 
 def audit_media_manifest(manifest: DataFrame, max_bytes: int) -> DataFrame:
     """Check (task_id, filename, kind, size_bytes) rows and clean the file names."""
-    clean = F.trim(F.regexp_replace("filename", r"[\x00-\x1f\x7f]", ""))
+    base = F.regexp_extract(F.coalesce("filename", F.lit("")), r"([^/]*)$", 1)
+    bare = F.trim(F.regexp_replace(base, r"[\x00-\x1f\x7f]", ""))
+    clean = F.when(bare == "", "video.mp4").otherwise(bare)
     suffix = F.lower(F.regexp_extract(clean, r"\.([A-Za-z0-9]+)$", 1))
-    allowed = F.when(F.col("kind") == "audio", suffix.isin(*VIDEO_SUFFIXES, *AUDIO_SUFFIXES)).otherwise(suffix.isin(*VIDEO_SUFFIXES))
+    allowed = F.when(F.col("kind") == "audio", suffix.isin(*AUDIO_SUFFIXES)).otherwise(suffix.isin(*VIDEO_SUFFIXES))
     problem = (
         F.when(~F.col("task_id").rlike(TASK_ID), "task_id").when(~allowed, "suffix")
         .when(F.col("size_bytes") <= 0, "empty").when(F.col("size_bytes") > max_bytes, "too_large")

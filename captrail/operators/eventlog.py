@@ -67,13 +67,16 @@ def parse_cursor(cursor: Column) -> Column:
 
 def replay(events: DataFrame, task_id: str, run_id: str, after_seq: int = 0, limit: int = 500) -> DataFrame:
     """One cursor page of a run: rows after ``after_seq`` with latest_seq and has_more."""
-    limit = max(1, min(5000, limit))
     run = events.where((F.col("task_id") == task_id) & (F.col("run_id") == run_id))
+    return page_run(run, after_seq, max(1, min(5000, limit)))
+
+
+def page_run(run: DataFrame, after_seq: int, limit: int) -> DataFrame:
     waiting = run.where(F.col("seq") > after_seq)
-    page = waiting.orderBy("seq").limit(limit)
-    return page.withColumn("latest_seq", run.select(F.max("seq")).scalar()).withColumn(
-        "has_more", waiting.select(F.count(F.lit(1))).scalar() > limit
-    )
+    return waiting.orderBy("seq").limit(limit).withColumns({
+        "latest_seq": run.select(F.max("seq")).scalar(),
+        "has_more": waiting.select(F.count(F.lit(1))).scalar() > limit,
+    })
 
 
 def retain_latest(events: DataFrame, keys: list[str], distinct_on: str, k: int) -> DataFrame:

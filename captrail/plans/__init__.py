@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timeline", "scalars", "video", "tracks", "changes", "speech", "evaluation")
+MODULES = ("timeline", "scalars", "video", "tracks", "changes", "speech", "evaluation", "records", "operations")
 
 
 def load_all() -> None:

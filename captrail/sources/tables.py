@@ -99,7 +99,7 @@ from {events} where event_id % 7 <> 0
 
 _PROGRESS = """
 select user_id as task_key, concat('task-', cast(user_id as string)) as task_id,
-       md5(concat(cast(user_id as string), '-', cast(floor(event_id / 700) as string))) as run_id,
+       md5(concat(cast(user_id as string), '-', cast(cast(floor(event_id / 700) as bigint) as string))) as run_id,
        event_id + 1 as seq,
        case event_type when 'view' then 'stage.progress' when 'click' then 'frame.analyzed'
             when 'purchase' then 'cue.upserted' when 'signup' then 'job.completed'
