@@ -23,6 +23,15 @@ def first_present(item: Column, keys, kind: str = "string") -> Column:
     return F.coalesce(*[F.try_variant_get(item, f"$.{k}", kind) for k in keys])
 
 
+def gate(df: DataFrame, keep: Column) -> DataFrame:
+    """Filter that stays above the parsing.
+
+    A plain filter would be pushed below it by repeating the parse expressions
+    inside the condition, which outgrows generated code.
+    """
+    return df.select(F.explode(F.when(keep, F.array(F.struct("*")))).alias("r")).select("r.*")
+
+
 def number(text: Column) -> Column:
     """Finite number from text, else null."""
     value = F.trim(text).try_cast("double")
@@ -88,10 +97,10 @@ def normalize_cues(items: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame
     crowded = items.groupBy("owner").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_CUES)
     fits = judged.join(crowded.select("owner"), "owner", "left_anti")
     fatal = F.col("problem").isNotNull() if strict else F.coalesce(F.col("problem") == "time", F.lit(False))
-    rejects = fits.where(fatal).select("owner", "n", "problem").unionByName(
+    rejects = gate(fits, fatal).select("owner", "n", "problem").unionByName(
         crowded.select("owner", F.lit(None).cast("long").alias("n"), F.lit("too_many").alias("problem"))
     )
-    return fits.where(~fatal).drop("problem"), rejects
+    return gate(fits, ~fatal).drop("problem"), rejects
 
 
 def normalize_visual(items: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +134,7 @@ def normalize_visual(items: DataFrame, strict: bool = False) -> tuple[DataFrame,
         "owner", "n", TX.clean_text(F.col("_text")).alias("text"), "start_time", "end_time", bbox.alias("bbox"),
         F.when(conf.isNotNull(), clamp(conf, 0.0, 1.0)).alias("confidence"), problem.alias("problem"),
     )
-    return out.where("problem is null").drop("problem"), out.where("problem is not null").select("owner", "n", "problem")
+    return gate(out, F.col("problem").isNull()).drop("problem"), gate(out, F.col("problem").isNotNull()).select("owner", "n", "problem")
 
 
 def normalize_audio(items: DataFrame) -> DataFrame:
