@@ -102,8 +102,8 @@ def test_edits_equal_batch(spark, data, tmp_path):
 
 def test_association_equals_batch(spark, data, tmp_path):
     obs = load(spark, data, "obs").where("video_id = 3").withColumn("cand_no", F.col("cand_no").cast("long")).dropDuplicates(["ts", "cand_no"])
-    timed = obs.withColumn("seen_at", F.timestamp_micros((F.col("ts") * 1000000).cast("long")))
-    flush = timed.limit(1).withColumns({"ts": F.lit(1e6), "seen_at": F.timestamp_micros(F.lit(10**12)), "video_id": F.lit(999).cast("long")})
+    timed = obs.withColumn("seen_at", F.timestamp_micros((F.col("ts") * 1000000 + 10**9).cast("long")))
+    flush = timed.limit(1).withColumns({"ts": F.lit(1e6), "seen_at": F.timestamp_micros(F.lit(10**13)), "video_id": F.lit(999).cast("long")})
     got = replay(spark, timed.unionByName(flush), tmp_path / "in",
                  lambda s: ST.associate_stream(s.withWatermark("seen_at", "1 second")), "tracks", order="ts", files=4)
     want = TR.associate_tracks(obs).collect()
@@ -115,6 +115,7 @@ def test_association_equals_batch(spark, data, tmp_path):
                 out.setdefault((r["lines"], r["session_id"], r["track_no"]), []).append((r["ts"], r["cand_no"]))
         return sorted(sorted(v) for v in out.values())
 
+    assert sorted(x for g in groups(got) for x in g) == sorted(x for g in groups(want) for x in g)
     assert groups(got) == groups(want)
 
 
