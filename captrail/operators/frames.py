@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from captrail.functions import timecode as TC
 from captrail.functions.numeric import half_even
+from captrail.operators.folds import cut
 from captrail.operators.intervals import points_in_spans
 from captrail.operators.ordered import ordered, time_chunk
 
@@ -128,7 +129,7 @@ def snap_to_frames(cues: DataFrame, timed: DataFrame, chunk_seconds: float = 600
     The nearest boundary wins, the earlier one on a tie. A cue keeps at least one
     frame and never starts at the closing boundary.
     """
-    bounds = frame_boundaries(timed)
+    bounds = cut(frame_boundaries(timed))  # read by every step below
     ends = F.array(
         F.struct(F.lit("s").alias("side"), F.col("start_time").alias("t")),
         F.struct(F.lit("e").alias("side"), F.col("end_time").alias("t")),
@@ -143,7 +144,7 @@ def snap_to_frames(cues: DataFrame, timed: DataFrame, chunk_seconds: float = 600
         F.max(F.when(F.col("side") == "s", index)).alias("_s"),
         F.max(F.when(F.col("side") == "e", index)).alias("_e"),
     )
-    count = timed.where("last").select("video_id", (F.col("frame_index") + 1).alias("_n"))
+    count = bounds.groupBy("video_id").agg(F.max("frame_index").alias("_n"))
     framed = pair.join(count, "video_id").withColumn("start_frame", F.least(F.col("_n") - 1, F.col("_s"))).withColumn(
         "end_frame_excl", F.greatest(F.col("start_frame") + 1, F.least(F.col("_n"), F.col("_e")))
     )

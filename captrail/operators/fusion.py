@@ -6,9 +6,11 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from captrail.config import CaptionConfig
 from captrail.functions import text as TX
@@ -113,19 +115,9 @@ def split_words(words) -> list[dict]:
     return out
 
 
-@F.pandas_udf(CHUNKS)
-def _split_words(values: pd.Series) -> pd.Series:
-    def one(words):
-        if words is None:
-            return None
-        # A missing probability arrives as NaN or None.
-        rows = [
-            {"word": w["word"], "start": w["start"], "end": w["end"],
-             "confidence": None if pd.isna(w["confidence"]) else w["confidence"]} for w in words
-        ]
-        return split_words(rows)
-
-    return values.map(one)
+@F.arrow_udf(CHUNKS)
+def _split_words(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else split_words(v) for v in values.to_pylist()], to_arrow_type(CHUNKS))
 
 
 def resegment_asr(segments: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from captrail.functions import pybox as B
 from captrail.functions import text as TX
 from captrail.functions.numeric import half_even
 from captrail.functions.similarity import caption_score, could_reach
-from captrail.operators.folds import Fold, fold_groups
+from captrail.operators.folds import Fold, cut, fold_groups
 from captrail.operators.ordered import ordered, time_chunk
 
 _GAPS = re.compile(r"[^\w']+")
@@ -274,6 +274,7 @@ class _Narrow(Fold):
 
 def build_events(obs: DataFrame, videos: DataFrame, cfg: CaptionConfig = CaptionConfig()) -> DataFrame:
     """Observations to caption events, with a stable ``cue_id``."""
-    events = merge_duplicates(summarize_tracks(associate_tracks(obs, cfg), videos, cfg), cfg)
+    events = cut(summarize_tracks(associate_tracks(obs, cfg), videos, cfg))
+    events = merge_duplicates(events, cfg)
     stable = F.xxhash64("video_id", "session_id", "lines", "track_no")
     return events.withColumn("cue_id", stable)

@@ -9,7 +9,11 @@ from captrail.plans import sqlparts as Q
 from captrail.plans.registry import query
 from captrail.sources.tables import cues, load, oracle
 
-ROI = F.struct(F.lit(80).alias("x1"), F.lit(450).alias("y1"), F.lit(640).alias("x2"), F.lit(760).alias("y2"))
+
+
+def _roi():
+    return F.struct(*[F.lit(v).alias(k) for k, v in (("x1", 80), ("y1", 450), ("x2", 640), ("y2", 760))])
+
 
 _ORD = "start_time, end_time, cue_id"
 _NEXT = f"""
@@ -189,7 +193,7 @@ rj as (select * from j where coalesce(boxed_events, 0) < 2 or x1 is null or not
 @query("filter_dominant", oracle("cues", f"""with {_FILTER}
 select video_id, cue_id from rj where not exists (select 1 from losers l where l.video_id = rj.video_id and l.cue_id = rj.cue_id)"""))
 def filter_dominant(spark, d):
-    return C.filter_dominant(cues(spark, d), ROI, 2.0).select("video_id", "cue_id")
+    return C.filter_dominant(cues(spark, d), _roi(), 2.0).select("video_id", "cue_id")
 
 
 @query("adopt_visual_track", oracle("cues", """select video_id, md5('visual|'||video_id||'|'||cue_id) as cue_id, trim(text) as text,

@@ -14,17 +14,21 @@ from captrail.plans import sqlparts as Q
 from captrail.plans.registry import query
 from captrail.sources.tables import load, oracle
 
-W, H, OX, OY = F.lit(1000), F.lit(600), F.lit(0), F.lit(200)
 REGION = (50, 350, 1000, 900)
 
 
+def _crop():
+    """Frame width, crop height and crop offsets."""
+    return tuple(F.lit(v) for v in (1000, 600, 0, 200))
+
+
 @query("filter_candidates", oracle("obs", f"""select video_id, frame_index, cand_no, text, confidence from obs
 where confidence >= {Q.f(.65)} and length(trim(text)) >= 4 and length(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g')) >= 2
  and length(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g'))/length(trim(text)) >= {Q.f(.35)}
  and not regexp_full_match(regexp_replace(trim(text), '\\s+', '', 'g'), '[\\d/:%+.-]+') and not regexp_matches(trim(text), '\\b\\d+\\s*[hmsHMS]\\b')
  and ((y1+y2)/2-200)/600 between {Q.f(.27)} and {Q.f(.84)} and ((x1+x2)/2/1000 between {Q.f(.17)} and {Q.f(.83)} or (x2-x1)/1000 >= {Q.f(.55)})"""))
 def filter_candidates(spark, d):
-    out = CO.filter_candidates(load(spark, d, "obs"), W, H, OX, OY, CaptionConfig(min_ocr_confidence=0.65))
+    out = CO.filter_candidates(load(spark, d, "obs"), *_crop(), CaptionConfig(min_ocr_confidence=0.65))
     return out.select("video_id", "frame_index", "cand_no", "text", "confidence")
 
 
@@ -38,7 +42,7 @@ select video_id, frame_index, cand_no, text, confidence, round(sc, 9) as score,
  select *, row_number() over (partition by video_id, frame_index order by sc desc, cand_no, x1, x2, y2, text) as rank from s) q
  where rank = 1"""))
 def rank_candidates(spark, d):
-    obs = load(spark, d, "obs").withColumn("score", CO.candidate_score(W, H, OX, OY))
+    obs = load(spark, d, "obs").withColumn("score", CO.candidate_score(*_crop()))
     best = obs.groupBy("video_id", "frame_index").agg(F.min_by(
         F.struct("cand_no", "text", "confidence", "score"),
         F.struct(-F.col("score"), "cand_no", "x1", "x2", "y2", "text"),
@@ -52,7 +56,7 @@ def rank_candidates(spark, d):
 @query("top_candidates", oracle("obs", f"""with s as (select video_id, cand_no, text, x1, y1, x2, y2, confidence, {_SCORE} as sc from obs)
 select video_id, cand_no, text, rank from (select *, row_number() over (partition by video_id order by sc desc, cand_no, x1, x2, y1, y2, text) as rank from s) q where rank <= 24"""))
 def top_candidates(spark, d):
-    obs = load(spark, d, "obs").withColumn("sc", CO.candidate_score(W, H, OX, OY))
+    obs = load(spark, d, "obs").withColumn("sc", CO.candidate_score(*_crop()))
     order = [F.desc("sc"), *[F.col(c) for c in ("cand_no", "x1", "x2", "y1", "y2", "text")]]
     return top_k_per(obs, ["video_id"], order, 24, ["frame_index"]).select("video_id", "cand_no", "text", "rank")
 
