@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from captrail.config import CaptionConfig
 from captrail.functions.numeric import half_even
-from captrail.operators.folds import Fold, fold_groups
+from captrail.operators.folds import Fold, cut, fold_groups
 from captrail.operators.intervals import points_in_spans
 from captrail.operators.ordered import ordered
 
@@ -75,6 +75,7 @@ def stable_intervals(
         F.max_by(F.struct("frame_index", "score"), F.struct("score", -F.col("frame_index"))).alias("p"),
         F.first("threshold").alias("threshold"), F.first("fps").alias("fps"),
     ).select(*keys, "p.frame_index", "p.score", "threshold", "fps")
+    peaks = cut(peaks)
     pairs = ordered(
         peaks, keys, ["frame_index"], _chunk(), lead={"_n": F.struct("frame_index", "score")}
     ).where("_n is not null")
@@ -85,6 +86,7 @@ def stable_intervals(
         *keys, F.col("frame_index").alias("start_frame"), (F.col("_n.frame_index") - 1).alias("end_frame"),
         F.least(F.col("score"), F.col("_n.score")).alias("priority"), "threshold",
     )
+    spans = cut(spans)
     covered = points_in_spans(
         spans, observed.select("video_id", F.col("frame_index").alias("_seen")), ["video_id"],
         (F.col("start_frame"), F.col("end_frame")), F.col("_seen"), width=256.0,

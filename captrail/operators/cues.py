@@ -9,6 +9,7 @@ from captrail.functions import geometry as G
 from captrail.functions import text as T
 from captrail.functions import timecode as TC
 from captrail.functions.numeric import half_even, is_finite
+from captrail.operators.folds import cut
 from captrail.operators.intervals import asof_join, overlap_join
 from captrail.operators.ordered import ordered, time_chunk
 
@@ -232,7 +233,7 @@ def filter_dominant(events: DataFrame, roi: Column, sample_fps: float) -> DataFr
     )
     few = F.coalesce(F.col("boxed_events"), F.lit(0)) < 2
     kept = judged.where(few | F.col("box").isNull() | F.col("_rule").isNull())
-    return suppress_competitors(kept.select(*plain))
+    return suppress_competitors(cut(kept.select(*plain)))
 
 
 def competitor_losers(events: DataFrame) -> DataFrame:
@@ -255,6 +256,7 @@ def competitor_losers(events: DataFrame) -> DataFrame:
         & (F.col("s_confidence") - F.col("e_confidence") >= 0.06)
         & (G.overlap_over_smaller(F.col("e_box"), F.col("s_box")) >= 0.88),
     )
+    wins = cut(wins)  # few rows, read twice
     third = side(base, "c_")
     hangers = overlap_join(
         wins, third, ["video_id"], span("s_"), span("c_"),

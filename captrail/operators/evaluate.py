@@ -211,7 +211,7 @@ def _blocks(truth: DataFrame, pred: DataFrame, similar: DataFrame) -> tuple[Data
         F.collect_list(F.struct(F.col("pred_text").alias("k"), "similarity")).alias("similar"),
     )
     t = truth.join(reach, ["video_id", "compact"]).withColumn("_neg", -F.col("idx"))
-    slim = t.select("video_id", "idx", "_neg", "_lo", "_hi")
+    slim = cut(t.select("video_id", "idx", "_neg", "_lo", "_hi"))
     ahead = ordered(
         slim, ["video_id"], ["_neg"], F.floor(F.col("_neg") / F.lit(CHUNK_ROWS)), max_before={"_x": -F.col("_lo")}
     )
@@ -240,8 +240,9 @@ def align_timelines(truth: DataFrame, pred: DataFrame, threshold: float = 0.72)
     """
     cols = ["video_id", "idx", "start_frame", "end_frame"]
     as_long = [F.col(c).cast("long").alias(c) for c in cols[1:]]
-    t = truth.select("video_id", *as_long, TX.compact_eval(F.col("text")).alias("compact"))
-    p = pred.select("video_id", *as_long, TX.compact_eval(F.col("text")).alias("compact"))
+    # Several branches read both sides, the similar texts and the block marks.
+    t = cut(truth.select("video_id", *as_long, TX.compact_eval(F.col("text")).alias("compact")))
+    p = cut(pred.select("video_id", *as_long, TX.compact_eval(F.col("text")).alias("compact")))
     similar = cut(similar_texts(t, p, threshold))
     tb, ph, first_block = _blocks(t, p, similar)
     k = F.col("compact").alias("k")
@@ -345,8 +346,8 @@ def report_lines(report: DataFrame) -> DataFrame:
 
 def evaluate_timelines(truth: DataFrame, pred: DataFrame, videos: DataFrame, threshold: float = 0.72) -> DataFrame:
     """Merge stacked lines, align and report, for all videos at once."""
-    merged = merge_multiline(pred, videos)
-    matches = align_timelines(truth, merged, threshold)
+    merged = cut(merge_multiline(pred, videos))
+    matches = cut(align_timelines(truth, merged, threshold))
     return timeline_report(truth, merged, matches, videos, raw_pred=pred)
 
 

@@ -13,6 +13,7 @@ from captrail.config import CaptionConfig
 from captrail.functions import geometry as G
 from captrail.functions import text as T
 from captrail.functions.numeric import clamp, half_even, is_finite
+from captrail.operators.folds import cut
 
 # The default region and the smallest side the editor allows.
 DEFAULT_ROI = {"x": 0.08, "y": 0.52, "width": 0.84, "height": 0.24}
@@ -300,9 +301,9 @@ def estimate_roi(samples: DataFrame, frame_w: int, frame_h: int, cfg: CaptionCon
     ``samples``: video_id, sample_index, sample_count, cand_no, text, confidence,
     x1..y2. Videos without a convincing row give no output.
     """
-    members = cluster_rows(
+    members = cut(cluster_rows(
         screen_candidates(samples, frame_w, frame_h, cfg.min_ocr_confidence), cfg.roi_y_tolerance
-    )
+    ))
     best = pick_cluster(score_clusters(members, cfg.roi_y_tolerance), cfg.roi_min_score)
     region = roi_from_cluster(members, frame_w, frame_h)
     return best.join(region, ["video_id", "cluster_id"]).select(

@@ -28,7 +28,7 @@ def sessionize(obs: DataFrame, cfg: CaptionConfig = CaptionConfig()) -> DataFram
 
     Works on distinct time stamps, so its cost does not grow with detections.
     """
-    times = obs.select("video_id", "ts").distinct()
+    times = cut(obs.select("video_id", "ts").distinct())
     chunk = time_chunk("ts", cfg.chunk_seconds)
     lagged = ordered(times, ["video_id"], ["ts"], chunk, lag={"_p": "ts"})
     opens = F.col("_p").isNull() | (F.col("ts") - F.col("_p") > cfg.track_reach)
@@ -248,6 +248,7 @@ def merge_duplicates(events: DataFrame, cfg: CaptionConfig = CaptionConfig()) ->
         seen.withColumn("_open", F.when(opens, F.col("start_time"))), keys, order, chunk,
         last_seen={"_run": "_open"}, lead={"_next_open": F.col("_open").isNotNull()},
     )
+    runs = cut(runs)
     alone = F.col("_open").isNotNull() & F.coalesce(F.col("_next_open"), F.lit(True))
     columns = events.columns
     single = runs.where(alone).select(*columns)

@@ -109,11 +109,8 @@ def align_timelines(spark, d):
 
 @query("evaluate_timelines")
 def evaluate_timelines(spark, d):
-    t = timeline(spark, d, "truth")
-    v = videos(t)
-    p = timeline(spark, d, "pred")
-    merged = cut(EV.merge_multiline(p, v))
-    return EV.timeline_report(t, merged, cut(EV.align_timelines(t, merged)), v, raw_pred=p)
+    t = cut(timeline(spark, d, "truth"))
+    return EV.evaluate_timelines(t, cut(timeline(spark, d, "pred")), videos(t))
 
 
 @query("report_lines", oracle("truth pred", f"""with {_MATCH}, v as (select distinct video_id from truth)
