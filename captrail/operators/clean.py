@@ -190,7 +190,9 @@ def lint_truth(events: DataFrame, videos: DataFrame) -> DataFrame:
     width, height).
     """
     chunk = F.floor(F.col("idx") / F.lit(20000))
-    j = ordered(events, ["video_id"], ["idx"], chunk, lag={"_pe": "end_frame"}).join(videos, "video_id")
+    j = ordered(events, ["video_id"], ["idx"], chunk, lag={"_pe": "end_frame"}).drop(
+        "fps", "frame_count", "width", "height"
+    ).join(videos, "video_id")
     s, e, fps, box = F.col("start_frame"), F.col("end_frame"), F.col("fps"), F.col("box")
     rules = {
         "empty_text": F.trim("text") == "",
