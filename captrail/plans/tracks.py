@@ -23,12 +23,12 @@ def _crop():
 
 
 @query("filter_candidates", oracle("obs", f"""select video_id, frame_index, cand_no, text, confidence from obs
-where confidence >= {Q.f(.65)} and length(trim(text)) >= 4 and length(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g')) >= 2
+where confidence >= {Q.f(.8)} and length(trim(text)) >= 4 and length(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g')) >= 2
  and length(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g'))/length(trim(text)) >= {Q.f(.35)}
  and not regexp_full_match(regexp_replace(trim(text), '\\s+', '', 'g'), '[\\d/:%+.-]+') and not regexp_matches(trim(text), '\\b\\d+\\s*[hmsHMS]\\b')
  and ((y1+y2)/2-200)/600 between {Q.f(.27)} and {Q.f(.84)} and ((x1+x2)/2/1000 between {Q.f(.17)} and {Q.f(.83)} or (x2-x1)/1000 >= {Q.f(.55)})"""))
 def filter_candidates(spark, d):
-    out = CO.filter_candidates(load(spark, d, "obs"), *_crop(), CaptionConfig(min_ocr_confidence=0.65))
+    out = CO.filter_candidates(load(spark, d, "obs"), *_crop(), CaptionConfig(min_ocr_confidence=0.8))
     return out.select("video_id", "frame_index", "cand_no", "text", "confidence")
 
 
@@ -86,7 +86,7 @@ du as (select video_id, max(ts) + 0.25::double as duration from obs group by 1),
 t as (select r.video_id, session_id, track_no, max(text) filter (rn = 1) as text, min(ts) as f, max(ts) as l, avg(confidence) as conf, count(*) as hits,
   min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from r group by all)
 select t.video_id, session_id, track_no, text, round_even(f, 3) as start_time, round_even(greatest(least(duration, l+0.5::double), f+0.1::double), 3) as end_time,
- round(conf, 3) as confidence, hits, x1, y1, x2, y2 from t join du using (video_id) where least(duration, l+0.5::double) - f >= 0.1::double"""))
+ round(round_even(conf, 4), 3) as confidence, hits, x1, y1, x2, y2 from t join du using (video_id) where least(duration, l+0.5::double) - f >= 0.1::double"""))
 def summarize_tracks(spark, d):
     a = load(spark, d, "obs").withColumns({
         "session_id": F.floor(F.col("frame_index") / 4), "lines": F.lit(0), "track_no": F.floor(F.col("y1") / 55),

@@ -124,7 +124,7 @@ rn as (select video_id, cluster_id, max(n) as longest_run from (select video_id,
 tx as (select video_id, cluster_id, count(*) as kinds, max(n) as top from (select video_id, cluster_id, txt, count(*) as n from pf where txt <> '' group by all) group by all),
 fr as (select video_id, cluster_id, count(*) as frame_hits, avg(conf) as mc, max(sample_index) - min(sample_index) + 1 as span from pf group by all),
 bx as (select video_id, cluster_id, median(cy) as mcy, stddev_pop(cy) as spread, avg(greatest(0, 1 - abs(cx-0.5::double)/0.5::double)) as centring from mb group by all)
-select video_id, cluster_id, frame_hits, longest_run, round(mc, 6) as mean_confidence, round(mcy, 6) as median_cy,
+select video_id, cluster_id, frame_hits, longest_run, cast(floor(mc*1000003 + 0.5::double) as bigint) as mean_confidence, round(mcy, 9) as median_cy,
  round(frame_hits/16*{Q.f(.24)} + mc*{Q.f(.16)} + greatest(0, least(1, (mcy-{Q.f(.25)})/{Q.f(.7)}))*{Q.f(.25)} + (1-least(1, spread/{Q.f(.06)}))*{Q.f(.12)}
   + centring*{Q.f(.08)} + (longest_run/16 + frame_hits/span)/2*{Q.f(.07)} + least(1, coalesce(kinds, 0)/greatest(2, frame_hits*{Q.f(.35)}))*{Q.f(.08)}
   - case when frame_hits/16 >= {Q.f(.6)} and coalesce(top, 0)/frame_hits >= {Q.f(.8)} then 0.5::double else 0 end, 6) as score
@@ -132,8 +132,8 @@ from bx join fr using (video_id, cluster_id) join rn using (video_id, cluster_id
 def score_roi_clusters(spark, d):
     out = R.score_clusters(_members(spark, d))
     return out.select(
-        "video_id", "cluster_id", "frame_hits", "longest_run", F.round("mean_confidence", 6).alias("mean_confidence"),
-        F.round("median_cy", 6).alias("median_cy"), F.round("score", 6).alias("score"),
+        "video_id", "cluster_id", "frame_hits", "longest_run", F.floor(F.col("mean_confidence") * 1000003 + F.lit(0.5)).alias("mean_confidence"),
+        F.round("median_cy", 9).alias("median_cy"), F.round("score", 6).alias("score"),
     )
 
 

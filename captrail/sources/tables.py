@@ -60,7 +60,7 @@ from (
                 cast((floor(l_orderkey / 384) * 5 + l_linenumber + l_partkey % 100) % 8 + 1 as int))) as words,
          split_part('SMALL STAR,LARGE MOON,OLD ROAD,COLD RIVER,BRIGHT DOOR,FAST ROCKET,QUIET HOUSE,GOLDEN BOOK', ',',
                 cast((floor(l_orderkey / 384) + l_linenumber * 3 + l_partkey % 100) % 8 + 1 as int)) as first_word,
-         1 - l_discount * 4 as confidence,
+         cast(64 - 2 * cast(round(l_discount * 100) as int) as double) / 64 as confidence,
          cast(200 + (l_partkey % 7) * 30 as int) as x1,
          cast(400 + (l_linenumber % 5) * 55 + l_orderkey % 4 as int) as y1,
          cast(200 + (l_partkey % 7) * 30 + 320 + p_size * 4 as int) as x2,
