@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from . import bpe, tokencount
+from . import bpe, langmix, mixing, tokencount
 from .common import Query, documents
 
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,16 @@ def vocabulary(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+@query
+def op3_language_mixture(spark, sf_dir):
+    return langmix.held_out_predictions(documents(spark, sf_dir))
+
+
+@query
+def op6_cube_mix(spark, sf_dir):
+    return mixing.sample(documents(spark, sf_dir))
+
+
 @query
 def op9_bpe_digests(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), digests=True)
