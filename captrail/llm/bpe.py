@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 400_000
 WINDOW = 256
 LETTERS_KEPT = 128
 
@@ -93,30 +93,36 @@ class MergeTable:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Apply the merges to a window of symbols, lowest rank first, leftmost first."""
-        ranks, made = self.ranks, self.made
-        while len(ids) > 1:
-            best = min((ranks.get(a << 20 | b, 1 << 30) for a, b in zip(ids, ids[1:], strict=False)))
-            if best == 1 << 30:
+        rank, made, none = self.ranks.get, self.made, len(self.made)
+        found = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == none:
                 break
-            a, b, c = self.left[best], self.right[best], made[best]
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if ids[k] == a and k + 1 < n and ids[k + 1] == b:
-                    out.append(c)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+            k = found.index(best)
+            ids[k] = made[best]
+            del ids[k + 1], found[k]
+            if k:
+                found[k - 1] = rank(ids[k - 1] << 20 | ids[k], none)
+            if k < len(found):
+                found[k] = rank(ids[k] << 20 | ids[k + 1], none)
         return ids
 
-    def symbols(self, word: bytes) -> Iterator[int]:
+    def symbols(self, word: bytes) -> list[int]:
         """Single-byte symbols of a word; those that the vocabulary lacks are left out, as there is no unknown token."""
-        end = len(word) - 1
-        for k, b in enumerate(word):
-            s = self.last[b] if k == end else self.inner[b]
-            if s is not None:
-                yield s
+        inner = self.inner
+        found = [inner[b] for b in word[:-1]]
+        found.append(self.last[word[-1]])
+        return [s for s in found if s is not None] if self.gaps else found
+
+    @cached_property
+    def gaps(self) -> bool:
+        return None in self.inner or None in self.last
+
+    def tokens(self, word: bytes) -> Iterable[int]:
+        """Token ids of one word: short words at once, longer ones as a stream."""
+        symbols = self.symbols(word)
+        return self.merged(symbols) if len(symbols) <= WINDOW else self.stream(symbols)
 
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
         """Token ids of one word, each as soon as nothing further to the right can change it."""
@@ -125,7 +131,7 @@ class MergeTable:
             window.append(s)
             if len(window) >= look + WINDOW:
                 done = 0
-                for t in self.merged(window):
+                for t in self.merged(list(window)):
                     if done + self.lengths.get(t, 1) > len(window) - look:
                         break
                     yield t
@@ -177,8 +183,12 @@ class WordEncoder:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         table = self.table
-        ids = [t for w in WORD_PATTERN.findall(chunk) for t in table.stream(table.symbols(w.encode()))]
-        return struct.pack(f"<{len(ids)}I", *ids), "".join(table.pieces[t] + " " for t in ids)
+        words = WORD_PATTERN.findall(chunk)
+        if len(words) != 1 or words[0] != chunk:
+            found = [self.memo[w] for w in words]
+            return b"".join([f[0] for f in found]), "".join([f[1] for f in found])
+        ids = list(table.tokens(chunk.encode()))
+        return struct.pack(f"<{len(ids)}I", *ids), "".join([table.pieces[t] + " " for t in ids])
 
     def encode(self, text: str) -> Iterator[tuple[bytes, str]]:
         """Packed ids and pieces, stretch by stretch."""
