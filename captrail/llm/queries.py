@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from . import bpe, ctw, langmix, mixing, tokencount
+from . import bpe, ctw, jaccard, langmix, mixing, tokencount
 from .common import Query, documents
 
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,11 @@ def op1_context_tree_scores(spark, sf_dir):
     return ctw.score_documents(documents(spark, sf_dir))
 
 
+@query
+def op2_jaccard_regions(spark, sf_dir):
+    return jaccard.join_documents(documents(spark, sf_dir))
+
+
 @query
 def op3_language_mixture(spark, sf_dir):
     return langmix.held_out_predictions(documents(spark, sf_dir))
