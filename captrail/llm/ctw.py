@@ -21,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stage
+from .common import crc_mod, partitions, stage
 
 DEPTH = 5
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 24 << 20
+LEAST_BYTES = 2 << 20
 PIECE = 1 << 20
 END = b"\xff"
 HALF = float(np.log(0.5))
 
 
-def sequence(text: str) -> tuple[list[bytes], bytes]:
-    words = text.encode().lower().split()
+def sequence(text: bytes) -> tuple[list[bytes], bytes]:
+    words = text.lower().split()
     return words, b" ".join([*words, b""]) + END
 
 
@@ -66,7 +67,7 @@ class Tally:
         self.size = 0
         self.words: Counter[bytes] = Counter()
 
-    def add(self, text: str, train: bool) -> None:
+    def add(self, text: bytes, train: bool) -> None:
         words, data = sequence(text)
         words.append(b"")
         if train:
@@ -309,7 +310,7 @@ def _answer(train_tokens: int, train_words: int):
                         order = np.argsort(keys)
                         keys, logs, ready = keys[order], logs[order], True
                     for doc_id, held, text in zip(part.column("k"), part.column("v").to_pylist(), part.column("b"), strict=True):
-                        out.append(_score(doc_id.as_py(), held, text.as_py().decode(), keys, logs, words))
+                        out.append(_score(doc_id.as_py(), held, text.as_py(), keys, logs, words))
             if out:
                 d, h, n, known, base, score, size = zip(*out, strict=True)
                 base = np.array(base) + (np.array(n) - np.array(known)) * unknown
@@ -344,11 +345,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = max(1, -(-size // BATCH_BYTES))
+    spread = min(partitions(docs.sparkSession), size // LEAST_BYTES)
+    batches = max(1, -(-size // BATCH_BYTES), spread)
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(batches)).alias("batch"), F.col(id_col).cast("long").alias("doc_id"),
-        (crc_mod(id_col, 10) != 0).alias("train"), text.alias("text"))
-    placed = rows.repartition(batches, "batch").sortWithinPartitions("batch")
+        (crc_mod(id_col, 10) != 0).alias("train"), text.cast("binary").alias("text"))
+    placed = rows.repartitionById(batches, F.col("batch").cast("int"))
     asked = stage(placed.select("batch", "train", "text").mapInArrow(_ask, ASKED))
     counts = asked.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
     found = stage(counts.repartition(F.shiftright("gram", 24)).sortWithinPartitions("gram").mapInArrow(_deep_batches, DEEP))
@@ -359,6 +361,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words_back = asked.where("word is not null").join(words, "word").select(
         "batch", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("k"), F.col("c").cast("double").alias("v"), F.col("word").alias("b"))
     texts = rows.select("batch", F.lit(2).alias("kind"), F.col("doc_id").alias("k"),
-                        (~F.col("train")).cast("double").alias("v"), F.col("text").cast("binary").alias("b"))
-    together = grams_back.union(words_back).union(texts).repartition(batches, "batch").sortWithinPartitions("batch", "kind")
+                        (~F.col("train")).cast("double").alias("v"), F.col("text").alias("b"))
+    together = grams_back.union(words_back).union(texts).repartitionById(batches, F.col("batch").cast("int")).sortWithinPartitions("kind")
     return together.mapInArrow(_answer(totals.n, totals.v), SCORES)
