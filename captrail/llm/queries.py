@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from . import bpe, ctw, jaccard, langmix, mixing, tokencount
+from . import bpe, ctw, jaccard, langmix, mixing, suffixes, tokencount
 from .common import Query, documents
 
 QUERIES: dict[str, Query] = {}
@@ -38,6 +38,12 @@ def op3_language_mixture(spark, sf_dir):
     return langmix.held_out_predictions(documents(spark, sf_dir))
 
 
+@query
+def op4_suffix_repeats(spark, sf_dir):
+    kept = suffixes.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op6_cube_mix(spark, sf_dir):
     return mixing.sample(documents(spark, sf_dir))
