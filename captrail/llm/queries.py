@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from . import bpe, ctw, jaccard, langmix, mixing, suffixes, tokencount
+from . import bpe, ctw, jaccard, langmix, mixing, postings, suffixes, tokencount
 from .common import Query, documents
 
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ def op4_suffix_repeats(spark, sf_dir):
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op5_posting_lists(spark, sf_dir):
+    return postings.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op6_cube_mix(spark, sf_dir):
     return mixing.sample(documents(spark, sf_dir))
