@@ -22,7 +22,7 @@ from .common import stage
 from .shingles import mix
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 SPAN = LENGTH - GRAM + 1
 PERIOD = 8
 COVER = (0, 1, 2, 4)
@@ -110,6 +110,28 @@ def _find(batches):
                 names=["t1", "t2", "bucket", "start", "n", "place"])
 
 
+def _several(batches):
+    """Anchors whose gram occurs at two places or more. Rows come sorted by bucket, then text and start."""
+    open_, held = None, None
+    for rows in batches:
+        table = pa.Table.from_batches([rows])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        bucket = table.column("bucket").to_numpy()
+        spots = [table.column(c).to_numpy() for c in ("t1", "t2", "start")]
+        new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+        other = new | np.concatenate(([True], np.any([x[1:] != x[:-1] for x in spots], axis=0)))
+        run = np.cumsum(new) - 1
+        many = np.bincount(run, weights=other) > 1
+        many[0] |= bucket[0] == open_
+        last = run == run[-1]
+        yield from table.filter(pa.array(other & many[run])).to_batches()
+        if many[-1]:
+            open_, held = bucket[-1], None
+        else:
+            open_, held = None, table.filter(pa.array(other & last))
+
+
 CONTEXTS = "bucket long, t1 long, t2 long, start long, place int, context binary"
 WHOLE = "t1 long, t2 long, start long, s1 long, s2 long"
 
@@ -118,8 +140,8 @@ def _cut(batches):
     """Contexts of shared anchors: the bytes of all strings that have the anchor. Equal contexts within a task go once."""
     for rows in batches:
         out: tuple[list, ...] = ([], [], [], [], [], [])
-        for t1, t2, text, marks in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), rows.column(3), strict=True):
-            text = text.as_py()
+        for t1, t2, text, size, marks in zip(*(c.to_pylist() for c in rows.columns[:4]), rows.column(4), strict=True):
+            text = unpack(text, size)
             for bucket, start, n, place in {(m["bucket"], m["start"], m["n"], m["place"]) for m in marks.as_py()}:
                 for column, value in zip(out, (bucket, t1, t2, start, place, text[start: start + n + LENGTH - 1]), strict=True):
                     column.append(value)
@@ -258,14 +280,27 @@ def _sort(batches):
         yield solve(held)
 
 
+def _pack(batches):
+    """Texts compressed one by one, as they move between machines twice."""
+    for rows in batches:
+        texts = [t.as_py() for t in rows.column(3)]
+        yield pa.RecordBatch.from_arrays(
+            [*rows.columns[:3], pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
+            names=["doc_id", "t1", "t2", "packed", "size"])
+
+
+def unpack(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, size, "zstd", asbytes=True)
+
+
 KEPT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _remove(batches):
     for rows in batches:
         n_bytes, n_removed, n_spans, digest, texts = [], [], [], [], []
-        for text, copies, spans in zip(rows.column(1), rows.column(2).to_pylist(), rows.column(3), strict=True):
-            text = text.as_py()
+        for text, size, copies, spans in zip(*(c.to_pylist() for c in rows.columns[1:4]), rows.column(4), strict=True):
+            text = unpack(text, size)
             gone = [(0, len(text))] if copies > 1 and len(text) >= LENGTH else []
             if not gone and spans.is_valid:
                 for first, last in sorted((s["first"], s["last"]) for s in spans.as_py()):
@@ -300,28 +335,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     found = stage(rows.where(F.length("text") >= LENGTH).select("t1", "t2", "text").mapInArrow(_find, ANCHORS))
     spot = F.xxhash64("t1", "t2", "start")
-    shared = found.groupBy("bucket").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("members")).where("a <> b")
-    marks = found.join(shared.select("bucket", "members"), "bucket")
-    marks = marks.groupBy("t1", "t2").agg(F.collect_set(F.struct("bucket", "start", "n", "place")).alias("marks"),
-                                          F.collect_set(F.when(F.col("members") > BIG, F.col("bucket"))).alias("crowded"))
-    marks = stage(marks)
+    placed = found.repartition("bucket").sortWithinPartitions("bucket", "t1", "t2", "start")
+    anchored = stage(placed.mapInArrow(_several, ANCHORS))
+    big = stage(anchored.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > BIG))
+    crowded = not big.isEmpty()
+    anchored = anchored.join(big, "bucket", "left") if crowded else anchored.withColumn("members", F.lit(None).cast("long"))
+    marks = stage(anchored.groupBy("t1", "t2").agg(F.collect_set(
+        F.struct("bucket", "start", "n", "place", F.col("members").isNotNull().alias("crowded"))).alias("marks")))
     keys = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     keys = stage(keys)
     lone = keys.select("t1", "t2", "doc_id").join(marks, ["t1", "t2"])
-    texts = rows.alias("r").join(
+    packed = rows.mapInArrow(_pack, "doc_id long, t1 long, t2 long, packed binary, size long")
+    texts = packed.alias("r").join(
         lone.alias("k"), (F.col("r.t1") == F.col("k.t1")) & (F.col("r.t2") == F.col("k.t2")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
 
     def contexts(chosen):
-        some = texts.select("r.t1", "r.t2", "r.text", F.filter("k.marks", chosen).alias("marks"))
+        some = texts.select("r.t1", "r.t2", "r.packed", "r.size", F.filter("k.marks", chosen).alias("marks"))
         return some.where(F.size("marks") > 0).mapInArrow(_cut, CONTEXTS)
 
-    plain = contexts(lambda m: ~F.array_contains("k.crowded", m["bucket"]))
+    plain = contexts(lambda m: ~m["crowded"])
     plain = plain.repartition("bucket").sortWithinPartitions("bucket", "context", "place", "t1", "t2", "start")
     spans = stage(plain.mapInArrow(_sort, SPANS))
-    if not marks.where(F.size("crowded") > 0).isEmpty():
-        strings = stage(contexts(lambda m: F.array_contains("k.crowded", m["bucket"])).mapInArrow(_whole, WHOLE).distinct())
+    if crowded:
+        strings = stage(contexts(lambda m: m["crowded"]).mapInArrow(_whole, WHOLE).distinct())
         twice = strings.groupBy("s1", "s2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("s1", "s2")
         spans = spans.union(strings.join(twice, ["s1", "s2"]).select("t1", "t2", F.col("start").alias("first"), F.col("start").alias("last")))
     per_text = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     facts = keys.select("t1", "t2", "copies").join(per_text, ["t1", "t2"], "left")
-    return rows.join(facts, ["t1", "t2"]).select("doc_id", "text", "copies", "spans").mapInArrow(_remove, KEPT)
+    return packed.join(facts, ["t1", "t2"]).select("doc_id", "packed", "size", "copies", "spans").mapInArrow(_remove, KEPT)
