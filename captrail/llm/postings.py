@@ -19,9 +19,10 @@ SAMPLE = 40_000
 LIST_SIZE = 160
 MAX_LISTS = 4096
 DEGREE = 24
-BEAM = 48
+BEAM = 64
 REPLICAS = 6
-STORE_RATIO = 1.12
+STORE_RATIO = 1.15
+SHIELD = 0.6
 READ_RATIO = 1.25
 LEAST_LISTS = 12
 TASK_ROWS = 8192
@@ -101,7 +102,7 @@ def stored_lists(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.nd
     keep[:, 0] = True
     for k in range(1, width):
         gap = np.sqrt(((graph.centroids[near[:, :k]] - graph.centroids[near[:, k]][:, None, :]) ** 2).sum(axis=2))
-        shielded = ((gap < d[:, k: k + 1]) & keep[:, :k]).any(axis=1)
+        shielded = ((gap < SHIELD * d[:, k: k + 1]) & keep[:, :k]).any(axis=1)
         keep[:, k] = (d[:, k] <= STORE_RATIO * d[:, 0]) & ~shielded & (keep.sum(axis=1) < REPLICAS)
     row, at = np.nonzero(keep)
     return row, near[row, at]
