@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from . import bpe, ctw, jaccard, langmix, minhash, mixing, postings, suffixes, tokencount
+from . import bpe, ctw, jaccard, langmix, minhash, mixing, postings, secretscan, suffixes, tokencount
 from .common import Query, documents
 
 QUERIES: dict[str, Query] = {}
@@ -59,6 +59,11 @@ def op7_minhash(spark, sf_dir):
     return minhash.fingerprint_documents(documents(spark, sf_dir))
 
 
+@query
+def op8_secret_findings(spark, sf_dir):
+    return secretscan.scan_documents(documents(spark, sf_dir))
+
+
 @query
 def op9_bpe_digests(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), digests=True)
