@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long rows: let fewer of them make an Arrow batch, so that Python workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod
 
@@ -23,7 +24,7 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 # ASCII letters in lower case; other ASCII bytes part words; the rest are pieces of letters beyond ASCII.
 _TO_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-LANGUAGES = "doc_id long, lang_pred string, score double, share map<string,double>"
+LANGUAGES = "lang_pred string, score double, share map<string,double>"
 
 
 def letters(text: str) -> bytes:
@@ -135,22 +136,23 @@ def _likelihoods(texts: list[bytes], model: np.ndarray, odds: list, sizes: list)
     sizes.append(np.diff(np.searchsorted(opens + 1, ends), prepend=0))
 
 
-def identify(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language, its proportion, and the proportions of the chosen set, for every whole text.
+def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with ``lang_pred``, its proportion ``score``, and ``share``, the proportions of the chosen set.
 
     A null text, a text without a letter, and any text when no language was learned give ``und`` with score 0. Ties go
     to the language that sorts first. Repeated rows give repeated rows; further columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast((langs, model))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
+    found = T.StructType([*rows.drop("__text").schema.fields, *T.StructType.fromDDL(LANGUAGES).fields])
 
     def run(batches):
         langs, model = sent.value
         for batch in batches:
-            ids, n = batch.column(0), batch.num_rows
+            n = batch.num_rows
             pred, score, share = [UNKNOWN] * n, [0.0] * n, [[] for _ in range(n)]
             held, rows_held, size = [], [], 0
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(len(keep))):
                 text = text.as_py()
                 if langs and text and _LETTER.search(text):
                     found = letters(text)
@@ -165,13 +167,13 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str =
                         share[row] = [(langs[j], float(mix[j])) for j in np.flatnonzero(mix > 1e-4)]
                     held, rows_held, size = [], [], 0
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.map_(pa.string(), pa.float64()))],
-                names=["doc_id", "lang_pred", "score", "share"])
+                [*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                 pa.array(share, pa.map_(pa.string(), pa.float64()))], names=[*keep, "lang_pred", "score", "share"])
 
-    return rows.mapInArrow(run, LANGUAGES)
+    return rows.mapInArrow(run, found)
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
     """Learn from three quarters of the labelled documents, by their id, and predict all."""
     langs, model = learn(docs.where(crc_mod("doc_id", 4) != 2))
-    return identify(docs, langs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, langs, model).select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
