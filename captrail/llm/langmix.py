@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod
+from .common import crc_mod, fresh
 
 BUCKETS = 1 << 16
 MODEL_BYTES = 64 << 20
@@ -136,15 +136,17 @@ def _likelihoods(texts: list[bytes], model: np.ndarray, odds: list, sizes: list)
     sizes.append(np.diff(np.searchsorted(opens + 1, ends), prepend=0))
 
 
-def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with ``lang_pred``, its proportion ``score``, and ``share``, the proportions of the chosen set.
+def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+             name: str = "language") -> DataFrame:
+    """The kept columns and a struct of ``lang_pred``, its proportion ``score``, and ``share``, those of the chosen set.
 
     A null text, a text without a letter, and any text when no language was learned give ``und`` with score 0. Ties go
     to the language that sorts first. Repeated rows give repeated rows; further columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast((langs, model))
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
-    found = T.StructType([*rows.drop("__text").schema.fields, *T.StructType.fromDDL(LANGUAGES).fields])
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    rows = docs.select(*kept.columns, F.col(text_col).alias(fresh(kept, "text")))
+    found = T.StructType([*kept.schema.fields, T.StructField(name, T.StructType.fromDDL(LANGUAGES))])
 
     def run(batches):
         langs, model = sent.value
@@ -166,9 +168,10 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str
                         pred[row], score[row] = langs[top], min(1.0, float(mix[top]))
                         share[row] = [(langs[j], float(mix[j])) for j in np.flatnonzero(mix > 1e-4)]
                     held, rows_held, size = [], [], 0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(share, pa.map_(pa.string(), pa.float64()))], names=[*keep, "lang_pred", "score", "share"])
+            mix = pa.StructArray.from_arrays(
+                [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.map_(pa.string(), pa.float64()))],
+                names=["lang_pred", "score", "share"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], mix], names=[*keep, name])
 
     return rows.mapInArrow(run, found)
 
@@ -176,4 +179,5 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str
 def held_out_predictions(docs: DataFrame) -> DataFrame:
     """Learn from three quarters of the labelled documents, by their id, and predict all."""
     langs, model = learn(docs.where(crc_mod("doc_id", 4) != 2))
-    return identify(docs, langs, model).select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, langs, model).select(
+        F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")

@@ -28,7 +28,7 @@ MOST_COPIES = 2.0
 
 def word_sizes(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     """The named columns and ``size``, the number of words of the text (null: 0)."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = docs.select(*keep, F.col(text_col).alias("words"))
     schema = rows.select(*keep, F.lit(0).cast("long").alias("size")).schema
 
     def run(batches):

@@ -121,7 +121,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every judged secret replaced by ``mark``; all rows and columns stay."""
-    secrets = findings(docs).where("secret").groupBy("doc_id").agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("__secrets"))
+    secrets = findings(docs).where("secret").groupBy("doc_id").agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("found"))
     joined = docs.alias("d").join(secrets.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
-    text = F.aggregate(F.coalesce(F.col("s.__secrets"), F.array().cast("array<string>")), F.col("d.text"), lambda t, x: F.replace(t, x, F.lit(mark)))
+    text = F.aggregate(F.coalesce(F.col("s.found"), F.array().cast("array<string>")), F.col("d.text"), lambda t, x: F.replace(t, x, F.lit(mark)))
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ SPAN = LENGTH - GRAM + 1
 PERIOD = 8
 COVER = (0, 1, 2, 4)
 PIECE = 1 << 19
-BLOCK = 3 << 19
+BLOCK = 1 << 20
 BIG = 20_000
 _LETTERS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0xD1342543DE82EF95)
