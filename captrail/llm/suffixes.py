@@ -26,9 +26,9 @@ GRAM = 64
 SPAN = LENGTH - GRAM + 1
 PERIOD = 8
 COVER = (0, 1, 2, 4)
-PIECE = 1 << 19
-BLOCK = 1 << 20
-BIG = 20_000
+PIECE = 1 << 18
+BLOCK = 3 << 18
+BIG = 2_500
 _LETTERS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER)
@@ -86,13 +86,13 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarr
         yield owner, offset, np.array(begin), np.frombuffer(b"".join(held), np.uint8)
 
 
-ANCHORS = "t1 long, t2 long, bucket long, start long, n int, place int"
+ANCHORS = "t long, bucket long, start long, n int, place int"
 
 
 def _find(batches):
     for rows in batches:
-        t1, t2 = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        texts = [t.as_py() for t in rows.column(2)]
+        t = rows.column(0).to_numpy()
+        texts = [x.as_py() for x in rows.column(1)]
         for owner, offset, begin, data in _pieces(texts):
             at, hashes = anchors(data)
             text = np.searchsorted(begin, np.arange(len(at)), "right") - 1
@@ -105,9 +105,9 @@ def _find(batches):
             who = text[first]
             key = np.array(owner)[who]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t1[key]), pa.array(t2[key]), pa.array(hashes[at[first]].view(np.int64)),
+                [pa.array(t[key]), pa.array(hashes[at[first]].view(np.int64)),
                  pa.array(first - begin[who] + np.array(offset)[who]), pa.array(n.astype(np.int32)), pa.array((at[first] - first).astype(np.int32))],
-                names=["t1", "t2", "bucket", "start", "n", "place"])
+                names=["t", "bucket", "start", "n", "place"])
 
 
 def _several(batches):
@@ -118,7 +118,7 @@ def _several(batches):
         if held is not None:
             table = pa.concat_tables([held, table]).combine_chunks()
         bucket = table.column("bucket").to_numpy()
-        spots = [table.column(c).to_numpy() for c in ("t1", "t2", "start")]
+        spots = [table.column(c).to_numpy() for c in ("t", "start")]
         new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
         other = new | np.concatenate(([True], np.any([x[1:] != x[:-1] for x in spots], axis=0)))
         run = np.cumsum(new) - 1
@@ -132,34 +132,34 @@ def _several(batches):
             open_, held = None, table.filter(pa.array(other & last))
 
 
-CONTEXTS = "bucket long, t1 long, t2 long, start long, place int, context binary"
-WHOLE = "t1 long, t2 long, start long, s1 long, s2 long"
+CONTEXTS = "bucket long, t long, start long, place int, context binary"
+WHOLE = "t long, start long, s1 long, s2 long"
 
 
 def _cut(batches):
-    """Contexts of shared anchors: the bytes of all strings that have the anchor. Equal contexts within a task go once."""
+    """Contexts of shared anchors: the bytes of all strings that have the anchor."""
     for rows in batches:
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        for t1, t2, text, size, marks in zip(*(c.to_pylist() for c in rows.columns[:4]), rows.column(4), strict=True):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for t, text, size, marks in zip(*(c.to_pylist() for c in rows.columns[:3]), rows.column(3), strict=True):
             text = unpack(text, size)
             for bucket, start, n, place in {(m["bucket"], m["start"], m["n"], m["place"]) for m in marks.as_py()}:
-                for column, value in zip(out, (bucket, t1, t2, start, place, text[start: start + n + LENGTH - 1]), strict=True):
+                for column, value in zip(out, (bucket, t, start, place, text[start: start + n + LENGTH - 1]), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                                         names=["bucket", "t1", "t2", "start", "place", "context"])
+                                         names=["bucket", "t", "start", "place", "context"])
 
 
 def _whole(batches):
     """For the strings of crowded buckets: two hashes of the whole string each."""
     for rows in batches:
-        for t1, t2, start, context in zip(*(rows.column(c).to_pylist() for c in ("t1", "t2", "start", "context")), strict=True):
+        for t, start, context in zip(*(rows.column(c).to_pylist() for c in ("t", "start", "context")), strict=True):
             data = np.frombuffer(context, np.uint8)
             n = len(data) - LENGTH + 1
             one, two = string_hashes(data, LENGTH), string_hashes(data[::-1], LENGTH)[::-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(start + np.arange(n)), pa.array(one.view(np.int64)),
-                 pa.array(np.ascontiguousarray(two).view(np.int64))], names=["t1", "t2", "start", "s1", "s2"])
+                [pa.array(np.full(n, t)), pa.array(start + np.arange(n)), pa.array(one.view(np.int64)),
+                 pa.array(np.ascontiguousarray(two).view(np.int64))], names=["t", "start", "s1", "s2"])
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -228,54 +228,53 @@ def _shared(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[keep], np.cumsum(new[keep]) - 1 if keep.any() else number[keep]
 
 
-SPANS = "t1 long, t2 long, first long, last long"
+SPANS = "t long, first long, last long"
 
 
 def _sort(batches):
-    """Runs of repeated starts. Rows come sorted by bucket, then context, then text and start."""
+    """Runs of repeated starts. Rows come sorted by bucket, context, place, text and start."""
     held: list[tuple] = []
     size, now = 0, None
 
     def solve(rows):
-        text = np.frombuffer(b"".join([r[5] for r in rows]) + bytes(2 * LENGTH), np.uint8)
-        lengths = np.array([len(r[5]) for r in rows])
+        buckets, owners, starts, places, contexts = zip(*rows, strict=True)
+        text = np.frombuffer(b"".join([*contexts, bytes(2 * LENGTH)]), np.uint8)
+        lengths = np.array([len(c) for c in contexts])
         begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         n = lengths - LENGTH + 1
-        owner = np.repeat(np.arange(len(rows)), n)
+        row = np.repeat(np.arange(len(rows)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        bucket = np.cumsum([0, *(a[0] != b[0] for a, b in zip(rows[1:], rows, strict=False))])
-        place = np.array([r[4] for r in rows])[owner] - inner
-        hit = repeated(text, begin[owner] + inner, bucket[owner] * (SPAN + 1) + place)
-        edge = np.concatenate(([True], (owner[1:] != owner[:-1]) | (hit[1:] != hit[:-1])))
+        bucket = np.cumsum([0, *(a != b for a, b in zip(buckets[1:], buckets, strict=False))])
+        hit = repeated(text, begin[row] + inner, bucket[row] * (SPAN + 1) + np.array(places)[row] - inner)
+        edge = np.concatenate(([True], (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])))
         opens = np.flatnonzero(edge & hit)
         closes = np.flatnonzero(np.append(edge[1:], True) & hit)
-        who = owner[opens]
-        start = np.array([r[3] for r in rows])[who]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array([r[1] for r in rows], np.int64)[who]), pa.array(np.array([r[2] for r in rows], np.int64)[who]),
-             pa.array(start + inner[opens]), pa.array(start + inner[closes])], names=["t1", "t2", "first", "last"])
+        start = np.array(starts)[row[opens]]
+        return spans(np.array(owners, np.int64)[row[opens]], start + inner[opens], start + inner[closes])
+
+    def spans(t, first, last):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, first, last)], names=["t", "first", "last"])
 
     for batch in batches:
         same: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][0] == row[0] and held[-1][5] == row[5] and held[-1][4] == row[4]:
-                before = held[-1]
-                if before[1:4] == row[1:4]:
+            bucket, t, start, place, context = row
+            before = held[-1] if held else None
+            if before and (before[0], before[3], before[4]) == (bucket, place, context):
+                if before[1:3] == (t, start):
                     continue
-                if now != (row[0], row[5], row[4]):
+                if now != before:
                     same.append(before)
-                    now = (row[0], row[5], row[4])
+                    now = before
                 same.append(row)
                 continue
-            if size >= BLOCK and held[-1][0] != row[0]:
+            if size >= BLOCK and before[0] != bucket:
                 yield solve(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[5])
+            size += len(context)
         if same:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[1] for r in same], pa.int64()), pa.array([r[2] for r in same], pa.int64()), pa.array([r[3] for r in same], pa.int64()),
-                 pa.array([r[3] + len(r[5]) - LENGTH for r in same], pa.int64())], names=["t1", "t2", "first", "last"])
+            yield spans([r[1] for r in same], [r[2] for r in same], [r[2] + len(r[4]) - LENGTH for r in same])
     if held:
         yield solve(held)
 
@@ -283,10 +282,10 @@ def _sort(batches):
 def _pack(batches):
     """Texts compressed one by one, as they move between machines twice."""
     for rows in batches:
-        texts = [t.as_py() for t in rows.column(3)]
+        texts = [t.as_py() for t in rows.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [*rows.columns[:3], pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
-            names=["doc_id", "t1", "t2", "packed", "size"])
+            [*rows.columns[:2], pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
+            names=["doc_id", "t", "packed", "size"])
 
 
 def unpack(packed: bytes, size: int) -> bytes:
@@ -328,38 +327,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text is an empty one; texts shorter than 200 bytes stay whole. Rows with equal texts are removed whole,
     repeated rows among them. A null id stays null; further columns are not read. What is left may end inside a
-    character, so it is binary. Texts are told apart by two 64-bit hashes.
+    character, so it is binary. Texts are told apart by two 64-bit hashes together.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
-    found = stage(rows.where(F.length("text") >= LENGTH).select("t1", "t2", "text").mapInArrow(_find, ANCHORS))
-    spot = F.xxhash64("t1", "t2", "start")
-    placed = found.repartition("bucket").sortWithinPartitions("bucket", "t1", "t2", "start")
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows, keys = _named(raw)
+    found = stage(rows.where(F.length("text") >= LENGTH).select("t", "text").mapInArrow(_find, ANCHORS))
+    placed = found.repartition("bucket").sortWithinPartitions("bucket", "t", "start")
     anchored = stage(placed.mapInArrow(_several, ANCHORS))
     big = stage(anchored.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > BIG))
     crowded = not big.isEmpty()
     anchored = anchored.join(big, "bucket", "left") if crowded else anchored.withColumn("members", F.lit(None).cast("long"))
-    marks = stage(anchored.groupBy("t1", "t2").agg(F.collect_set(
+    marks = stage(anchored.groupBy("t").agg(F.collect_set(
         F.struct("bucket", "start", "n", "place", F.col("members").isNotNull().alias("crowded"))).alias("marks")))
-    keys = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    keys = stage(keys)
-    lone = keys.select("t1", "t2", "doc_id").join(marks, ["t1", "t2"])
-    packed = rows.mapInArrow(_pack, "doc_id long, t1 long, t2 long, packed binary, size long")
-    texts = packed.alias("r").join(
-        lone.alias("k"), (F.col("r.t1") == F.col("k.t1")) & (F.col("r.t2") == F.col("k.t2")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
+    packed = rows.mapInArrow(_pack, "doc_id long, t long, packed binary, size long")
+    lone = keys.select("t", "doc_id").join(marks, "t")
+    texts = packed.alias("r").join(lone.alias("k"), (F.col("r.t") == F.col("k.t")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
 
     def contexts(chosen):
-        some = texts.select("r.t1", "r.t2", "r.packed", "r.size", F.filter("k.marks", chosen).alias("marks"))
+        some = texts.select("r.t", "r.packed", "r.size", F.filter("k.marks", chosen).alias("marks"))
         return some.where(F.size("marks") > 0).mapInArrow(_cut, CONTEXTS)
 
     plain = contexts(lambda m: ~m["crowded"])
-    plain = plain.repartition("bucket").sortWithinPartitions("bucket", "context", "place", "t1", "t2", "start")
+    plain = plain.repartition("bucket").sortWithinPartitions("bucket", "context", "place", "t", "start")
     spans = stage(plain.mapInArrow(_sort, SPANS))
     if crowded:
+        spot = F.xxhash64("t", "start")
         strings = stage(contexts(lambda m: m["crowded"]).mapInArrow(_whole, WHOLE).distinct())
         twice = strings.groupBy("s1", "s2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("s1", "s2")
-        spans = spans.union(strings.join(twice, ["s1", "s2"]).select("t1", "t2", F.col("start").alias("first"), F.col("start").alias("last")))
-    per_text = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    facts = keys.select("t1", "t2", "copies").join(per_text, ["t1", "t2"], "left")
-    return packed.join(facts, ["t1", "t2"]).select("doc_id", "packed", "size", "copies", "spans").mapInArrow(_remove, KEPT)
+        spans = spans.union(strings.join(twice, ["s1", "s2"]).select("t", F.col("start").alias("first"), F.col("start").alias("last")))
+    per_text = spans.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    facts = keys.select("t", "copies").join(per_text, "t", "left")
+    return packed.join(facts, "t").select("doc_id", "packed", "size", "copies", "spans").mapInArrow(_remove, KEPT)
+
+
+def _named(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a 64-bit name ``t`` of their text, and a row per text with its least id and its copies.
+
+    A second hash shows whether two texts share a name; then all are named anew by another seed.
+    """
+    for seed in range(100):
+        rows = raw.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("t"), "text")
+        named = rows.select("doc_id", "t", F.xxhash64(F.lit(-1), "text").alias("other")).groupBy("t").agg(
+            F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), (F.min("other") == F.max("other")).alias("one"))
+        keys = stage(named)
+        if keys.where("not one").isEmpty():
+            return rows, keys
+    raise ValueError("texts cannot be told apart")

@@ -183,7 +183,7 @@ def test_languages(spark):
 # Repeats
 
 
-@pytest.mark.parametrize("big", [20_000, 1])
+@pytest.mark.parametrize("big", [2_500, 1])
 def test_repeats(docs, monkeypatch, big):
     monkeypatch.setattr(suffixes, "BIG", big)
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
