@@ -28,7 +28,8 @@ PERIOD = 8
 COVER = (0, 1, 2, 4)
 PIECE = 1 << 18
 BLOCK = 3 << 18
-BIG = 2_500
+AT_ONCE = 300_000
+BIG = 12_000
 _LETTERS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER)
@@ -175,9 +176,9 @@ def sample_ranks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ``words`` has the eight bytes at every position. Doubling steps by multiples of the period go from sample to sample.
     """
     n = len(words)
-    positions = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-    where = np.zeros(n + LENGTH, np.int64)
-    where[positions] = np.arange(len(positions))
+    positions = np.flatnonzero(np.resize(np.isin(np.arange(PERIOD), COVER), n))
+    where = np.zeros(n + LENGTH, np.int32)
+    where[positions] = np.arange(len(positions), dtype=np.int32)
     ranks, reach = _dense(words[positions]), PERIOD
     while reach < LENGTH - PERIOD:
         step = min(reach, LENGTH - PERIOD - reach)
@@ -192,15 +193,26 @@ def repeated(text: np.ndarray, starts: np.ndarray, buckets: np.ndarray) -> np.nd
     """Which starts have, elsewhere in the same bucket, a string equal over LENGTH bytes. ``text`` ends in padding."""
     words = np.zeros(len(text) - PERIOD + 1, np.uint64)
     for k in range(PERIOD):
-        words = (words << np.uint64(8)) | text[k: len(text) - PERIOD + 1 + k].astype(np.uint64)
-    order = np.lexsort((words[starts], buckets))
-    head, bucket = words[starts[order]], buckets[order]
-    group = np.cumsum(np.concatenate(([0], (bucket[1:] != bucket[:-1]) | (head[1:] != head[:-1]))))
+        words = (words << np.uint64(8)) | text[k: len(text) - PERIOD + 1 + k]
     found = np.zeros(len(starts), bool)
-    order, group = _shared(order, group)
-    if not len(order):
-        return found
-    ranks, where = sample_ranks(words)
+    order = np.argsort(buckets, kind="stable")
+    edges = np.flatnonzero(np.diff(buckets[order], prepend=-1, append=-1))
+    samples, at = None, 0
+    while at < len(order):
+        some = order[at: edges[max(np.searchsorted(edges, at + AT_ONCE, "right") - 1, np.searchsorted(edges, at, "right"))]]
+        at += len(some)
+        some = some[np.argsort(words[starts[some]], kind="stable")]
+        some = some[np.argsort(buckets[some], kind="stable")]
+        head, bucket = words[starts[some]], buckets[some]
+        tied, group = _shared(some, np.cumsum(np.concatenate(([0], (bucket[1:] != bucket[:-1]) | (head[1:] != head[:-1])))))
+        if len(tied):
+            samples = samples or sample_ranks(words)
+            _resolve(found, starts, tied, group, words, *samples)
+    return found
+
+
+def _resolve(found, starts, order, group, words, ranks, where) -> None:
+    """Split groups that tie over the first bytes until the equal ones are told; a pivot each parts less, equal, greater."""
     while len(order):
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         size = np.diff(first, append=len(group))
@@ -215,7 +227,6 @@ def repeated(text: np.ndarray, starts: np.ndarray, buckets: np.ndarray) -> np.nd
         order, group = order[~equal], group[~equal] * 3 + side[~equal]
         again = np.argsort(group, kind="stable")
         order, group = _shared(order[again], group[again])
-    return found
 
 
 def _shared(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -183,9 +183,10 @@ def test_languages(spark):
 # Repeats
 
 
-@pytest.mark.parametrize("big", [2_500, 1])
-def test_repeats(docs, monkeypatch, big):
+@pytest.mark.parametrize(("big", "at_once"), [(12_000, 300_000), (12_000, 50), (1, 300_000)])
+def test_repeats(docs, monkeypatch, big, at_once):
     monkeypatch.setattr(suffixes, "BIG", big)
+    monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
     n = Counter(b[k: k + 200] for _, b in rows for k in range(len(b) - 199))
     want = Counter()
@@ -201,6 +202,17 @@ def test_repeats(docs, monkeypatch, big):
     assert Counter(map(tuple, got.collect())) == want
 
 
+def test_repeated_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = np.concatenate([rng.choice(np.frombuffer(b"ab", np.uint8), 3000), np.zeros(400, np.uint8)])
+    text[1500:2100] = text[200:800]
+    starts, buckets = np.arange(2700), np.zeros(2700, np.int64)
+    want = Counter(text[k: k + 200].tobytes() for k in starts)
+    for at_once in (10**6, 7):
+        monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+        assert [want[text[k: k + 200].tobytes()] > 1 for k in starts] == suffixes.repeated(text, starts, buckets).tolist()
+
+
 def test_difference_cover():
     shifts = suffixes._SHIFT
     for i in range(suffixes.PERIOD):
