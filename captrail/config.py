@@ -21,7 +21,6 @@ class CaptionConfig:
     preview_interval_seconds: float = 1.0
     preview_ring_size: int = 8
     thumbnail_limit: int = 5
-    candidate_limit: int = 50
     asr_pad_seconds: float = 0.45
     asr_correction_threshold: float = 0.72
     eval_text_threshold: float = 0.72
@@ -29,8 +28,6 @@ class CaptionConfig:
     roi_y_tolerance: float = 0.06
     roi_min_score: float = 0.48
     event_page_size: int = 500
-    event_page_max: int = 5000
-    task_page_max: int = 100
     poll_interval_seconds: float = 2.0
     poll_max_attempts: int = 900
     poll_max_errors: int = 5

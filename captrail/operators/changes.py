@@ -148,3 +148,8 @@ def select_probes(
         rows.schema["video_id"], T.StructField("frame_index", T.LongType()), T.StructField("strength", T.DoubleType()),
     ])
     return fold_groups(rows, ["video_id"], ["_o1", "_o2", "_o3", "_o4"], lambda: ProbeChoice(budget), schema)
+
+
+def minus_observed(wanted: DataFrame, observed: DataFrame, *keys: str) -> DataFrame:
+    """Wanted rows whose keys were not observed yet."""
+    return wanted.join(observed.select(*keys), list(keys), "left_anti")

@@ -9,12 +9,11 @@ from captrail.functions import text as TX
 from captrail.functions.numeric import clamp, is_finite
 from captrail.operators.ordered import ordered
 
-# Field aliases, in order of preference, and size limits.
+# Field aliases, in order of preference.
 START_KEYS = ("start_time", "startTime", "start")
 END_KEYS = ("end_time", "endTime", "end")
 SOURCE_START_KEYS = ("start", "start_time", "startTime")
 SOURCE_END_KEYS = ("end", "end_time", "endTime")
-MAX_CUES = 100_000
 MAX_SAFE_INTEGER = 9007199254740991
 
 
@@ -79,28 +78,20 @@ def judge_cues(items: DataFrame) -> DataFrame:
     at = lambda i: F.get("_box", F.lit(i))
     box = F.struct(at(0).alias("x1"), at(1).alias("y1"), at(2).alias("x2"), at(3).alias("y2"))
     return parsed.select(
-        "owner", "n", F.left(F.coalesce("_id", F.concat(F.lit("subtitle-"), F.col("n").cast("string"))), F.lit(128)).alias("id"),
+        "owner", "n", F.coalesce("_id", F.concat(F.lit("subtitle-"), F.col("n").cast("string"))).alias("id"),
         TX.clean_text(F.coalesce("_text", F.lit(""))).alias("text"), "start_time", "end_time",
         F.when(F.col("_confidence").isNotNull(), clamp(F.coalesce(conf, F.lit(0.0)), 0.0, 1.0)).alias("confidence"),
-        F.when(F.col("_good_box"), box).alias("box"), F.left("_source", F.lit(64)).alias("source"),
-        "start_frame", "end_frame_excl", "start_pts", "end_pts", F.left("_time_base", F.lit(32)).alias("time_base"),
+        F.when(F.col("_good_box"), box).alias("box"), F.col("_source").alias("source"),
+        "start_frame", "end_frame_excl", "start_pts", "end_pts", F.col("_time_base").alias("time_base"),
         fault.alias("problem"),
     )
 
 
 def normalize_cues(items: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
-    """(cues, rejects). Strict rejects every faulty record, lenient only bad times.
-
-    An owner with more than MAX_CUES records is rejected as a whole.
-    """
+    """(cues, rejects). Strict rejects every faulty record, lenient only bad times."""
     judged = judge_cues(items)
-    crowded = items.groupBy("owner").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_CUES)
-    fits = judged.join(crowded.select("owner"), "owner", "left_anti")
     fatal = F.col("problem").isNotNull() if strict else F.coalesce(F.col("problem") == "time", F.lit(False))
-    rejects = gate(fits, fatal).select("owner", "n", "problem").unionByName(
-        crowded.select("owner", F.lit(None).cast("long").alias("n"), F.lit("too_many").alias("problem"))
-    )
-    return gate(fits, ~fatal).drop("problem"), rejects
+    return gate(judged, ~fatal).drop("problem"), gate(judged, fatal).select("owner", "n", "problem")
 
 
 def normalize_visual(items: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +116,7 @@ def normalize_visual(items: DataFrame, strict: bool = False) -> tuple[DataFrame,
     bbox = F.coalesce("_nested", F.when(F.col("_flat_ok"), F.transform("_flat", lambda v: F.array(v))), empty)
     conf, s, e, owner = F.col("_conf"), F.col("start_time"), F.col("end_time"), F.col("owner")
     problem = (
-        F.when((owner == "") | (F.length(owner) > 80), "owner")
+        F.when(owner == "", "owner")
         .when(s.isNull() | (s < 0) | e.isNull() | (e <= s), "time")
         .when(F.lit(strict) & F.col("_place").isNotNull() & F.col("_nested").isNull() & ~F.col("_flat_ok"), "bbox")
         .when(F.lit(strict) & F.col("_confidence").isNotNull() & ~F.coalesce(conf.between(0.0, 1.0), F.lit(False)), "confidence")
@@ -227,4 +218,4 @@ def audit_media_manifest(manifest: DataFrame, max_bytes: int) -> DataFrame:
         F.when(~F.col("task_id").rlike(TASK_ID), "task_id").when(~allowed, "suffix")
         .when(F.col("size_bytes") <= 0, "empty").when(F.col("size_bytes") > max_bytes, "too_large")
     )
-    return manifest.select("task_id", F.left(clean, F.lit(255)).alias("filename"), suffix.alias("suffix"), problem.alias("problem"))
+    return manifest.select("task_id", clean.alias("filename"), suffix.alias("suffix"), problem.alias("problem"))

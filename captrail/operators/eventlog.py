@@ -16,7 +16,6 @@ RUN_ID = "^[a-f0-9]{32}$"
 EVENT_TYPE = "^[a-z][a-z0-9_.-]{0,63}$"
 TASK_ID = "^[A-Za-z0-9][A-Za-z0-9_-]{0,79}$"
 TERMINAL_TYPES = ("job.completed", "job.failed")
-MAX_CANDIDATES = 50
 
 RUN = ["task_id", "run_id"]
 CHUNK_EVENTS = 20000
@@ -67,8 +66,10 @@ def parse_cursor(cursor: Column) -> Column:
 
 def replay(events: DataFrame, task_id: str, run_id: str, after_seq: int = 0, limit: int = 500) -> DataFrame:
     """One cursor page of a run: rows after ``after_seq`` with latest_seq and has_more."""
+    if limit < 1:
+        raise ValueError("a page has at least one row")
     run = events.where((F.col("task_id") == task_id) & (F.col("run_id") == run_id))
-    return page_run(run, after_seq, max(1, min(5000, limit)))
+    return page_run(run, after_seq, limit)
 
 
 def page_run(run: DataFrame, after_seq: int, limit: int) -> DataFrame:
@@ -141,8 +142,12 @@ def audit_media_time(events: DataFrame) -> DataFrame:
     )
 
 
-def flatten_frames(events: DataFrame) -> DataFrame:
-    """Typed columns from the JSON payload of frame events; old and new key spellings."""
+def flatten_frames(events: DataFrame, most: int | None = None) -> DataFrame:
+    """Typed columns from the JSON payload of frame events; old and new key spellings.
+
+    All candidates stay unless the caller wants ``most`` of a frame.
+    """
+    given = F.coalesce(F.try_variant_get(F.col("_v"), "$.candidates", "array<variant>"), F.array().cast("array<variant>"))
     v = F.col("_v")
     get = lambda *keys: first_present(v, keys)
     whole = lambda *keys: F.floor(finite_nonneg(number(get(*keys))))
@@ -153,7 +158,7 @@ def flatten_frames(events: DataFrame) -> DataFrame:
         whole("detected_cue_count", "detectedCueCount", "cue_count").alias("cue_count"),
         F.coalesce(get("coordinate_space", "coordinateSpace"), F.lit("video")).alias("coordinate_space"),
         F.coalesce(get("preview_id", "previewId", "frame_preview_id", "framePreviewId", "preview.frame.id"), F.lit("")).alias("preview_id"),
-        F.slice(F.coalesce(F.try_variant_get(v, "$.candidates", "array<variant>"), F.array().cast("array<variant>")), 1, MAX_CANDIDATES).alias("candidates"),
+        (given if most is None else F.slice(given, 1, most)).alias("candidates"),
     )
 
 

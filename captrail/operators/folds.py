@@ -66,16 +66,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a result that several branches read, in the shared checkpoint folder.
 
-    Without such a folder only a local session may make one up; elsewhere the
-    frame is returned as it is and gets recomputed per branch.
+    A session on a cluster has to name that folder in ``spark.checkpoint.dir``;
+    only a local one may do without.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="captrail-ckpt-")
-        sc.setCheckpointDir(folder)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="captrail-ckpt-"))
     return df.checkpoint()

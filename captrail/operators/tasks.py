@@ -19,7 +19,6 @@ STATUS_WORDS = {
 SOURCE_STATUSES = ("pending", "queued", "processing", "completed", "failed", "skipped")
 TASK_STATUSES = ("queued", "processing", "completed", "failed")
 TERMINAL = ("completed", "failed")
-ERROR_LIMIT = 4000
 
 
 def normalize_status(raw: Column, fallback: str = "processing") -> Column:
@@ -41,7 +40,7 @@ def normalize_job_status(jobs: DataFrame) -> DataFrame:
     status = normalize_status(F.col("status"))
     return jobs.select(
         "id", status.alias("status"), normalize_progress(F.col("progress"), status).alias("progress"),
-        F.when(F.col("error") != "", F.left("error", F.lit(ERROR_LIMIT))).alias("error"),
+        F.nullif("error", F.lit("")).alias("error"),
     )
 
 
@@ -109,7 +108,7 @@ def parent_state(tasks: DataFrame) -> DataFrame:
         "id", state.alias("status"),
         F.when(n == 0, 0).when(over & won, 100).otherwise(mean).cast("long").alias("progress"),
         F.when(n == 0, nothing).when(~over, summary).when(won, done).otherwise(broken).alias("message"),
-        F.when(n == 0, nothing).when(over & ~won, F.left(F.when(errors == "", "AI processing failed").otherwise(errors), F.lit(ERROR_LIMIT))).alias("error"),
+        F.when(n == 0, nothing).when(over & ~won, F.when(errors == "", "AI processing failed").otherwise(errors)).alias("error"),
     )
 
 
@@ -130,7 +129,8 @@ def list_tasks(
     The page is a top-k; the total is a separate aggregate, so nothing is
     numbered globally.
     """
-    limit = max(1, min(100, limit))
+    if page < 1 or limit < 1:
+        raise ValueError("pages count from 1 and have at least one row")
     found = matching_tasks(tasks, status, search, include_archived)
     newest = F.coalesce("updated_at", "created_at")
     rows = task_summary(found.orderBy(newest.desc(), "id").offset((page - 1) * limit).limit(limit))

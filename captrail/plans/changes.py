@@ -90,7 +90,7 @@ def select_probes(spark, d):
 def _coarse(spark, d):
     """Coarse events and observations around them, from the detections."""
     obs = load(spark, d, "obs")
-    events = obs.where("cand_no % 5 = 0").select(
+    events = obs.select(
         "video_id", F.xxhash64("cand_no", "x1", "x2", "text", "y2").alias("cue_id"), "text",
         (F.col("ts") + 0.25).alias("start_time"), (F.col("ts") + 0.75).alias("end_time"),
         "confidence", F.struct("x1", "y1", "x2", "y2").alias("box"),

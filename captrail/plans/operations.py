@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from captrail.operators import changes as CH
 from captrail.operators import eventlog as EL
 from captrail.operators import tasks as TK
 from captrail.plans import sqlparts as Q
@@ -47,7 +48,7 @@ def list_tasks(spark, d):
 
 @query("normalize_job_status", """select o_orderkey as id, case when lower(p) in ('queued','pending') then 'queued' when lower(p) in ('started') then 'processing' when lower(p) in ('done') then 'completed' when lower(p) = 'error' then 'failed' else 'processing' end as status,
  case when o_orderkey % 4 = 0 then case when lower(p) = 'done' then 100 else 0 end else least(100, greatest(0, o_totalprice/1000 - 100)) end::double as progress,
- case when o_orderkey % 3 = 0 then left(repeat('x', cast(o_orderkey % 5000 + 1 as int)), 4000) end as error
+ case when o_orderkey % 3 = 0 then repeat('x', cast(o_orderkey % 5000 + 1 as int)) end as error
  from (select *, case o_orderkey % 5 when 0 then 'Pending' when 1 then 'STARTED' when 2 then 'done' when 3 then 'error' else 'other' end as p from orders)""")
 def normalize_job_status(spark, d):
     k = F.col("o_orderkey")
@@ -162,9 +163,8 @@ x as (select p.* from progress p join r using (task_id, run_id)), w as (select *
 select task_id, run_id, seq, type, (select max(seq) from x) as latest_seq, (select count(*) > 3 from w) as has_more from w order by seq limit 3"""))
 def replay(spark, d):
     e = load(spark, d, "progress")
-    first = e.where("task_key = 0").groupBy("task_id").agg(F.min("run_id").alias("run_id"))
-    run = e.join(first, ["task_id", "run_id"], "left_semi")
-    return EL.page_run(run, 50, 3).select("task_id", "run_id", "seq", "type", "latest_seq", "has_more")
+    first = e.where("task_key = 0").groupBy("task_id").agg(F.min("run_id").alias("run_id")).first()
+    return EL.replay(e, first.task_id, first.run_id, 50, 3).select("task_id", "run_id", "seq", "type", "latest_seq", "has_more")
 
 
 @query("parse_cursor", oracle("progress", """select task_id, run_id, seq, case when seq % 3 = 0 then run_id end as cursor_run, case when seq % 3 < 2 then seq end as cursor_seq from progress"""))
@@ -227,14 +227,14 @@ def _payloads(spark, d):
 
 
 @query("flatten_frames", oracle("progress", """select task_id, run_id, seq, seq as frame_index, seq*400::double as pts, round(seq/30, 9) as media_time, null::bigint as processed, case when seq % 3 = 0 then 'roi' else 'video' end as coordinate_space,
- case when seq % 5 <> 0 then 'p'||k else '' end as preview_id, least(50, k % 60 + 1) as candidates from progress where type = 'frame.analyzed'"""))
+ case when seq % 5 <> 0 then 'p'||k else '' end as preview_id, k % 60 + 1 as candidates from progress where type = 'frame.analyzed'"""))
 def flatten_frames(spark, d):
     out = EL.flatten_frames(_payloads(spark, d))
     return out.select("task_id", "run_id", "seq", "frame_index", "pts", F.round("media_time", 9).alias("media_time"), "processed", "coordinate_space", "preview_id", F.size("candidates").alias("candidates"))
 
 
 @query("explode_candidates", oracle("progress", """select task_id, run_id, seq, cast(i - 1 as int) as n, 'w'||i as text, i/100 as confidence, i + 3::double as y2, case when seq % 3 = 0 then 'roi' else 'video' end as coordinate_space
- from progress, range(1, 51) r(i) where type = 'frame.analyzed' and i <= k % 60 + 1"""))
+ from progress, range(1, 61) r(i) where type = 'frame.analyzed' and i <= k % 60 + 1"""))
 def explode_candidates(spark, d):
     out = EL.explode_candidates(EL.flatten_frames(_payloads(spark, d)))
     return out.select("task_id", "run_id", "seq", "n", "text", "confidence", F.get("position", F.lit(3)).alias("y2"), "coordinate_space")
@@ -288,7 +288,7 @@ def stalled_runs(spark, d):
     return EL.stalled_runs(polls, 600.0, 5)
 
 
-@query("minus_observed", oracle("cues", "select video_id, cue_id from cues where cue_id % 2 = 0 except all select video_id, cue_id from cues where cue_id % 3 = 0"))
+@query("minus_observed", oracle("cues", "select video_id, cue_id from cues except all select video_id, cue_id from cues where confidence >= 0.5"))
 def minus_observed(spark, d):
-    c = load(spark, d, "cues").select("video_id", "cue_id")
-    return c.where("cue_id % 2 = 0").join(c.where("cue_id % 3 = 0"), ["video_id", "cue_id"], "left_anti")
+    c = load(spark, d, "cues")
+    return CH.minus_observed(c.select("video_id", "cue_id"), c.where("confidence >= 0.5"), "video_id", "cue_id")

@@ -115,14 +115,14 @@ def cue_at(spark, d):
 
 
 @query("cues_in_window", oracle("cues", """with win as (select video_id, cue_id as view_id,
-    start_time - 1 as view_start, start_time + 4 as view_end from cues where cue_id % 5 = 0)
+    start_time - 1 as view_start, start_time + 4 as view_end from cues)
 select w.video_id, w.view_id, c.cue_id,
   round_even((greatest(c.start_time, view_start) - view_start)*100/(view_end-view_start), 4) as left_pct,
   round_even((least(c.end_time, view_end) - greatest(c.start_time, view_start))*100/(view_end-view_start), 4) as width_pct
 from win w join cues c on c.video_id = w.video_id and c.start_time < view_end and c.end_time > view_start"""))
 def cues_in_window(spark, d):
     c = cues(spark, d)
-    views = c.where("cue_id % 5 = 0").select(
+    views = c.select(
         "video_id", F.col("cue_id").alias("view_id"), (F.col("start_time") - 1).alias("view_start"),
         (F.col("start_time") + 4).alias("view_end"),
     )

@@ -38,19 +38,11 @@ _SCORE = f"""(confidence*{Q.f(.45)} + least(1, {Q.ntok("trim(regexp_replace(text
 
 
 @query("rank_candidates", oracle("obs", f"""with s as (select *, {_SCORE} as sc from obs)
-select video_id, frame_index, cand_no, text, confidence, round(sc, 9) as score, rank from (
- select *, row_number() over (partition by video_id, frame_index order by sc desc, cand_no, x1, x2, y2, text) as rank from s) q
- where rank = 1"""))
+select video_id, frame_index, cand_no, text, confidence, round(sc, 9) as score,
+ row_number() over (partition by video_id, frame_index order by sc desc, cand_no, x1, x2, y1, y2, text) as rank from s"""))
 def rank_candidates(spark, d):
-    obs = load(spark, d, "obs").withColumn("score", CO.candidate_score(*_crop()))
-    best = obs.groupBy("video_id", "frame_index").agg(F.min_by(
-        F.struct("cand_no", "text", "confidence", "score"),
-        F.struct(-F.col("score"), "cand_no", "x1", "x2", "y2", "text"),
-    ).alias("b"))
-    return best.select(
-        "video_id", "frame_index", "b.cand_no", "b.text", "b.confidence",
-        F.round("b.score", 9).alias("score"), F.lit(1).alias("rank"),
-    )
+    ranked = CO.rank_candidates(load(spark, d, "obs"), *_crop())
+    return ranked.select("video_id", "frame_index", "cand_no", "text", "confidence", F.round("score", 9).alias("score"), "rank")
 
 
 @query("top_candidates", oracle("obs", f"""with s as (select video_id, cand_no, text, x1, y1, x2, y2, confidence, {_SCORE} as sc from obs)

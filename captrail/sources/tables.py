@@ -77,24 +77,25 @@ from {conversations}
 
 _TRUTH = """
 select user_id as video_id, event_id as event_key,
-       case when event_id % 13 = 0 then concat('thank you ', cast(floor(event_id / 2000) as bigint))
+       case when event_id % 6 = 5 then concat('unread ', substr(md5(cast(event_id * 37 as string)), 1, 20))
+            when event_id % 13 = 0 then concat('thank you ', cast(floor(event_id / 2000) as bigint))
             else concat(event_type, ' ', substr(md5(cast(event_id as string)), 1, 16)) end as text,
        event_id * 2 as start_frame, event_id * 2 + 1 as end_frame,
        case when event_id % 10 = 0 then 'A' else 'B' end as tier,
        case when event_id % 10 = 0 then cast(0 as bigint) else event_id % 3 end as uncertainty
-from {events} where event_id % 6 <> 5
+from {events}
 """
 
 _PRED = """
 select user_id as video_id, event_id as event_key,
-       case when event_id % 17 = 0 then concat('noise ', substr(md5(cast(event_id * 31 as string)), 1, 20))
+       case when event_id % 17 = 0 or event_id % 7 = 0 then concat('noise ', substr(md5(cast(event_id * 31 as string)), 1, 20))
             when event_id % 13 = 0 then concat('thank you ', cast(floor(event_id / 2000) as bigint))
             when event_id % 11 = 0 then replace(concat(event_type, ' ', substr(md5(cast(event_id as string)), 1, 16)), 'e', 'c')
             when event_id % 3 = 0 then upper(concat(event_type, '-', substr(md5(cast(event_id as string)), 1, 16)))
             else concat(event_type, ' ', substr(md5(cast(event_id as string)), 1, 16)) end as text,
        case when event_id % 10 = 0 then event_id * 2 else event_id * 2 + event_id % 3 - 1 end as start_frame,
        case when event_id % 20 = 0 then event_id * 2 + 1 else event_id * 2 + 2 + event_id % 2 end as end_frame
-from {events} where event_id % 7 <> 0
+from {events}
 """
 
 _PROGRESS = """
