@@ -288,7 +288,7 @@ def stalled_runs(spark, d):
     return EL.stalled_runs(polls, 600.0, 5)
 
 
-@query("minus_observed", oracle("cues", "select video_id, cue_id from cues except all select video_id, cue_id from cues where confidence >= 0.5"))
+@query("minus_observed", oracle("cues", "select video_id, cue_id from cues except all select video_id, cue_id from cues where confidence >= 0.75"))
 def minus_observed(spark, d):
     c = load(spark, d, "cues")
-    return CH.minus_observed(c.select("video_id", "cue_id"), c.where("confidence >= 0.5"), "video_id", "cue_id")
+    return CH.minus_observed(c.select("video_id", "cue_id"), c.where("confidence >= 0.75"), "video_id", "cue_id")

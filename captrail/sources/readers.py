@@ -5,7 +5,7 @@ Faulty records become rows of a ``rejects`` frame; nothing is raised per record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,24 +192,48 @@ def parse_jobs(docs: DataFrame) -> DataFrame:
     ).where("id is not null")
 
 
-def _event_rows(raw: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
+def _event_rows(raw: DataFrame, path: str = "_metadata.file_path", *more: str) -> DataFrame:
+    """Good events whose ids agree with their place: ``<task>/<run>.jsonl`` or ``task=<task>/run=<run>/part-*``."""
+    path = F.col(path)
+    parts = r"task=([^/]+)/run=([^/]+)/[^/]+$"
+    placed = path.rlike(parts)
     tagged = raw.select(
-        *[F.col(f.name) for f in EVENT_SCHEMA], F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("_task"),
-        F.regexp_extract(path, r"([^/]+)\.jsonl?$", 1).alias("_run"),
+        *[F.col(f.name) for f in EVENT_SCHEMA], *more,
+        F.when(placed, F.regexp_extract(path, parts, 1)).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("_task"),
+        F.when(placed, F.regexp_extract(path, parts, 2)).otherwise(F.regexp_extract(path, r"([^/]+)\.jsonl?$", 1)).alias("_run"),
     )
     own_place = (F.col("task_id") == F.col("_task")) & (F.col("run_id") == F.col("_run"))
     return tagged.where(F.col("_corrupt").isNull() & well_formed() & own_place).drop("_corrupt", "_task", "_run")
 
 
+def _in_file_order(raw: DataFrame) -> DataFrame:
+    """Add ``_position``: a number that grows along a run's files, in the order they were appended, and their lines.
+
+    Within a split rows come in order, a row has at least one byte, and a split tells where in its file it starts; so
+    the start plus the number of rows before it in the split is increasing. Files of one append share a name part.
+    """
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+                      F.col("_metadata.file_modification_time").alias("_saved"), F.monotonically_increasing_id().alias("_row"))
+    splits = rows.groupBy("_file", "_from").agg(F.min("_row").alias("_first"), F.min("_saved").alias("_saved"))
+    files = splits.groupBy("_file").agg(F.min("_saved").alias("_saved")).select(
+        "_file", "_saved", F.regexp_extract("_file", r"^(.*)/[^/]*$", 1).alias("_folder"),
+        F.coalesce(F.nullif(F.regexp_extract("_file", r"part-\d+-([0-9a-f\-]{36})", 1), F.lit("")), F.col("_file")).alias("_append"))
+    appended = Window.partitionBy("_folder", "_append")
+    order = Window.partitionBy("_folder").orderBy("_appended", "_append", "_file")
+    ranked = files.withColumn("_appended", F.min("_saved").over(appended)).select("_file", F.row_number().over(order).alias("_rank"))
+    start = splits.select("_file", "_from", "_first").join(ranked, "_file")
+    place = F.col("_rank") * F.lit(1 << 42) + F.col("_from") + F.col("_row") - F.col("_first")
+    return rows.drop("_saved").join(start, ["_file", "_from"]).withColumn("_position", place)
+
+
 def read_event_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Events under ``folder``/<task_id>/<run_id>.jsonl; bad, misplaced and repeated rows are dropped."""
+    """Events under ``folder``, one file or one folder of parts per run.
+
+    Bad and misplaced rows are dropped, and so is a row whose number does not exceed all earlier ones of its file order.
+    """
     raw = spark.read.schema(EVENT_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").option(
         "recursiveFileLookup", "true").json(folder)
-    first = _event_rows(raw).groupBy("task_id", "run_id", "seq").agg(
-        F.min_by(F.struct("type", "occurred_at", "payload", "progress", "message"), "occurred_at").alias("e")
-    )
-    return first.select("task_id", "run_id", "seq", "e.*")
+    return keep_increasing(_event_rows(_in_file_order(raw), "_file", "_position"), "_position").drop("_position")
 
 
 def stream_event_log(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:

@@ -31,8 +31,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append sequenced events; one folder per task."""
-    events.write.mode("append").partitionBy("task_id").json(path)
+    """Append sequenced events, a folder per task and run, in the form that ``read_event_log`` reads."""
+    rows = events.withColumns({"task": F.col("task_id"), "run": F.col("run_id")})
+    _ranged(rows, "task_id", "run_id", "seq").write.mode("append").partitionBy("task", "run").json(path)
 
 
 def build_diagnostics(cues: DataFrame, videos: DataFrame, run_stats: DataFrame) -> DataFrame:

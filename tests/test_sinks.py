@@ -33,11 +33,24 @@ def test_cue_json_is_ordered(spark, data, tmp_path):
 
 
 def test_events_append_with_continued_numbers(spark, data, tmp_path):
+    path = str(tmp_path / "log")
     e = OP.progress(spark, data).where("task_id = 'task-1'").select("task_id", "run_id", "seq", "type", "message")
     old, new = e.where("seq % 2 = 0"), e.where("seq % 2 = 1")
-    WR.append_events(old, str(tmp_path / "log"))
-    stored = spark.read.json(str(tmp_path / "log"))
+    WR.append_events(old, path)
+    stored = RD.read_event_log(spark, path)
     numbered = EL.assign_seq(new.withColumnRenamed("seq", "position"), stored, "position").drop("position")
-    WR.append_events(numbered, str(tmp_path / "log"))
-    audit = EL.audit_sequences(spark.read.json(str(tmp_path / "log")).withColumn("occurred_at", F.col("seq")))
-    assert audit.agg(F.sum("events"), F.sum("duplicates")).collect()[0] == (e.count(), 0)
+    WR.append_events(numbered, path)
+    want = old.unionByName(numbered).select("task_id", "run_id", "seq", "type", "message").collect()
+    got = RD.read_event_log(spark, path).select("task_id", "run_id", "seq", "type", "message").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == e.count()
+
+
+def test_log_keeps_numbers_that_grow_along_the_file(spark, tmp_path):
+    run = "a" * 32
+    folder = tmp_path / "log" / "t1"
+    folder.mkdir(parents=True)
+    rows = [{"task_id": "t1", "run_id": run, "seq": s, "type": "stage.progress", "message": m} for s, m in
+            [(1, "first"), (3, "kept"), (2, "late"), (3, "again"), (5, "kept"), (4, "late"), (6, "last")]]
+    (folder / f"{run}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n{torn")
+    got = RD.read_event_log(spark, str(tmp_path / "log")).orderBy("seq").collect()
+    assert [(r.seq, r.message) for r in got] == [(1, "first"), (3, "kept"), (5, "kept"), (6, "last")]
