@@ -7,6 +7,7 @@ fragment text, evaluation text, two compact forms and the region variation key.
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,9 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+@cache
+def foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Full case folding by the interpreter's tables: letters with one-letter foldings, those, and the longer foldings."""
+    changed = [(ch, ch.casefold()) for ch in map(chr, range(0x110000)) if ch.casefold() != ch]
+    one = [(a, b) for a, b in changed if len(b) == 1]
+    return "".join(a for a, _ in one), "".join(b for _, b in one), tuple((a, b) for a, b in changed if len(b) > 1)
+
+
 def fold(c: Column) -> Column:
-    """Lower case with the sharp s spelled out."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding, as the Python kernels have it.
+
+    In the Latin blocks lower case is the folding but for a few letters; only texts with one of those, or with letters
+    of other blocks, go through the whole table.
+    """
+    letters, folded, long = foldings()
+    sharp = F.replace(c, F.lit("ß"), F.lit("ss"))
+    odd = "".join(ch for ch in map(chr, range(0x250)) if ch.casefold() != ch.lower() and ch != "ß")
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in long])
+    spelled = F.aggregate(pairs, sharp, lambda t, x: F.replace(t, x["a"], x["b"]))
+    return F.when(sharp.rlike(rf"[^\x00-\x{{24F}}]|[{odd}]"), F.translate(spelled, letters, folded)).otherwise(F.lower(sharp))
 
 
 def norm_caption(c: Column) -> Column:

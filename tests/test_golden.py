@@ -333,3 +333,11 @@ def test_cue_lookup(spark, t, want):
     c = spark.range(10000).select(F.lit(1).alias("video_id"), F.col("id").alias("cue_id"), F.lit("x").alias("text"), F.col("id").cast("double").alias("start_time"), (F.col("id") + 0.5).alias("end_time"))
     p = spark.createDataFrame([(1, t)], "video_id int, t double")
     assert [r["cue_id"] for r in C.cue_at(p, c).collect()] == [want]
+
+
+def test_fold_is_casefold_for_every_letter(spark):
+    texts = [(chr(c) + "A" + chr(c),) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c]
+    rows = spark.createDataFrame(texts, "t string").select("t", TX.fold(F.col("t")).alias("f")).collect()
+    assert [r.t for r in rows if r.f != r.t.casefold()] == []
+    odd = spark.createDataFrame([("ﬁne ΟΔΟΣ ς Straße",)], "t string").select(TX.norm_caption(F.col("t"))).first()[0]
+    assert odd == "fine οδοσ σ strasse"
