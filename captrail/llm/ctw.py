@@ -26,7 +26,7 @@ from .common import crc_mod, partitions, stage
 
 DEPTH = 5
 BATCH_BYTES = 24 << 20
-LEAST_BYTES = 2 << 20
+LEAST_BYTES = 16 << 20
 PIECE = 1 << 20
 END = b"\xff"
 HALF = float(np.log(0.5))
