@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from captrail.functions.numeric import clamp, finite_nonneg, half_even
 from captrail.operators.clean import first_present, number
 from captrail.operators.folds import Fold, fold_groups
-from captrail.operators.ordered import ordered, top_k_per
+from captrail.operators.ordered import ordered, time_chunk, top_k_per
 
 # Identifier patterns and terminal event types.
 RUN_ID = "^[a-f0-9]{32}$"
@@ -278,5 +278,15 @@ STALL = T.StructType([
 
 
 def stalled_runs(polls: DataFrame, timeout: float = 1800.0, max_errors: int = 5) -> DataFrame:
-    """Runs given up on. ``polls``: (task_id, run_id, at seconds, cursor, ok)."""
-    return fold_groups(polls, RUN, ["at", "cursor"], lambda: Stalls(max_errors, timeout), STALL)
+    """Runs given up on. ``polls``: (task_id, run_id, at seconds, cursor, ok).
+
+    A poll moves a run if its cursor exceeds all earlier ones; failed polls count from the last move on.
+    """
+    order, chunk = ["at", "cursor"], time_chunk("at", 43_200.0)
+    failed = (~F.col("ok")).cast("long")
+    seen = ordered(polls, RUN, order, chunk, max_before={"_top": "cursor"}, running_sum={"_failed": failed})
+    moved = F.when(F.col("_top").isNull() | (F.col("cursor") > F.col("_top")), F.struct("at", (F.col("_failed") - failed).alias("failed")))
+    told = ordered(seen, RUN, order, chunk, last_seen={"_moved": moved})
+    reason = F.when(F.col("_failed") - F.col("_moved.failed") >= max_errors, "errors").when(F.col("at") - F.col("_moved.at") > timeout, "stalled")
+    first = F.min_by(F.struct("at", F.greatest("cursor", "_top").alias("cursor"), "reason"), F.struct("at", "cursor")).alias("e")
+    return told.withColumn("reason", reason).where("reason is not null").groupBy(*RUN).agg(first).select(*RUN, "e.at", "e.cursor", "e.reason")

@@ -143,7 +143,15 @@ def proxy_report(spark, d):
     return EV.proxy_report(rt, pt, matches)
 
 
-@query("corpus_error_rates")
+_CODED = "list_reduce(list_prepend('', list_transform({0}, lambda w: chr((33 + list_position(u, w))::int))), lambda x, y: x || y)"
+
+
+@query("corpus_error_rates", oracle("truth pred", f"""with j as (select t.video_id, {Q.norm_eval('t.text')} as a, {Q.norm_eval('p.text')} as b from truth t join pred p on p.video_id = t.video_id and p.event_key = t.event_key),
+s as (select *, list_filter(string_split(a, ' '), lambda w: w <> '') as wa, list_filter(string_split(b, ' '), lambda w: w <> '') as wb from j),
+d as (select *, list_distinct(wa || wb) as u from s),
+g as (select video_id, cast(sum(levenshtein({_CODED.format('wa')}, {_CODED.format('wb')})) as bigint) as word_edits, cast(sum(len(wa)) as bigint) as words,
+ cast(sum(levenshtein(a, b)) as bigint) as char_edits, cast(sum(length(a)) as bigint) as chars from d group by 1)
+select *, coalesce(round_even(word_edits/nullif(words, 0), 6), 0) as wer, coalesce(round_even(char_edits/nullif(chars, 0), 6), 0) as cer from g"""))
 def corpus_error_rates(spark, d):
     t = load(spark, d, "truth").select("video_id", "event_key", F.col("text").alias("reference"))
     p = load(spark, d, "pred").select("video_id", "event_key", F.col("text").alias("hypothesis"))

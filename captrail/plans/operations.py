@@ -73,7 +73,14 @@ def apply_transitions(spark, d):
     return TK.apply_transitions(tasks(spark, d), commands).select("id", "status", "archived_at", "started_by", "conflicts")
 
 
-@query("replay_edits")
+_DECISIONS = """with recursive e as (select e.task_no, edit_no, expected_revision::bigint as expected_revision, e.cue_count::bigint as cue_count, row_number() over (partition by e.task_no order by arrival_ts, edit_no, tie) as n from edits e join tasks t on t.task_no = e.task_no),
+r as (select task_no, null::bigint as edit_no, null::bigint as expected_revision, null::boolean as accepted, coalesce(revision, 0)::bigint as revision, null::bigint as cue_count, 0::bigint as n from tasks
+ union all select r.task_no, e.edit_no, e.expected_revision, e.expected_revision = r.revision, r.revision + (e.expected_revision = r.revision)::int, e.cue_count, e.n
+ from r join e on e.task_no = r.task_no and e.n = r.n + 1)
+select task_no, edit_no, expected_revision, accepted, revision, cue_count from r where n > 0"""
+
+
+@query("replay_edits", oracle("tasks edits", _DECISIONS).replace("with tasks", "with recursive tasks", 1).replace(", recursive e as", ", e as", 1))
 def replay_edits(spark, d):
     return TK.replay_edits(tasks(spark, d), load(spark, d, "edits"))
 
@@ -272,7 +279,12 @@ def classify_interrupted(spark, d):
     return EL.classify_interrupted(jobs)
 
 
-@query("rate_limit")
+@query("rate_limit", oracle("progress", """with recursive p as (select task_id, 'r' as run_id, seq, seq / 20 as "at", seq % 9 = 0 as evidence,
+ row_number() over (partition by task_id order by seq) as n from progress where type = 'frame.analyzed'),
+r as (select task_id, 0::bigint as n, null::bigint as seq, null::double as "at", null::boolean as evidence, false as kept, null::double as last from p where n = 1
+ union all select p.task_id, p.n, p.seq, p."at", p.evidence, p.evidence or r.last is null or p."at" - r.last >= 5,
+  case when not p.evidence and (r.last is null or p."at" - r.last >= 5) then p."at" else r.last end from r join p on p.task_id = r.task_id and p.n = r.n + 1)
+select task_id, 'r' as run_id, seq, "at", evidence from r where kept""").replace("with progress", "with recursive progress", 1).replace(", recursive p as", ", p as", 1))
 def rate_limit(spark, d):
     p = progress(spark, d).where("type = 'frame.analyzed'").select(
         "task_id", F.lit("r").alias("run_id"), "seq", (F.col("seq") / 20).alias("at"), (F.col("seq") % 9 == 0).alias("evidence")
@@ -280,7 +292,17 @@ def rate_limit(spark, d):
     return EL.rate_limit(p, 5.0)
 
 
-@query("stalled_runs")
+_POLL = 'over (partition by task_id, run_id order by "at", cursor rows between unbounded preceding and'
+
+
+@query("stalled_runs", oracle("progress", f"""with p as (select task_id, run_id, (seq*2)::double as "at", seq - seq % 200 as cursor, seq % 3 = 0 as ok from progress),
+a as (select *, max(cursor) {_POLL} 1 preceding) as top, sum((not ok)::int) {_POLL} current row) as bad from p),
+b as (select *, top is null or cursor > top as moved from a),
+c as (select *, last_value(case when moved then "at" end ignore nulls) {_POLL} current row) as moved_at,
+ last_value(case when moved then bad - (not ok)::int end ignore nulls) {_POLL} current row) as before from b),
+e as (select *, case when bad - before >= 5 then 'errors' when "at" - moved_at > 600 then 'stalled' end as reason from c)
+select task_id, run_id, min("at") as "at", arg_min(greatest(cursor, top), ("at", cursor)) as cursor, arg_min(reason, ("at", cursor)) as reason
+ from e where reason is not null group by 1, 2"""))
 def stalled_runs(spark, d):
     polls = progress(spark, d).select(
         "task_id", "run_id", (F.col("seq") * 2).cast("double").alias("at"), (F.col("seq") - F.col("seq") % 200).alias("cursor"), (F.col("seq") % 3 == 0).alias("ok")
