@@ -12,7 +12,7 @@ from captrail.config import CaptionConfig
 from captrail.functions.numeric import half_even
 from captrail.operators.folds import Fold, cut, fold_groups
 from captrail.operators.intervals import points_in_spans
-from captrail.operators.ordered import ordered
+from captrail.operators.ordered import ordered, quantiles
 
 CHUNK_FRAMES = 20000
 
@@ -41,13 +41,12 @@ def blend_scores(local: Column, whole: Column) -> Column:
 def change_thresholds(scores: DataFrame, floor: float) -> DataFrame:
     """Robust threshold per (video, variant): median plus five median deviations."""
     keys = ["video_id", "variant"]
-    med = scores.groupBy(*keys).agg(F.median("score").alias("baseline"), F.count(F.lit(1)).alias("n"))
-    dev = scores.join(med, keys).groupBy(*keys).agg(
-        F.first("baseline").alias("baseline"), F.first("n").alias("n"),
-        F.median(F.abs(F.col("score") - F.col("baseline"))).alias("deviation"),
-    )
+    middle = quantiles(scores, keys, F.col("score"), {"baseline": 0.5}, 1.0)
+    centred = scores.join(middle, keys)
+    spread = quantiles(centred, keys, F.abs(F.col("score") - F.col("baseline")), {"deviation": 0.5}, 1.0)
+    known = middle.join(spread, keys).join(scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
     reach = F.col("baseline") + F.greatest(F.lit(1.0), F.col("deviation") * F.lit(5.0))
-    return dev.where("n >= 2").select(*keys, F.greatest(F.lit(float(floor)), reach).alias("threshold"))
+    return known.where("n >= 2").select(*keys, F.greatest(F.lit(float(floor)), reach).alias("threshold"))
 
 
 def stable_intervals(

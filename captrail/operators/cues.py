@@ -11,7 +11,7 @@ from captrail.functions import timecode as TC
 from captrail.functions.numeric import half_even, is_finite
 from captrail.operators.folds import cut
 from captrail.operators.intervals import asof_join, overlap_join
-from captrail.operators.ordered import ordered, time_chunk
+from captrail.operators.ordered import ordered, quantiles, time_chunk
 
 ORDER = ["start_time", "end_time", "cue_id"]
 
@@ -69,15 +69,16 @@ def timeline_stats(cues: DataFrame, chunk_seconds: float = 600.0) -> DataFrame:
     dur = half_even((F.col("end_time") - F.col("start_time")) * 1000, 0).cast("long")
     chars = F.length(F.regexp_replace("text", r"\s", ""))
     marked = mark_coverage(cues, chunk_seconds).withColumns({"_d": dur, "_c": chars})
+    middle = quantiles(marked, ["video_id"], F.col("_d"), {"median_ms": 0.5}, 1000.0)
     return marked.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("cues"),
-        F.min("_d").alias("min_ms"), F.median("_d").alias("median_ms"), F.max("_d").alias("max_ms"),
+        F.min("_d").alias("min_ms"), F.max("_d").alias("max_ms"),
         F.count_if(F.col("_d") < 600).alias("short_cues"),
         F.count_if(F.col("_c") * 1000 > F.col("_d") * 20).alias("fast_cues"),
         F.sum("new_time").alias("covered_ms"),
         F.max(half_even(F.col("end_time") * 1000, 0).cast("long")).alias("last_ms"),
         F.max("gap_before").alias("longest_gap_ms"),
-    ).withColumn("covered_share", half_even(F.try_divide("covered_ms", "last_ms"), 6))
+    ).join(middle, "video_id", "left").withColumn("covered_share", half_even(F.try_divide("covered_ms", "last_ms"), 6))
 
 
 def audit_order(cues: DataFrame, chunk_seconds: float = 600.0) -> DataFrame:

@@ -9,7 +9,7 @@ from captrail.functions import timecode as TC
 from captrail.functions.numeric import half_even
 from captrail.operators.folds import cut
 from captrail.operators.intervals import points_in_spans
-from captrail.operators.ordered import ordered, time_chunk
+from captrail.operators.ordered import ordered, quantiles, time_chunk
 
 
 def _pts_chunk(seconds: float) -> Column:
@@ -27,10 +27,9 @@ def frame_durations(frames: DataFrame, chunk_seconds: float = 600.0) -> DataFram
     steps = ordered(
         frames, ["video_id"], ["pts"], _pts_chunk(chunk_seconds), lead={"_next": "pts"}, number="_n"
     ).withColumn("_step", F.col("_next") - F.col("pts"))
-    typical = steps.groupBy("video_id").agg(
-        F.greatest(F.lit(1), half_even(F.median(F.when(F.col("_step") > 0, F.col("_step")))).cast("long")).alias("_typical"),
-        F.min("pts").alias("start_pts"),
-    )
+    middle = quantiles(steps, ["video_id"], F.when(F.col("_step") > 0, F.col("_step")), {"_middle": 0.5}, 1000.0)
+    typical = steps.groupBy("video_id").agg(F.min("pts").alias("start_pts")).join(middle, "video_id", "left").select(
+        "video_id", "start_pts", F.greatest(F.lit(1), half_even(F.col("_middle")).cast("long")).alias("_typical"))
     declared = F.when(F.col("duration_pts") > 0, F.col("duration_pts"))
     lasts = F.coalesce(F.col("_step"), declared, F.col("_typical"))
     return steps.join(typical, "video_id").select(
@@ -48,9 +47,9 @@ def video_metadata(timed: DataFrame) -> DataFrame:
     base = timed.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("frame_count"), F.min("start_pts").alias("start_pts"),
         F.max(F.col("pts") + F.col("duration_pts")).alias("end_pts"),
-        F.median(step).alias("median_step"), F.min(step).alias("_lo"), F.max(step).alias("_hi"),
+        F.min(step).alias("_lo"), F.max(step).alias("_hi"),
         F.first("time_base_num").alias("num"), F.first("time_base_den").alias("den"),
-    )
+    ).join(quantiles(timed, ["video_id"], step, {"median_step": 0.5}, 1000.0), "video_id", "left")
     limit = F.greatest(F.lit(1.0), F.col("median_step") * F.lit(0.001))
     uneven = (F.col("_hi") - F.col("median_step") > limit) | (F.col("median_step") - F.col("_lo") > limit)
     duration = TC.pts_seconds(F.col("end_pts"), F.col("start_pts"), F.col("num"), F.col("den"))

@@ -150,3 +150,28 @@ def top_k_per(
         .where(F.col(rank) <= k)
         .drop("_salt")
     )
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column, wanted: Mapping[str, float], step: float) -> DataFrame:
+    """Exact interpolated quantiles of the non-null values per key, without a buffer of a key's values.
+
+    Equal values are counted, counts are summed along the values in chunks of ``step``, and the two values around each
+    rank are picked. Keys without a value have no row.
+    """
+    keys = list(keys)
+    counts = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = ordered(counts, keys, ["_v"], F.floor(F.col("_v") / F.lit(float(step))), running_sum={"_upto": "_n"})
+    ranked = placed.join(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+    rank = {name: (F.col("_total") - 1) * F.lit(float(share)) for name, share in wanted.items()}
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= position) & (position < F.col("_upto")), F.col("_v")))
+
+    picked = ranked.groupBy(*keys, "_total").agg(
+        *[at(F.floor(r)).alias(f"_lo_{n}") for n, r in rank.items()], *[at(F.ceil(r)).alias(f"_hi_{n}") for n, r in rank.items()])
+
+    def between(name: str) -> Column:
+        lo, hi, r = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), rank[name]
+        return F.when(lo == hi, lo).otherwise((F.ceil(r) - r) * lo + (r - F.floor(r)) * hi)
+
+    return picked.select(*keys, *[between(n).alias(n) for n in wanted])
