@@ -53,7 +53,7 @@ def _key_matches(spark, d):
 _R = lambda x: f"coalesce(round_even({x}, 6), 0)"
 
 
-@query("timeline_report", oracle("truth pred", f"""with {_MATCH},
+_REPORT = f"""with {_MATCH},
 v as (select distinct video_id from truth),
 nt as (select video_id, count(*) as truth, count(*) filter (tier = 'A') as ta from t group by 1),
 np as (select video_id, count(*) as n from p group by 1),
@@ -66,7 +66,10 @@ select video_id, 30::double as fps, truth, n as prediction, n as evaluated_predi
  {_R('prec')} as precision, {_R('rec')} as recall, {_R('prec*rec*2/nullif(prec+rec, 0)')} as f1, mt as exact_text, case when mt > 0 then 1 else 0 end::double as exact_text_rate,
  case when mt > 0 then 1 else 0 end::double as mean_similarity, case when mt > 0 then 1 else 0 end::double as min_similarity, {_R('s')} as start_frame_mae, {_R('e')} as end_frame_mae, {_R('s/30')} as start_seconds_mae, {_R('e/30')} as end_seconds_mae,
  wu as within_uncertainty, {_R('wu/nullif(mt, 0)')} as within_uncertainty_rate, ta as tier_a_truth, am as tier_a_matched, axs as tier_a_exact_start, axe as tier_a_exact_end, axb as tier_a_exact_both,
- {_R('aas')} as tier_a_start_mae, {_R('aae')} as tier_a_end_mae, ta > 0 and ta = axb as tier_a_passed from pr"""))
+ {_R('aas')} as tier_a_start_mae, {_R('aae')} as tier_a_end_mae, ta > 0 and ta = axb as tier_a_passed from pr"""
+
+
+@query("timeline_report", oracle("truth pred", _REPORT))
 def timeline_report(spark, d):
     t, p, m = _key_matches(spark, d)
     return EV.timeline_report(t, p, m, videos(t))
@@ -113,10 +116,22 @@ def evaluate_timelines(spark, d):
     return EV.evaluate_timelines(t, cut(timeline(spark, d, "pred")), videos(t))
 
 
-@query("report_lines", oracle("truth pred", f"""with {_MATCH}, v as (select distinct video_id from truth)
-select video_id, 1 as line_no, '  Truth: '||(select count(*) from t where t.video_id = v.video_id)||' | Prediction: '||(select count(*) from p where p.video_id = v.video_id)||' | Matched: '||(select count(*) from m where m.video_id = v.video_id) as line from v"""))
+def _fixed(value: str, digits: int) -> str:
+    """The number with so many decimals, halves rounded up as decimals."""
+    return f"cast(cast(round(cast({value} as decimal(28, 6)), {digits}) as decimal(28, {digits})) as varchar)"
+
+
+@query("report_lines", oracle("truth pred", f"""with rep as ({_REPORT})
+select video_id, i as line_no, case i when 0 then 'Visual subtitle timeline evaluation'
+ when 1 then '  Truth: '||truth||' | Prediction: '||prediction||' | Matched: '||matched
+ when 2 then '  Detection: precision='||{_fixed('precision', 4)}||' recall='||{_fixed('recall', 4)}||' f1='||{_fixed('f1', 4)}
+ when 3 then '  Text: exact='||exact_text||'/'||matched||' mean_similarity='||{_fixed('mean_similarity', 4)}
+ when 4 then '  Boundaries: start_MAE='||{_fixed('start_frame_mae', 3)}||' frames end_MAE='||{_fixed('end_frame_mae', 3)}||' frames'
+ when 5 then '  Tier A: matched='||tier_a_matched||'/'||tier_a_truth||' exact_both='||tier_a_exact_both||'/'||tier_a_truth||' result='||case when tier_a_passed then 'PASS' else 'FAIL' end
+ when 6 then '  False positives ('||false_positive||'):' else '  False negatives ('||false_negative||'):' end as line
+ from rep, unnest([0, 1, 2, 3, 4, 5, 6, 7]) u(i)"""))
 def report_lines(spark, d):
-    return EV.report_lines(timeline_report(spark, d)).where("line_no = 1")
+    return EV.report_lines(timeline_report(spark, d))
 
 
 def _timed(spark, d, name):

@@ -117,8 +117,9 @@ def read_truth_rejects(spark, d):
 
 
 @query("read_predictions", oracle("pred", """with r as (select concat(video_id, '-', cast(floor(event_key/200) as bigint)) as doc, event_key as k, text, start_frame as s, end_frame as e from pred),
-o as (select *, row_number() over (partition by doc order by k) - 1 as idx from r)
-select doc, idx, text, greatest(0, s) as start_frame, greatest(greatest(0, s), e) as end_frame from o where not (s < 0 and k % 3 = 0) and k % 41 <> 0"""))
+o as (select *, row_number() over (partition by doc order by k) - 1 as raw_idx from r),
+g as (select doc, raw_idx, text, greatest(0, s) as start_frame, greatest(greatest(0, s), e) as end_frame from o where not (s < 0 and k % 3 = 0) and k % 41 <> 0)
+select *, row_number() over (partition by doc order by start_frame, end_frame, raw_idx) - 1 as idx from g"""))
 def read_predictions(spark, d):
     k = F.col("event_key")
     fields = [
@@ -130,7 +131,7 @@ def read_predictions(spark, d):
     body = F.when(F.pmod(F.hash("doc"), F.lit(2)) == 0, F.to_json("rows")).otherwise(F.to_json(F.struct(F.col("rows").alias("items"))))
     docs = docs.select("doc", body.alias("text"))
     fps = docs.select("doc", F.lit(30.0).alias("fps"))
-    return RD.parse_predictions(docs, fps)[0].select("doc", "idx", "text", "start_frame", "end_frame")
+    return RD.parse_predictions(docs, fps)[0].select("doc", "idx", "raw_idx", "text", "start_frame", "end_frame")
 
 
 @query("read_srt", """with b as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),

@@ -86,7 +86,8 @@ def parse_predictions(docs: DataFrame, fps: DataFrame) -> tuple[DataFrame, DataF
     """(doc, text) prediction documents and (doc, fps) to (events, rejects).
 
     The root is a list or an object holding one; times turn into frames, the end
-    being exclusive.
+    being exclusive. ``idx`` counts the events by frames, ``raw_idx`` is the place
+    in the document.
     """
     v = F.col("v")
     items = F.coalesce(
@@ -115,7 +116,10 @@ def parse_predictions(docs: DataFrame, fps: DataFrame) -> tuple[DataFrame, DataF
         .when(F.col("_bad_box"), "position")
     )
     judged = events.withColumn("rule", rule)
-    return judged.where("rule is null").drop("_bad_box", "rule"), judged.where("rule is not null").select("doc", "idx", "rule").unionByName(broken)
+    order = Window.partitionBy("doc").orderBy("start_frame", "end_frame", "raw_idx")
+    good = judged.where("rule is null").drop("_bad_box", "rule").withColumnRenamed("idx", "raw_idx")
+    good = good.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    return good, judged.where("rule is not null").select("doc", "idx", "rule").unionByName(broken)
 
 
 def parse_srt(docs: DataFrame) -> DataFrame:
