@@ -55,15 +55,21 @@ def refine_boundaries(
     threshold = max(0.42, cfg.text_similarity_threshold - 0.15)
     timed = events.join(videos.select("video_id", "duration", "fps"), "video_id")
     s, e, dur = F.col("start_time"), F.col("end_time"), F.col("duration")
-    heads = event_frame_hits(timed, obs, (F.greatest(F.lit(0.0), s - step), F.least(dur, s)), threshold)
-    tails = event_frame_hits(timed, obs, (F.greatest(s, e - step), F.least(dur, e)), threshold, ("fps",))
+    windows = F.array(
+        F.struct(F.lit("s").alias("side"), F.greatest(F.lit(0.0), s - step).alias("_a"), F.least(dur, s).alias("_b")),
+        F.struct(F.lit("e").alias("side"), F.greatest(s, e - step).alias("_a"), F.least(dur, e).alias("_b")),
+    )
+    both = timed.select("video_id", "cue_id", "text", "box", "fps", F.inline(windows))
+    hits = event_frame_hits(both, obs, (F.col("_a"), F.col("_b")), threshold, ("fps", "side"))
     keys = ["video_id", "cue_id"]
-    first = heads.groupBy(*keys).agg(F.min("ts").alias("_start"))
-    last = tails.groupBy(*keys).agg(F.max((F.col("frame_index") + 1) / F.col("fps")).alias("_end"))
+    seen = hits.groupBy(*keys).agg(
+        F.min(F.when(F.col("side") == "s", F.col("ts"))).alias("_start"),
+        F.max(F.when(F.col("side") == "e", (F.col("frame_index") + 1) / F.col("fps"))).alias("_end"),
+    )
     least = F.lit(cfg.min_event_duration)
     start = clamp(F.coalesce("_start", s), 0.0, dur)
     end = F.greatest(F.col("_s") + least, F.least(F.coalesce("_end", e), dur))
-    joined = timed.join(first, keys, "left").join(last, keys, "left").withColumn("_s", start).withColumn("_e", end)
+    joined = timed.join(seen, keys, "left").withColumn("_s", start).withColumn("_e", end)
     over = F.col("_e") > dur
     new_end = F.when(over, dur).otherwise(F.col("_e"))
     new_start = F.when(over, F.greatest(F.lit(0.0), F.least(F.col("_s"), dur - least))).otherwise(F.col("_s"))
