@@ -81,7 +81,15 @@ def merge_variants(spark, d):
     return CH.merge_variants(_intervals(spark, d)[0])
 
 
-@query("select_probes")
+@query("select_probes", f"""with recursive {_IV},
+mv as (select video_id, cast(floor((start_frame+end_frame)/2) as bigint) as frame_index, max(priority/greatest(1, threshold)) as strength, max(priority) as priority, count(*) as support from iv group by all),
+c as (select *, frame_index % 40 = 0 and exists (select 1 from sc where sc.video_id = mv.video_id and sc.frame_index = mv.frame_index) as observed,
+ row_number() over (partition by video_id order by strength desc, support desc, priority desc, frame_index desc) as n from mv),
+r as (select distinct video_id, 0::bigint as n, []::bigint[] as taken, null::bigint as frame_index, null::double as strength from mv
+ union all select c.video_id, c.n, case when ok then list_append(taken, c.frame_index) else taken end, case when ok then c.frame_index end, c.strength
+ from (select r.video_id, r.n as before, r.taken, c.n, c.frame_index, c.strength, len(r.taken) < 24 and not c.observed and not list_bool_or(list_transform(list_append(r.taken, -9), lambda t: abs(c.frame_index - t) <= 1)) as ok
+  from r join c on c.video_id = r.video_id and c.n = r.n + 1) c)
+select video_id, frame_index, strength from r where frame_index is not null""")
 def select_probes(spark, d):
     intervals, observed, s = _intervals(spark, d)
     return CH.select_probes(CH.merge_variants(intervals), observed, _videos(s), 24)
