@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from captrail.functions import timecode as TC
 from captrail.functions.numeric import half_even
-from captrail.operators.folds import cut
 from captrail.operators.intervals import points_in_spans
 from captrail.operators.ordered import ordered, quantiles, time_chunk
 
@@ -92,12 +91,16 @@ def representative_frames(timed: DataFrame, videos: DataFrame, k: int = 16, chun
     )
 
 
-def nearest_frames(points: DataFrame, timed: DataFrame, chunk_seconds: float = 600.0) -> DataFrame:
-    """For (video_id, t, ...): struct ``prev`` of the last boundary <= t, ``next`` of the first > t."""
-    shape = "struct<frame_index:bigint,pts:bigint,ts:double>"
+def nearest_frames(points: DataFrame, timed: DataFrame, chunk_seconds: float = 600.0, more: tuple[str, ...] = ()) -> DataFrame:
+    """For (video_id, t, ...): struct ``prev`` of the last boundary <= t, ``next`` of the first > t.
+
+    The structs hold frame_index, pts, ts and the columns named in ``more``.
+    """
+    held = F.struct(F.col("frame_index").cast("bigint").alias("frame_index"), F.col("pts").cast("bigint").alias("pts"), "ts", *more)
+    shape = timed.select(held.alias("f")).schema["f"].dataType
     facts = timed.select(
         "video_id", F.col("ts").alias("_t"), F.lit(0).alias("_side"), F.col("frame_index").alias("_i"),
-        F.struct(F.col("frame_index").cast("bigint"), F.col("pts").cast("bigint"), "ts").cast(shape).alias("_f"),
+        held.alias("_f"),
     )
     row = F.struct(*[F.col(c) for c in points.columns])
     asked = points.select(
@@ -128,32 +131,32 @@ def snap_to_frames(cues: DataFrame, timed: DataFrame, chunk_seconds: float = 600
     The nearest boundary wins, the earlier one on a tie. A cue keeps at least one
     frame and never starts at the closing boundary.
     """
-    bounds = cut(frame_boundaries(timed))  # read by every step below
+    spot = F.struct("frame_index", "pts", "ts")
+    bounds = ordered(
+        frame_boundaries(timed), ["video_id"], ["frame_index"], F.floor(F.col("frame_index") / F.lit(20_000)),
+        lag={"before": spot}, lead={"after": spot},
+    )
     ends = F.array(
         F.struct(F.lit("s").alias("side"), F.col("start_time").alias("t")),
         F.struct(F.lit("e").alias("side"), F.col("end_time").alias("t")),
     )
     points = cues.select("video_id", "cue_id", F.inline(ends))
-    near = nearest_frames(points, bounds, chunk_seconds)
-    before = F.col("t") - F.col("prev.ts")
-    after = F.col("next.ts") - F.col("t")
-    take_prev = F.col("next").isNull() | (F.col("prev").isNotNull() & (before <= after))
-    index = F.when(take_prev, F.col("prev.frame_index")).otherwise(F.col("next.frame_index"))
-    pair = near.groupBy("video_id", "cue_id").agg(
-        F.max(F.when(F.col("side") == "s", index)).alias("_s"),
-        F.max(F.when(F.col("side") == "e", index)).alias("_e"),
-    )
-    count = bounds.groupBy("video_id").agg(F.max("frame_index").alias("_n"))
-    framed = pair.join(count, "video_id").withColumn("start_frame", F.least(F.col("_n") - 1, F.col("_s"))).withColumn(
-        "end_frame_excl", F.greatest(F.col("start_frame") + 1, F.least(F.col("_n"), F.col("_e")))
-    )
-    look = lambda name, prefix: bounds.select(
-        "video_id", F.col("frame_index").alias(name), F.col("pts").alias(f"{prefix}_pts"), F.col("ts").alias(f"{prefix}_time")
-    )
-    timed_pair = (
-        framed.join(look("start_frame", "start"), ["video_id", "start_frame"])
-        .join(look("end_frame_excl", "end"), ["video_id", "end_frame_excl"])
-        .select("video_id", "cue_id", "start_frame", "end_frame_excl", "start_pts", "end_pts", "start_time", "end_time")
+    near = nearest_frames(points, bounds, chunk_seconds, ("before", "after"))
+    nearer = F.col("t") - F.col("prev.ts") <= F.col("next.ts") - F.col("t")
+    take_prev = F.col("next").isNull() | (F.col("prev").isNotNull() & nearer)
+    chosen = F.when(take_prev, F.col("prev")).otherwise(F.col("next"))
+    side = lambda name: F.first(F.when(F.col("side") == name, chosen), ignorenulls=True)
+    pair = near.groupBy("video_id", "cue_id").agg(side("s").alias("_s"), side("e").alias("_e"))
+    plain = lambda c: F.struct(F.col(f"{c}.frame_index"), F.col(f"{c}.pts"), F.col(f"{c}.ts"))
+    closing = F.col("_s.after").isNull()
+    framed = pair.withColumns({
+        "_start": F.when(closing, F.col("_s.before")).otherwise(plain("_s")),
+        "_least": F.when(closing, plain("_s")).otherwise(F.col("_s.after")),
+    }).withColumn("_end", F.when(F.col("_e.frame_index") > F.col("_start.frame_index"), plain("_e")).otherwise(F.col("_least")))
+    timed_pair = framed.where("_start is not null").select(
+        "video_id", "cue_id", F.col("_start.frame_index").alias("start_frame"), F.col("_end.frame_index").alias("end_frame_excl"),
+        F.col("_start.pts").alias("start_pts"), F.col("_end.pts").alias("end_pts"),
+        F.col("_start.ts").alias("start_time"), F.col("_end.ts").alias("end_time"),
     )
     return cues.drop("start_time", "end_time", "start_frame", "end_frame_excl", "start_pts", "end_pts").join(
         timed_pair, ["video_id", "cue_id"]
