@@ -179,25 +179,24 @@ def cluster_rows_pdf(pdf: pd.DataFrame, tolerance: float = 0.06) -> pd.DataFrame
         bisect.insort(centres[k], cy)
         members[k].append(pos)
 
-    merged: list[list[int]] = []
-    for k in sorted(range(len(members)), key=lambda k: _middle(centres[k])):
-        if merged and _one_caption(pdf.iloc[merged[-1]], pdf.iloc[members[k]]):
-            merged[-1] = merged[-1] + members[k]
-        else:
-            merged.append(members[k])
-    cluster = np.empty(len(pdf), dtype="int64")
-    for number, rows in enumerate(merged):
-        cluster[rows] = number
-    return pdf.assign(cluster_id=cluster)
-
-
-def _one_caption(upper: pd.DataFrame, lower: pd.DataFrame) -> bool:
-    fu, fl = set(upper["sample_index"]), set(lower["sample_index"])
-    if len(fu & fl) / max(1, min(len(fu), len(fl))) < 0.50:
-        return False
-    bottom = (upper["cy"] + upper["h"] / 2).median()
-    top = (lower["cy"] - lower["h"] / 2).median()
-    return top - bottom <= 0.035 and abs(upper["cx"].median() - lower["cx"].median()) <= 0.20
+    row = np.empty(len(pdf), dtype="int64")
+    for number, k in enumerate(sorted(range(len(members)), key=lambda k: _middle(centres[k]))):
+        row[members[k]] = number
+    return pdf.assign(cluster_id=_captions(pdf, row))
+
+
+def _captions(pdf: pd.DataFrame, row: np.ndarray) -> np.ndarray:
+    """Number the captions: from the top, a row joins the caption above while both are seen together and lie close."""
+    edges = pd.DataFrame({"top": pdf["cy"] - pdf["h"] / 2, "bottom": pdf["cy"] + pdf["h"] / 2, "cx": pdf["cx"], "at": pdf["sample_index"]})
+    caption = row.copy()
+    for number in range(1, int(row.max(initial=0)) + 1):
+        above, below = edges[caption == caption[row == number - 1][0]], edges[row == number]
+        shown = [np.unique(x["at"]) for x in (above, below)]
+        together = len(np.intersect1d(*shown)) >= 0.50 * max(1, min(map(len, shown)))
+        gap, shift = below["top"].median() - above["bottom"].median(), abs(below["cx"].median() - above["cx"].median())
+        if together and gap <= 0.035 and shift <= 0.20:
+            caption[row == number] = caption[row == number - 1][0]
+    return np.unique(caption, return_inverse=True)[1].astype("int64")
 
 
 def cluster_rows(candidates: DataFrame, tolerance: float = 0.06) -> DataFrame:

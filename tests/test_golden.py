@@ -1,5 +1,6 @@
 """Small literal cases with known results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,8 +155,10 @@ def test_kernel_boxes_equal_columns(spark, data):
     rows = df.select(a.alias("a"), b.alias("b"), G.spatial_compatibility(a, b), G.stacked_line_score(a, b), G.fragments_share_line(a, b, roi), G.box_iou(a, b)).collect()
     for p, q, near, stack, line, iou in rows:
         p, q = tuple(p), tuple(q)
-        assert B.spatial_compatibility(p, q) == near and B.stacked_line_score(p, q) == stack
-        assert B.share_line(p, q, (10, 0, 160, 100)) == line and B.iou(p, q) == iou
+        pair = B.BoxPairs([p], [q])
+        assert B.spatial_compatibility(p, q) == near and pair.stacked[0, 0] == (-np.inf if stack is None else stack)
+        assert pair.on_one_line((10, 0, 160, 100))[0, 0] == line and pair.iou[0, 0] == iou
+        assert pair.cover[0, 0] == B.overlap_over_smaller(p, q)
 
 
 CUE = "video_id int, cue_id int, text string, start_time double, end_time double, confidence double, box struct<x1:int,y1:int,x2:int,y2:int>, source string"
