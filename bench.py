@@ -13,6 +13,7 @@ HEADLINE = (
     "timeline_quality", "resolve_overlaps", "filter_dominant", "cue_at", "cues_in_window", "snap_to_frames",
     "text_forms", "rank_candidates", "sessionize", "build_events", "stable_intervals", "refine_boundaries",
     "fuse_asr", "timeline_report", "align_timelines", "parent_state", "edit_state", "progress_state", "latest_snapshot",
+    "greedy_match", "evaluate_timelines", "similar_texts", "estimate_roi",
 )
 
 
