@@ -349,11 +349,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     big = stage(anchored.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > BIG))
     crowded = not big.isEmpty()
     anchored = anchored.join(big, "bucket", "left") if crowded else anchored.withColumn("members", F.lit(None).cast("long"))
-    marks = stage(anchored.groupBy("t").agg(F.collect_set(
-        F.struct("bucket", "start", "n", "place", F.col("members").isNotNull().alias("crowded"))).alias("marks")))
+    marks = anchored.groupBy("t").agg(F.collect_set(
+        F.struct("bucket", "start", "n", "place", F.col("members").isNotNull().alias("crowded"))).alias("marks"))
     packed = rows.mapInArrow(_pack, "doc_id long, t long, packed binary, size long")
     lone = keys.select("t", "doc_id").join(marks, "t")
-    texts = packed.alias("r").join(lone.alias("k"), (F.col("r.t") == F.col("k.t")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
+    # The id is compared after the join on names alone, so that the marks stay where their grouping put them.
+    same = F.when(F.col("r.doc_id").isNull(), F.col("k.doc_id").isNull()).otherwise(F.col("r.doc_id") == F.col("k.doc_id"))
+    texts = packed.alias("r").join(lone.alias("k"), F.col("r.t") == F.col("k.t")).where(same)
 
     def contexts(chosen):
         some = texts.select("r.t", "r.packed", "r.size", F.filter("k.marks", chosen).alias("marks"))
