@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from .common import crc_mod, partitions, stage
 
 DEPTH = 5
-BATCH_BYTES = 24 << 20
-LEAST_BYTES = 16 << 20
+BATCH_BYTES = 32 << 20
+LEAST_BYTES = 32 << 20
 PIECE = 1 << 20
 END = b"\xff"
 HALF = float(np.log(0.5))
