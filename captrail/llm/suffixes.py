@@ -5,7 +5,7 @@ equal places. So suffixes are dealt into buckets by anchor gram and place, and o
 carry text. A task sorts one block of buckets at a time: by the first ``PERIOD`` bytes, then, for the long ties, by the
 ranks of cover samples. The cover has for any two suffixes a common shift below ``PERIOD`` at which both are samples; the
 sample ranks reach over ``LENGTH - PERIOD`` bytes and the last ``PERIOD`` bytes are compared directly. Memory is bounded
-by the block, never by the corpus. Buckets of very many anchors are dealt once more, by whole strings.
+by the block, never by the corpus. Buckets of very many anchors are dealt by whole strings instead.
 """
 
 from __future__ import annotations
@@ -134,35 +134,35 @@ def _several(batches):
 
 
 CONTEXTS = "bucket long, t long, start long, place int, context binary"
-WHOLE = "t long, start long, s1 long, s2 long"
 
 
 def _cut(batches):
-    """Contexts of shared anchors: the bytes of all strings that have the anchor."""
+    """Contexts of shared anchors: the bytes of all strings that have the anchor.
+
+    The strings of crowded buckets go one by one instead, into a bucket by a hash of the whole string, with a second hash
+    in place of the context.
+    """
     for rows in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for t, text, size, marks in zip(*(c.to_pylist() for c in rows.columns[:3]), rows.column(3), strict=True):
             text = unpack(text, size)
-            for bucket, start, n, place in {(m["bucket"], m["start"], m["n"], m["place"]) for m in marks.as_py()}:
-                for column, value in zip(out, (bucket, t, start, place, text[start: start + n + LENGTH - 1]), strict=True):
-                    column.append(value)
+            for bucket, start, n, place, crowded in {(m["bucket"], m["start"], m["n"], m["place"], m["crowded"]) for m in marks.as_py()}:
+                context = text[start: start + n + LENGTH - 1]
+                if crowded:
+                    data = np.frombuffer(context, np.uint8)
+                    one = string_hashes(data, LENGTH).view(np.int64).tolist()
+                    two = string_hashes(data[::-1], LENGTH)[::-1]
+                    strings = [(h, t, start + k, -1, two[k].tobytes()) for k, h in enumerate(one)]
+                else:
+                    strings = [(bucket, t, start, place, context)]
+                for row in strings:
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                                          names=["bucket", "t", "start", "place", "context"])
 
 
-def _whole(batches):
-    """For the strings of crowded buckets: two hashes of the whole string each."""
-    for rows in batches:
-        for t, start, context in zip(*(rows.column(c).to_pylist() for c in ("t", "start", "context")), strict=True):
-            data = np.frombuffer(context, np.uint8)
-            n = len(data) - LENGTH + 1
-            one, two = string_hashes(data, LENGTH), string_hashes(data[::-1], LENGTH)[::-1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, t)), pa.array(start + np.arange(n)), pa.array(one.view(np.int64)),
-                 pa.array(np.ascontiguousarray(two).view(np.int64))], names=["t", "start", "s1", "s2"])
-
-
 def _dense(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
     ranks = np.empty(len(keys), np.int64)
@@ -266,11 +266,12 @@ def _sort(batches):
     def spans(t, first, last):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, first, last)], names=["t", "first", "last"])
 
+    single = None  # the last string that came one by one
     for batch in batches:
         same: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             bucket, t, start, place, context = row
-            before = held[-1] if held else None
+            before = single if place < 0 else held[-1] if held else None
             if before and (before[0], before[3], before[4]) == (bucket, place, context):
                 if before[1:3] == (t, start):
                     continue
@@ -279,13 +280,16 @@ def _sort(batches):
                     now = before
                 same.append(row)
                 continue
+            if place < 0:
+                single = row
+                continue
             if size >= BLOCK and before[0] != bucket:
                 yield solve(held)
                 held, size = [], 0
             held.append(row)
             size += len(context)
         if same:
-            yield spans([r[1] for r in same], [r[2] for r in same], [r[2] + len(r[4]) - LENGTH for r in same])
+            yield spans([r[1] for r in same], [r[2] for r in same], [r[2] + max(0, len(r[4]) - LENGTH) for r in same])
     if held:
         yield solve(held)
 
@@ -357,18 +361,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = F.when(F.col("r.doc_id").isNull(), F.col("k.doc_id").isNull()).otherwise(F.col("r.doc_id") == F.col("k.doc_id"))
     texts = packed.alias("r").join(lone.alias("k"), F.col("r.t") == F.col("k.t")).where(same)
 
-    def contexts(chosen):
-        some = texts.select("r.t", "r.packed", "r.size", F.filter("k.marks", chosen).alias("marks"))
-        return some.where(F.size("marks") > 0).mapInArrow(_cut, CONTEXTS)
-
-    plain = contexts(lambda m: ~m["crowded"])
-    plain = plain.repartition("bucket").sortWithinPartitions("bucket", "context", "place", "t", "start")
-    spans = stage(plain.mapInArrow(_sort, SPANS))
-    if crowded:
-        spot = F.xxhash64("t", "start")
-        strings = stage(contexts(lambda m: m["crowded"]).mapInArrow(_whole, WHOLE).distinct())
-        twice = strings.groupBy("s1", "s2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("s1", "s2")
-        spans = spans.union(strings.join(twice, ["s1", "s2"]).select("t", F.col("start").alias("first"), F.col("start").alias("last")))
+    contexts = texts.select("r.t", "r.packed", "r.size", "k.marks").mapInArrow(_cut, CONTEXTS)
+    contexts = contexts.repartition("bucket").sortWithinPartitions("bucket", "context", "place", "t", "start")
+    spans = contexts.mapInArrow(_sort, SPANS)
     per_text = spans.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     facts = keys.select("t", "copies").join(per_text, "t", "left")
     return packed.join(facts, "t").select("doc_id", "packed", "size", "copies", "spans").mapInArrow(_remove, KEPT)
