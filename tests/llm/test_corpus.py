@@ -153,6 +153,18 @@ def test_bounds_keep_every_link():
                 assert j == k or (jaccard.may_link(*held[k][1:], *held[j][1:]) and k in alive)
 
 
+def test_common_buckets_sort_last():
+    size = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    counted = {k: np.log2(n).astype(np.uint8) for k, n in ((1, 3), (2, 40_000), (3, 65_536), (4, 70_000_000), (5, 2**31), (6, 2**40))}
+    for k, magnitude in counted.items():
+        size[k] = magnitude
+    rows = shingles.mix(np.arange(600, dtype=np.uint64)) >> np.uint64(jaccard.SKETCH_BITS)
+    found = rows | (np.arange(600, dtype=np.uint64) % np.uint64(7) << np.uint64(64 - jaccard.SKETCH_BITS))
+    keys = jaccard._ordered(found, size)
+    assert (keys >= 0).all() and len(np.unique(keys)) == len(np.unique(found))
+    assert (keys >> jaccard.KEY_BITS).tolist() == sorted(min(int(counted.get(k % 7, 0)), 31) for k in range(600))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (5, 5), (0, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
