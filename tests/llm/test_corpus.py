@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 
 from captrail.llm import ctw, jaccard, langmix, minhash, mixing, secretscan, shingles, suffixes
 from captrail.llm.graph import components
-from tests.llm.conftest import frame
+from tests.llm.conftest import frame, prose
 
 
 def crc(i, m):
@@ -139,6 +140,34 @@ def test_join(docs, monkeypatch, leaf, pivots, few):
     assert Counter(map(tuple, jaccard.join_documents(docs).collect())) == linked_groups(rows)
 
 
+def test_hot_regions_are_dealt(spark, monkeypatch):
+    """Near copies of one text share its rare shingles: no group that a task takes grows with their number."""
+    rng = random.Random(8)
+    base = prose(rng, 120).split(" ")
+    rows = [(k, " ".join(w if rng.random() > (k % 3) / 200 else f"new{rng.randrange(10**6)}" for w in base) + f" end{k}") for k in range(60)]
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "BOUNDED", 20)
+
+    def limited(run, most):
+        def checked(batches):
+            n = {}
+            for rows in batches:
+                names = [c for c in ("region", "salt") if c in rows.schema.names]
+                for key in zip(*(rows.column(c).to_pylist() for c in names), strict=True):
+                    n[key] = n.get(key, 0) + 1
+                    assert n[key] <= most, "one task takes a whole region"
+                yield rows
+
+        return lambda batches: run(checked(batches))
+
+    bounded, join = jaccard._bounded, jaccard._join
+    monkeypatch.setattr(jaccard, "_bounded", limited(bounded, 20))
+    monkeypatch.setattr(jaccard, "_join", lambda pivots: limited(join(pivots), 24 + pivots))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.join_documents(docs).collect())) == linked_groups(rows)
+
+
 def test_bounds_keep_every_link():
     rng = np.random.default_rng(4)
     for _ in range(40):
