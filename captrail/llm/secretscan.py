@@ -21,26 +21,44 @@ CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]{0,80}[0-9])[A-Za-z0-9+/_
 ISSUED = (r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"
           r"|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{10,})$")
 KEYWORDS = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_ \-]?key|access[_ \-]?key|auth|credential|private)"
-ASSIGNED = KEYWORDS + r"[a-z_]{0,12}[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
+ASSIGNED = KEYWORDS + r"[a-z0-9_]{0,12}[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
 PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|changeme|your[_\-]|xxxx|1234|abcd|test)"
 LABELLED = 20_000
 COMMON = 20
 LEFT, RIGHT = 40, 24
+SHORTEST = 8
 TREES, DEPTH = 24, 6
 FEATURES = ("length", "digits", "uppers", "symbols", "hexadecimal", "turns", "letter_digit", "digit_letter", "case_turns", "distinct", "covered",
             "in_path", "assigned_sign", "keyword", "placeholder", "quoted", "left_letters")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, at, candidate, left, right``: each candidate with its place among those of the text, and what surrounds it."""
+    """``doc_id, at, candidate, left, right``: each candidate with its place among those of the text, and what surrounds it.
+
+    The surroundings are those of the text, other candidates included. A candidate has ``SHORTEST`` characters or more, so
+    a few neighbours on either side fill them, however long the text.
+    """
     hit = docs.where(F.col("text").rlike(CANDIDATE))
     found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     parts = hit.select("doc_id", found.alias("found"), F.split("text", CANDIDATE, -1).alias("around"))
-    rows = parts.select("doc_id", F.posexplode(F.arrays_zip(
-        "found", F.transform("around", lambda x: F.right(x, F.lit(LEFT))).alias("left"),
-        F.slice(F.transform("around", lambda x: F.left(x, F.lit(RIGHT))), 2, F.greatest(F.lit(0), F.size("around") - 1)).alias("right"))).alias("at", "x"))
-    return rows.select("doc_id", "at", F.col("x.found").alias("candidate"), F.coalesce("x.left", F.lit("")).alias("left"),
-                       F.coalesce("x.right", F.lit("")).alias("right")).where("candidate is not null")
+    ends = parts.select("doc_id", "found", "around", *[
+        F.transform(name, lambda x: cut(x, F.lit(n))).alias(f"{name}_{side}")
+        for name in ("found", "around") for side, cut, n in (("left", F.right, LEFT), ("right", F.left, RIGHT))])
+    back, ahead = -(-LEFT // SHORTEST), -(-RIGHT // SHORTEST)
+    left = [x for k in range(back, 0, -1) for x in (("around_left", -k), ("found_left", -k))] + [("around_left", 0)]
+    right = [("around_right", 1)] + [x for k in range(1, ahead + 1) for x in (("found_right", k), ("around_right", k + 1))]
+    near = F.arrays_zip("found", *[_shifted(name, k).alias(f"{side}{j}") for side, pieces in (("l", left), ("r", right)) for j, (name, k) in enumerate(pieces)])
+    rows = ends.select("doc_id", F.posexplode(near).alias("at", "x")).where("x.found is not null")
+    return rows.select("doc_id", "at", F.col("x.found").alias("candidate"),
+                       F.right(F.concat_ws("", *[f"x.l{j}" for j in range(len(left))]), F.lit(LEFT)).alias("left"),
+                       F.left(F.concat_ws("", *[f"x.r{j}" for j in range(len(right))]), F.lit(RIGHT)).alias("right"))
+
+
+def _shifted(name: str, by: int) -> Column:
+    """The array with the element ``by`` places on at every place."""
+    if by < 0:
+        return F.concat(F.array_repeat(F.lit(""), -by), F.col(name))
+    return F.slice(name, by + 1, F.greatest(F.lit(0), F.size(name) - by))
 
 
 def _share(pattern: str, text: Column) -> Column:

@@ -354,6 +354,28 @@ def test_secrets(spark):
     assert all("[SECRET]" in clean[k] and f"40418949746{k:05d}" in clean[k] for k in range(30))
 
 
+def test_surroundings_hold_other_candidates(spark):
+    rng = np.random.default_rng(4)
+    key = lambda: "".join(rng.choice(list("abcdefgh0123456789"), 20)) + "z9"
+    names = ['GOOGLE_SERVICE_SECRET_TOKEN = "', "aws_secret_key_2: ", 'SOME_LONG_SERVICE_ACCESS_KEY_NAME="', "key7_of_service_auth = "]
+    texts = [f"{n}{key()}{'\"' if n.endswith('\"') else ''} then {key()} straße 🙂 {key()}, {key()} {key()}\n{key()} end" for n in names]
+    texts += [" ".join(key() for _ in range(30)), 'x="a.b.c.d.1" y="!!!!!!!!" z="????????"' * 9, f"{key()}", f"🙂{key()}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secretscan.labelled(secretscan.described(secretscan.candidates(docs))).collect()
+    by_doc = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.at)):
+        by_doc[r.doc_id].append(r)
+    for k, text in enumerate(texts):
+        end = 0
+        for r in by_doc[k]:
+            start = text.index(r.candidate, end)
+            end = start + len(r.candidate)
+            assert (r.left, r.right) == (text[max(0, start - secretscan.LEFT): start], text[end: end + secretscan.RIGHT])
+    for k in range(3):
+        value = by_doc[k][1]
+        assert value.left.endswith(names[k][-20:]) and value.keyword == 1 and value.left_letters > 0 and value.label == 1
+
+
 def test_secrets_without_labels(spark, empty):
     docs = spark.createDataFrame([(1, "an id abcdefgh1234zz99qq77 alone")], "doc_id long, text string")
     assert [r.secret for r in secretscan.findings(docs).collect()] == [False]
