@@ -4,8 +4,9 @@ A source that is to give ``t`` words of its ``s`` takes every document floor(t/s
 fractional probability that is left. The flight phase moves these probabilities through the null space of the
 constraints (words, documents), three documents at a time, so that both totals stay as they are while one document
 after the other comes to 0 or 1. Blocks of a source fly side by side; what each leaves undecided, three documents at
-most, meets in the next round, until one block per source holds the small landing problem: ``LANDING`` documents that
-did not fly and what the last flight left, solved by trying every choice.
+most, and its part of ``LANDING`` documents that do not fly meet in the next round. A source that is down to one block
+lands there, whatever the others do: ``LANDING`` documents that did not fly and what the flight left, solved by trying
+every choice.
 """
 
 from __future__ import annotations
@@ -120,16 +121,15 @@ def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         "doc_id", "u.source", "size", "source_size", "target", "copy")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("whole", F.floor(rate).cast("double")).withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
-    decided, last = [], False
-    while not last:
+    decided, largest = [], BLOCK + 1
+    while largest > BLOCK:
         rows = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         blocks = rows.select("source", F.ceil(F.col("n") / BLOCK).alias("blocks"))
         largest = rows.agg(F.max("n")).first()[0] or 0
-        last = largest <= BLOCK
         dealt = units.alias("u").join(blocks.alias("b"), F.col("u.source").eqNullSafe(F.col("b.source"))).select(
             "u.*", F.xxhash64("doc_id", "size", "copy").alias("h"), "blocks")
-        dealt = dealt.withColumn("block", F.pmod("h", "blocks")).drop("blocks")
-        moved = stage(dealt.groupBy("source", "block").applyInArrow(_move(last), UNITS))
+        dealt = dealt.withColumn("block", F.pmod("h", "blocks"))
+        moved = stage(dealt.groupBy("source", "block").applyInArrow(_move, UNITS))
         still = F.col("p").between(CLOSE, 1 - CLOSE)
         decided.append(moved.where(~still))
         units = moved.where(still)
@@ -139,18 +139,15 @@ def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p"))).cast("long").alias("taken"))
 
 
-def _move(last: bool):
-    def move(rows: pa.Table) -> pa.Table:
-        h = rows.column("h").to_numpy()
-        order = np.argsort(h, kind="stable")
-        rows, h = rows.take(order), h[order]
-        draw = (np.roll(h, 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / 2.0**53
-        size = rows.column("size").to_numpy()
-        p, kept = rows.column("p").to_numpy().copy(), np.zeros(len(h), bool)
-        if last:
-            kept[np.flatnonzero((p > CLOSE) & (p < 1 - CLOSE))[:LANDING]] = True
-        p[~kept] = fly(size[~kept], p[~kept], draw[~kept])
-        at = rows.column_names.index("p")
-        return rows.set_column(at, "p", pa.array(land(size, p) if last else p, pa.float64())).drop_columns(["h", "block"])
-
-    return move
+def _move(rows: pa.Table) -> pa.Table:
+    """Fly a block; the only one of its source lands as well, others hold back their part of the ``LANDING`` documents."""
+    h = rows.column("h").to_numpy()
+    order = np.argsort(h, kind="stable")
+    rows, h = rows.take(order), h[order]
+    draw = (np.roll(h, 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / 2.0**53
+    size, blocks = rows.column("size").to_numpy(), rows.column("blocks")[0].as_py()
+    p, kept = rows.column("p").to_numpy().copy(), np.zeros(len(h), bool)
+    kept[np.flatnonzero((p > CLOSE) & (p < 1 - CLOSE))[: -(-LANDING // blocks)]] = True
+    p[~kept] = fly(size[~kept], p[~kept], draw[~kept])
+    at = rows.column_names.index("p")
+    return rows.set_column(at, "p", pa.array(land(size, p) if blocks == 1 else p, pa.float64())).drop_columns(["h", "block", "blocks"])

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from captrail.llm import ctw, jaccard, langmix, minhash, mixing, secretscan, shingles, suffixes
 from captrail.llm.graph import components
@@ -304,6 +305,29 @@ def test_mixture_meets_targets(spark, monkeypatch):
         assert abs(r["sum(taken)"] - r.target) <= 60
 
 
+def test_landing_does_not_depend_on_other_sources(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    small = [(k, "w " * int(rng.integers(1, 3000)), "small") for k in range(40)]
+    sides = [[(1000 + k, "w " * 4000, "tall") for k in range(n)] for n in (30, 300)]
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    monkeypatch.setattr(mixing, "source_targets", lambda sizes: sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+                        .withColumn("target", F.col("source_size") * 0.55))
+    got = []
+    for side in sides:
+        out = mixing.sample(spark.createDataFrame(small + side, "doc_id long, text string, source string")).where("doc_id < 1000").collect()
+        assert abs(sum(r.taken for r in out) - out[0].target) <= 20
+        got.append(sorted(map(tuple, out)))
+    assert got[0] == got[1]
+
+
+def test_large_sources_keep_a_full_landing(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(k, "w " * int(rng.integers(1, 3000)), "one") for k in range(190)], "doc_id long, text string, source string")
+    out = mixing.sample(docs).collect()
+    assert len(out) == 190 and abs(sum(r.taken for r in out) - out[0].target) <= 20
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(9)
     size, p = rng.integers(1, 500, 300), rng.random(300)
