@@ -33,11 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost no recomputation."""
+def stage(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost no recomputation.
+
+    ``by``: its last columns, which become folders.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
