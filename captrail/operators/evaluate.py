@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,11 +10,15 @@ from captrail.functions import geometry as G
 from captrail.functions import text as TX
 from captrail.functions.numeric import half_even, safe_ratio
 from captrail.functions.similarity import caption_similarity, eval_similarity
+from captrail.operators.components import components
 from captrail.operators.folds import Fold, cut, fold_groups, spread
 from captrail.operators.intervals import overlap_join
 from captrail.operators.ordered import ordered
+from captrail.operators.textjoin import candidate_pairs, contained_pairs
 
 CHUNK_ROWS = 20000
+#: Texts more alike than this are candidates of a greedy matching whenever they are shown.
+GREEDY_TEXT = 0.55
 
 
 class MultilineMerge(Fold):
@@ -100,43 +102,47 @@ def merge_multiline(pred: DataFrame, videos: DataFrame) -> DataFrame:
 def similar_texts(truth: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
     """Pairs of distinct compact texts of one video with similarity >= ``threshold``.
 
-    Works on distinct texts. The length bound of the matcher (partners differ by
-    at most a fixed ratio) becomes part of the join key as a length class, and
-    is checked exactly before Python; a bound on shared characters comes next.
-    The texts of one video are spread over SALTS tasks.
+    Candidates come from the index over numbered characters; the matcher sees those alone, each once.
     """
-    ratio = threshold / (2.0 - threshold)
-    scale = -math.log(ratio) if ratio < 1 else 1e-6
-    length_class = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.lit(scale)).cast("int")
-    left = truth.select("video_id", F.col("compact").alias("truth_text")).where("truth_text <> ''").distinct()
-    right = pred.select("video_id", F.col("compact").alias("pred_text")).where("pred_text <> ''").distinct()
-    cls = length_class(F.col("truth_text"))
-    left = left.withColumn("_class", F.explode(F.array(cls - 1, cls, cls + 1)))
-    right = right.withColumn("_class", length_class(F.col("pred_text")))
-    a, b = F.col("truth_text"), F.col("pred_text")
-    pairs = _salted(left, right, "truth_text", ["video_id", "_class"]).where(TX.matcher_bound(a, b) >= threshold)
-    scored = pairs.select("video_id", "truth_text", "pred_text").withColumn(
-        "similarity", eval_similarity(a, b, threshold)
-    )
-    return scored.where(F.col("similarity") >= threshold)
-
+    left = truth.select(F.col("video_id").alias("key"), F.col("compact").alias("text"))
+    right = pred.select(F.col("video_id").alias("key"), F.col("compact").alias("text"))
+    pairs = cut(candidate_pairs(left, right, threshold)).select(
+        F.col("key").alias("video_id"), F.col("left_text").alias("truth_text"), F.col("right_text").alias("pred_text"))
+    placed = spread(pairs, "video_id", "pred_text").sortWithinPartitions("pred_text")
+    return placed.withColumn("similarity", eval_similarity(F.col("truth_text"), F.col("pred_text"))).where(F.col("similarity") >= threshold)
+
+
+class BestBefore:
+    """A Fenwick tree of maxima: the best chain that ends before a column."""
+
+    def __init__(self, columns: int):
+        self.best: list[tuple] = [NO_CHAIN] * (columns + 1)
+
+    def before(self, column: int) -> tuple:
+        out = NO_CHAIN
+        while column > 0:
+            if self.best[column] > out:
+                out = self.best[column]
+            column &= column - 1
+        return out
 
-SALTS = 16
+    def put(self, column: int, chain: tuple) -> None:
+        column += 1
+        while column < len(self.best):
+            if chain > self.best[column]:
+                self.best[column] = chain
+            column += column & -column
 
 
-def _salted(left: DataFrame, right: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Equi-join of two text tables, each key split over SALTS tasks by the left text."""
-    l = left.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = [*keys, "_salt"]
-    return spread(l, *on).join(spread(r, *on), on).drop("_salt")
+#: Pairs, similarity, overlap and minus the centre error of a chain.
+NO_CHAIN = (0, 0.0, 0.0, 0)
 
 
 class Alignment(Fold):
-    """Best order-preserving pairing inside one block.
+    """Best order-preserving pairing inside one block, by chains of similar pairs.
 
-    Compares (pairs, similarity, overlap, -centre error); on a tie a pair wins
-    over skipping the truth row, and that over skipping the prediction.
+    Compares (pairs, similarity, overlap, -centre error); on a tie a pair wins over skipping the truth row, and that over
+    skipping the prediction. Memory and time follow the number of similar pairs, not of rows on either side multiplied.
     """
 
     def __init__(self):
@@ -144,11 +150,7 @@ class Alignment(Fold):
         self.pred: list[dict] = []
 
     def push(self, row):
-        if row["side"] == 0:
-            row["scores"] = {s["k"]: s["similarity"] for s in row["similar"] or ()}
-            self.truth.append(row)
-        else:
-            self.pred.append(row)
+        (self.truth if row["side"] == 0 else self.pred).append(row)
         return ()
 
     @staticmethod
@@ -157,38 +159,43 @@ class Alignment(Fold):
         span = max(t["end_frame"], p["end_frame"]) - min(t["start_frame"], p["start_frame"]) + 1
         return inter / span if span > 0 else 0.0
 
-    def finish(self):
-        m = len(self.pred)
-        above = [(0, 0.0, 0.0, 0)] * (m + 1)
-        moves: list[bytearray] = []
-        for t in self.truth:
-            row, move = [above[0]], bytearray(m + 1)
-            move[0] = 1
-            for j, p in enumerate(self.pred, 1):
-                best, step = (above[j], 1) if above[j] >= row[-1] else (row[-1], 0)
-                score = t["scores"].get(p["k"])
-                if score is not None:
-                    n, sim, inter, err = above[j - 1]
+    def _chains(self) -> dict[tuple, list[tuple]]:
+        """Every similar pair (truth row, column, similarity, overlap, the best chain before it), by its chain's worth."""
+        columns: dict[str, list[int]] = {}
+        for j, p in enumerate(self.pred):
+            columns.setdefault(p["k"], []).append(j)
+        tree, ends = BestBefore(len(self.pred)), {}
+        for i, t in enumerate(self.truth):
+            row = []
+            for s in t["similar"] or ():
+                for j in columns.get(s["k"], ()):
+                    p = self.pred[j]
+                    before, inter = tree.before(j), self._overlap(t, p)
+                    n, sim, overlap, err = before
                     centre = abs(t["start_frame"] + t["end_frame"] - p["start_frame"] - p["end_frame"])
-                    paired = (n + 1, sim + score, inter + self._overlap(t, p), err - centre)
-                    if paired >= best:
-                        best, step = paired, 2
-                row.append(best)
-                move[j] = step
-            above = row
-            moves.append(move)
-        out = []
-        i, j = len(self.truth), m
-        while i and j:
-            step = moves[i - 1][j]
-            if step == 2:
-                t, p = self.truth[i - 1], self.pred[j - 1]
-                out.append({
-                    "video_id": t["video_id"], "truth_idx": t["idx"], "pred_idx": p["idx"],
-                    "similarity": t["scores"][p["k"]], "exact": t["k"] == p["k"],
-                    "temporal_iou": self._overlap(t, p),
-                })
-            i, j = i - (step >= 1), j - (step != 1)
+                    worth = (n + 1, sim + s["similarity"], overlap + inter, err - centre)
+                    ends.setdefault(worth, []).append((i, j, s["similarity"], inter, before))
+                    row.append((j, worth))
+            for j, worth in row:
+                tree.put(j, worth)
+        return ends
+
+    def finish(self):
+        ends, out = self._chains(), []
+        i, j = len(self.truth), len(self.pred)
+        worth = max(ends, default=NO_CHAIN)
+        while worth != NO_CHAIN:
+            # A pair in the last column comes first, the latest of them; else the earliest row decides, its last column.
+            open_ = [e for e in ends[worth] if e[0] < i and e[1] < j]
+            last = [e for e in open_ if e[1] == j - 1]
+            first = min(e[0] for e in open_)
+            found = max(last) if last else max(e for e in open_ if e[0] == first)
+            i, j, similarity, inter, worth = found
+            t, p = self.truth[i], self.pred[j]
+            out.append({
+                "video_id": t["video_id"], "truth_idx": t["idx"], "pred_idx": p["idx"],
+                "similarity": similarity, "exact": t["k"] == p["k"], "temporal_iou": inter,
+            })
         return out
 
 
@@ -367,19 +374,24 @@ class GreedyPick(Fold):
 
 
 def greedy_match(ref: DataFrame, pred: DataFrame) -> DataFrame:
-    """Greedy proxy matching of (video_id, idx, text, start_time, end_time) tables."""
+    """Greedy proxy matching of (video_id, idx, text, start_time, end_time) tables.
+
+    Rows that share no candidate, directly or through others, cannot take one from each other: each component of the
+    graph of candidate pairs is matched on its own.
+    """
     norm = TX.norm_caption(F.col("text"))
-    side = lambda df, p: df.select(
+    side = lambda df, p: cut(df.select(
         "video_id", F.col("idx").alias(f"{p}_idx"), norm.alias(f"{p}_text"),
         F.col("start_time").alias(f"{p}_start"), F.col("end_time").alias(f"{p}_end"),
-    )
+    ))
     r, p = side(ref, "ref"), side(pred, "pred")
-    rt, pt = (x.select("video_id", f"{n}_text").distinct() for x, n in ((r, "ref"), (p, "pred")))
+    rt, pt = (x.select(F.col("video_id").alias("key"), F.col(f"{n}_text").alias("text")) for x, n in ((r, "ref"), (p, "pred")))
     a, b = F.col("ref_text"), F.col("pred_text")
-    related = _salted(rt, pt, "ref_text", ["video_id"]).where(
-        (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | (TX.matcher_bound(a, b) > 0.55))
-    )
-    alike = related.withColumn("similarity", caption_similarity(a, b, 0.55)).where("similarity > 0.55")
+    texts = lambda df, x="ref_text", y="pred_text": df.select(F.col("key").alias("video_id"), F.col("left_text").alias(x), F.col("right_text").alias(y))
+    related = texts(candidate_pairs(rt, pt, GREEDY_TEXT)).union(texts(contained_pairs(rt, pt))).union(
+        texts(contained_pairs(pt, rt), "pred_text", "ref_text").select("video_id", "ref_text", "pred_text"))
+    related = spread(cut(related.distinct()), "video_id", "pred_text").sortWithinPartitions("pred_text")
+    alike = related.withColumn("similarity", caption_similarity(a, b)).where(F.col("similarity") > GREEDY_TEXT)
     cols = ["video_id", "ref_idx", "pred_idx", "ref_start", "ref_end", "pred_start", "pred_end", "similarity"]
     by_text = r.join(alike, ["video_id", "ref_text"]).join(p, ["video_id", "pred_text"]).select(*cols)
     by_time = overlap_join(
@@ -391,8 +403,12 @@ def greedy_match(ref: DataFrame, pred: DataFrame) -> DataFrame:
     inter = F.greatest(F.lit(0.0), F.least("ref_end", "pred_end") - F.greatest("ref_start", "pred_start"))
     span = F.greatest("ref_end", "pred_end") - F.least("ref_start", "pred_start")
     score = F.coalesce(F.try_divide(inter, span), F.lit(0.0)) * F.lit(0.6) + F.col("similarity") * F.lit(0.4)
-    scored = pairs.withColumn("score", score).withColumn("_rank", -F.col("score"))
-    return fold_groups(scored, ["video_id"], ["ref_idx", "_rank", "pred_idx"], GreedyPick, scored.schema).drop("_rank")
+    scored = cut(pairs.withColumn("score", score).withColumn("_rank", -F.col("score")))
+    node = lambda s: F.struct("video_id", F.lit(s).alias("side"), F.col(("ref_idx", "pred_idx")[s]).cast("long").alias("idx"))
+    parts = components(scored.select(node(0).alias("a"), node(1).alias("b")))
+    placed = scored.withColumn("node", node(0)).join(parts, "node").drop("node")
+    out = fold_groups(placed, ["component"], ["ref_idx", "_rank", "pred_idx"], GreedyPick, scored.schema)
+    return out.drop("_rank")
 
 
 def proxy_report(ref: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:

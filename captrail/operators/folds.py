@@ -8,10 +8,11 @@ state of the fold and one Arrow batch.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -63,17 +64,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; made up only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="captrail-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a result that several branches read, in the shared checkpoint folder.
+    """Write a result that several branches read as Parquet to the shared folder, and read it back.
 
-    A session on a cluster has to name that folder in ``spark.checkpoint.dir``;
-    only a local one may do without.
+    Lineage ends here, and each branch reads only the columns it needs.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="captrail-ckpt-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
