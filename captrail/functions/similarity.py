@@ -18,16 +18,32 @@ from pyspark.sql import types as T
 from captrail.functions import text as TX
 
 
-def _bag_bound(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Upper bound of the matcher ratio from the shared characters, for all pairs at once."""
-    codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
-    alphabet = {ch: i for i, ch in enumerate(sorted(set("".join(texts))))}
-    bags = np.zeros((len(texts), max(1, len(alphabet))), dtype="int32")
-    for row, text in enumerate(texts):
-        for ch in text:
-            bags[row, alphabet[ch]] += 1
-    left, right = bags[codes[: len(a)]], bags[codes[len(a):]]
-    return 2.0 * np.minimum(left, right).sum(axis=1) / np.maximum(1, left.sum(axis=1) + right.sum(axis=1))
+def _common(a: str, b: str) -> int:
+    """Shared characters with repeats: no matching of the two is larger."""
+    return sum(min(a.count(c), b.count(c)) for c in set(a) & set(b))
+
+
+def bounded_ratio(matcher: SequenceMatcher, a: str, b: str, at_least: float) -> float:
+    """The matcher's ratio of its two texts; 0 as soon as what is left open cannot bring it to ``at_least``."""
+    total = len(a) + len(b)
+    if not total:
+        return 1.0
+    matched, hope, open_ = 0, _common(a, b), [(0, len(a), 0, len(b))]
+    while open_:
+        if 2.0 * hope / total < at_least:
+            return 0.0
+        at, to, bt, bo = open_.pop()
+        i, j, n = matcher.find_longest_match(at, to, bt, bo)
+        hope -= _common(a[at:to], b[bt:bo])
+        if n:
+            matched += n
+            hope += n
+            for part in ((at, i, bt, j), (i + n, to, j + n, bo)):
+                shared = _common(a[part[0]: part[1]], b[part[2]: part[3]])
+                if shared:
+                    hope += shared
+                    open_.append(part)
+    return 2.0 * matched / total
 
 
 def matcher_udf(autojunk: bool, at_least: float = 0.0):
@@ -37,18 +53,14 @@ def matcher_udf(autojunk: bool, at_least: float = 0.0):
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.full(len(a), np.nan)
         todo = np.flatnonzero((a.notna() & b.notna()).to_numpy())
-        if len(todo):
-            out[todo] = 0.0
-            if at_least > 0:
-                todo = todo[_bag_bound(a.iloc[todo], b.iloc[todo]) >= at_least]
-            # The matcher indexes its second text, so pairs sharing it are kept together.
-            matcher, indexed = None, None
-            for i in todo[np.argsort(b.to_numpy()[todo], kind="stable")]:
-                left, right = a.iloc[i], b.iloc[i]
-                if right != indexed:
-                    matcher, indexed = SequenceMatcher(None, "", right, autojunk=autojunk), right
-                matcher.set_seq1(left)
-                out[i] = matcher.ratio()
+        # The matcher indexes its second text, so pairs sharing it are kept together.
+        matcher, indexed = None, None
+        for i in todo[np.argsort(b.to_numpy()[todo], kind="stable")]:
+            left, right = a.iloc[i], b.iloc[i]
+            if right != indexed:
+                matcher, indexed = SequenceMatcher(None, "", right, autojunk=autojunk), right
+            matcher.set_seq1(left)
+            out[i] = bounded_ratio(matcher, left, right, at_least)
         return pd.Series(out)
 
     return ratio

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captrail.operators.folds import cut
+from captrail.operators.folds import cut, spread
+
+#: Edges that a task joins to stars at a time.
+HELD = 1 << 18
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -13,22 +17,63 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("_least"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges of each part of ``HELD`` rows as stars around their least nodes: as many at most, and nothing left unlinked."""
+
+    def run(batches):
+        root: dict = {}
+
+        def head(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = root[x]
+            return x
+
+        def stars():
+            pairs = [(x, r) for x in root if (r := head(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([unpacked(p[k]) for p in pairs], kind) for k in (0, 1)], names=["a", "b"])
+
+        kind, unpacked, held = None, None, 0
+        for batch in batches:
+            kind = batch.schema.field("a").type
+            nested = pa.types.is_struct(kind)
+            names = [f.name for f in kind] if nested else ()
+            packed = (lambda x: tuple(x.values())) if nested else (lambda x: x)
+            unpacked = (lambda x, names=names: dict(zip(names, x, strict=True))) if nested else (lambda x: x)
+            for a, b in zip(map(packed, batch.column("a").to_pylist()), map(packed, batch.column("b").to_pylist()), strict=True):
+                low, high = sorted((head(a), head(b)))
+                root[high] = low
+            held += batch.num_rows
+            if held >= HELD:
+                yield from stars()
+                root.clear()
+                held = 0
+        if root:
+            yield from stars()
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def components(edges: DataFrame, together: str | None = None) -> DataFrame:
     """``node, component``: the smallest node that each node of the edges (a, b) reaches.
 
-    Alternates two steps until the edges stay as they are: a node hands its larger neighbours to its least one, then all
-    its smaller ones. Distances shrink by a constant factor each time; the edges never grow in number. A node's
-    neighbours are never gathered, only joined with their least one.
+    Tasks first join what they hold; ``together`` names a column that mostly keeps components in one task. Then two steps
+    alternate until the edges stay as they are: a node hands its larger neighbours to its least one, then all its smaller
+    ones. The edges never grow in number, and a node's neighbours are never gathered, only joined with their least one.
+    Nodes are longs, strings or structs of such, never null.
     """
-    found, before = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
-    while True:
+    found = (spread(edges, together) if together else edges).select("a", "b").where("a <> b")
+    found = cut(_stars(found).distinct())
+    while not _settled(found):
         sides = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = cut(sides.join(_least(sides), "a").where("b > a").select(F.col("b").alias("a"), F.col("_least").alias("b")).distinct())
         other = F.when(F.col("b") == F.col("_least"), F.col("a")).otherwise(F.col("b"))
         small = large.join(_least(large), "a").select(other.alias("a"), F.col("_least").alias("b"))
         found = cut(small.where("a <> b").distinct())
-        now = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return found.select(F.col("a").alias("node"), F.col("b").alias("component")).union(found.select("b", "b").distinct())
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Every node hangs on one centre, and no centre on another."""
+    nodes = stars.select(F.col("a").alias("node"), F.lit(1).alias("hangs")).union(stars.select("b", F.lit(0)).distinct())
+    return nodes.groupBy("node").count().where("count > 1").isEmpty()

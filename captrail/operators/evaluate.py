@@ -109,7 +109,7 @@ def similar_texts(truth: DataFrame, pred: DataFrame, threshold: float) -> DataFr
     pairs = cut(candidate_pairs(left, right, threshold)).select(
         F.col("key").alias("video_id"), F.col("left_text").alias("truth_text"), F.col("right_text").alias("pred_text"))
     placed = spread(pairs, "video_id", "pred_text").sortWithinPartitions("pred_text")
-    return placed.withColumn("similarity", eval_similarity(F.col("truth_text"), F.col("pred_text"))).where(F.col("similarity") >= threshold)
+    return placed.withColumn("similarity", eval_similarity(F.col("truth_text"), F.col("pred_text"), threshold)).where(F.col("similarity") >= threshold)
 
 
 class BestBefore:
@@ -391,7 +391,7 @@ def greedy_match(ref: DataFrame, pred: DataFrame) -> DataFrame:
     related = texts(candidate_pairs(rt, pt, GREEDY_TEXT)).union(texts(contained_pairs(rt, pt))).union(
         texts(contained_pairs(pt, rt), "pred_text", "ref_text").select("video_id", "ref_text", "pred_text"))
     related = spread(cut(related.distinct()), "video_id", "pred_text").sortWithinPartitions("pred_text")
-    alike = related.withColumn("similarity", caption_similarity(a, b)).where(F.col("similarity") > GREEDY_TEXT)
+    alike = related.withColumn("similarity", caption_similarity(a, b, GREEDY_TEXT)).where(F.col("similarity") > GREEDY_TEXT)
     cols = ["video_id", "ref_idx", "pred_idx", "ref_start", "ref_end", "pred_start", "pred_end", "similarity"]
     by_text = r.join(alike, ["video_id", "ref_text"]).join(p, ["video_id", "pred_text"]).select(*cols)
     by_time = overlap_join(
@@ -405,7 +405,7 @@ def greedy_match(ref: DataFrame, pred: DataFrame) -> DataFrame:
     score = F.coalesce(F.try_divide(inter, span), F.lit(0.0)) * F.lit(0.6) + F.col("similarity") * F.lit(0.4)
     scored = cut(pairs.withColumn("score", score).withColumn("_rank", -F.col("score")))
     node = lambda s: F.struct("video_id", F.lit(s).alias("side"), F.col(("ref_idx", "pred_idx")[s]).cast("long").alias("idx"))
-    parts = components(scored.select(node(0).alias("a"), node(1).alias("b")))
+    parts = components(scored.select("video_id", node(0).alias("a"), node(1).alias("b")), "video_id")
     placed = scored.withColumn("node", node(0)).join(parts, "node").drop("node")
     out = fold_groups(placed, ["component"], ["ref_idx", "_rank", "pred_idx"], GreedyPick, scored.schema)
     return out.drop("_rank")

@@ -3,8 +3,8 @@
 The matcher's ratio is at most 2 * shared / (length + length), where shared counts common characters with repeats. So a
 text is taken as a set of numbered characters, ("e", 1), ("e", 2), ..., and partners at a threshold share enough of them.
 Ordered from rare to frequent, a text and each of its partners then share one of the first few: only those are indexed.
-Rows that meet at a character are judged by length, position and the whole count at once; a pair is reported at the
-rarest character that it shares, so once. Characters of very many texts are dealt in blocks.
+Rows that meet at a character are judged by their whole counts at once, then by their longest common subsequence; a pair
+is reported at the rarest character that it shares, so once. Characters of very many texts are dealt in blocks.
 """
 
 from __future__ import annotations
@@ -23,19 +23,64 @@ from captrail.operators.folds import cut, spread
 CLASSES, REPEATS = 1024, 64
 #: Texts of one side that meet at a character in one task.
 BLOCK = 2048
+#: Keys of so many texts a side need no index; their texts meet at the token ALL.
+WHOLE, ALL = 1024, -(2**40)
 CELLS = 1 << 22
 SLACK = 1e-9
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts (texts x classes that occur), the classes, and the lengths."""
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters one after the other, as numbers of the classes that occur; those classes, and the texts' lengths."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES
     used, codes = np.unique(codes, return_inverse=True)
+    return codes, used, lengths
+
+
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts (texts x classes that occur), the classes, and the lengths."""
+    codes, used, lengths = letters(texts)
     at = np.repeat(np.arange(len(texts)), lengths) * max(1, len(used)) + codes
     return np.bincount(at, minlength=len(texts) * len(used)).reshape(len(texts), len(used)).astype(np.int32), used, lengths
 
 
+class Subsequences:
+    """Longest common subsequences of many pairs of short texts at once, a bit per character of the first text.
+
+    The matcher's blocks lie in order, so they are one; it bounds the ratio more tightly than the shared characters do.
+    """
+
+    SHORT = 63
+
+    def __init__(self, texts: list[str]):
+        codes, used, self.lengths = letters(texts)
+        ends = np.cumsum(self.lengths)
+        rows = np.repeat(np.arange(len(texts)), self.lengths)
+        place = np.arange(len(codes)) - np.repeat(ends - self.lengths, self.lengths)
+        near = place < self.SHORT
+        self.codes = np.full((len(texts), self.SHORT), len(used), np.int64)
+        self.codes[rows[near], place[near]] = codes[near]
+        self.masks = np.zeros((len(texts), len(used) + 1), np.uint64)
+        for p in range(min(self.SHORT, int(self.lengths.max(initial=0)))):
+            has = np.flatnonzero(self.lengths > p)
+            self.masks[has, self.codes[has, p]] |= np.uint64(1 << p)
+
+    def reach(self, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs can reach the threshold; pairs with a longer text count as such."""
+        out = np.ones(len(left), bool)
+        short = np.flatnonzero((self.lengths[left] <= self.SHORT) & (self.lengths[right] <= self.SHORT))
+        for at in range(0, len(short), CELLS // 8):
+            part = short[at: at + CELLS // 8]
+            i, j = left[part], right[part]
+            open_ = np.full(len(part), np.iinfo(np.uint64).max)
+            for p in range(int(self.lengths[j].max(initial=0))):
+                taken = open_ & self.masks[i, self.codes[j, p]]
+                open_ = (open_ + taken) | (open_ - taken)
+            own = (np.uint64(1) << self.lengths[i].astype(np.uint64)) - np.uint64(1)
+            out[part] = 2.0 * np.bitwise_count(~open_ & own) / (self.lengths[i] + self.lengths[j]) >= threshold
+        return out
+
+
 def _slices(column: pa.Array) -> Iterator[list[str]]:
     """The texts in runs of bounded size."""
     held, size = [], 0
@@ -131,16 +176,18 @@ def _meet(rarity, threshold: float, keys: list[str]):
             middle = low + int(np.searchsorted(sides[low:high], 1))
             if low == middle or middle == high:
                 continue
-            before = rarity.value.first_repeat_before(used, int(tokens[low]))
+            before = None if tokens[low] == ALL else rarity.value.first_repeat_before(used, int(tokens[low]))
             step = max(1, CELLS // max(1, (high - middle) * len(used)))
             for at in range(low, middle, step):
                 end = min(middle, at + step)
                 shared = np.minimum(n[at:end, None, :], n[None, middle:high, :])
                 near = 2.0 * shared.sum(axis=2) / (lengths[at:end, None] + lengths[None, middle:high]) >= threshold
-                i, j = np.nonzero(near & ~(shared >= before).any(axis=2))
+                i, j = np.nonzero(near if before is None else near & ~(shared >= before).any(axis=2))
                 left.append(i + at)
                 right.append(j + middle)
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        able = Subsequences(texts).reach(left, right, threshold)
+        left, right = left[able], right[able]
         a, b = batch.take(pa.array(left)), batch.take(pa.array(right))
         return pa.table({"key": a.column("key"), "left_text": a.column("text"), "right_text": b.column("text")})
 
@@ -160,31 +207,41 @@ def _meet(rarity, threshold: float, keys: list[str]):
     return run
 
 
+def _dealt(entries: DataFrame) -> DataFrame:
+    """Entries with their parts ``lp`` and ``rp``: where too many meet, blocks of one side meet blocks of the other."""
+    count = lambda k: F.count_if(F.col("side") == k)
+    hubs = entries.groupBy("key", "token").agg(count(0).alias("_l"), count(1).alias("_r")).where(f"_l > {BLOCK} or _r > {BLOCK}")
+    entries = entries.join(hubs.where("_l > 0 and _r > 0"), ["key", "token"], "left")
+    parts = {k: F.ceil(F.coalesce(F.col(f"_{k}"), F.lit(1)) / BLOCK).cast("int") for k in "lr"}
+    at = {k: F.pmod(F.xxhash64("text"), parts[k]).cast("int") for k in "lr"}
+    every = {k: F.sequence(F.lit(0), parts[k] - 1) for k in "lr"}
+    own = F.col("side") == 0
+    entries = entries.withColumn("lp", F.explode(F.when(own, F.array(at["l"])).otherwise(every["l"])))
+    return entries.withColumn("rp", F.explode(F.when(own, every["r"]).otherwise(F.array(at["r"])))).drop("_l", "_r")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``key, left_text, right_text``: all pairs of distinct texts of one key that share enough characters for ``threshold``.
 
-    Both sides: (key, text). Empty and null texts have no partners. Threshold: above 0, up to 1.
+    Both sides: (key, text). Empty and null texts have no partners. Threshold: above 0, up to 1. Keys of ``WHOLE`` texts a
+    side at most are compared as they are, in one pass of arrays; those of more texts go through the index.
     """
     spark = left.sparkSession
     kind = left.schema["key"].dataType
-    sides = [cut(x.select("key", "text").where("key is not null and text <> ''").distinct()) for x in (left, right)]
-    rarity = spark.sparkContext.broadcast(Rarity(frequencies(sides[0].unionByName(sides[1]))))
-    schema = T.StructType([T.StructField("key", kind), T.StructField("token", T.LongType()), T.StructField("text", T.StringType()), T.StructField("side", T.IntegerType())])
-    entries = [spread(x, "key", "text").mapInArrow(_postings(rarity, threshold, k), schema) for k, x in enumerate(sides)]
-    entries = cut(entries[0].unionByName(entries[1]))
+    sides = [x.select("key", "text", F.lit(k).alias("side")).where("key is not null and text <> ''") for k, x in enumerate((left, right))]
+    texts = cut(sides[0].unionByName(sides[1]).distinct())
     count = lambda k: F.count_if(F.col("side") == k)
-    hubs = entries.groupBy("key", "token").agg(count(0).alias("_l"), count(1).alias("_r")).where(f"_l > {BLOCK} or _r > {BLOCK}")
-    hubs = cut(hubs.where("_l > 0 and _r > 0"))
-    entries = entries.withColumns({"lp": F.lit(0), "rp": F.lit(0)})
-    if not hubs.isEmpty():
-        entries = entries.join(hubs, ["key", "token"], "left")
-        parts = {k: F.ceil(F.coalesce(F.col(f"_{k}"), F.lit(1)) / BLOCK).cast("int") for k in "lr"}
-        at = {k: F.pmod(F.xxhash64("text"), parts[k]).cast("int") for k in "lr"}
-        every = {k: F.sequence(F.lit(0), parts[k] - 1) for k in "lr"}
-        own = F.col("side") == 0
-        entries = entries.withColumn("lp", F.explode(F.when(own, F.array(at["l"])).otherwise(every["l"])))
-        entries = entries.withColumn("rp", F.explode(F.when(own, every["r"]).otherwise(F.array(at["r"])))).drop("_l", "_r")
+    large = texts.groupBy("key").agg(count(0).alias("_l"), count(1).alias("_r")).where(f"_l > {WHOLE} or _r > {WHOLE}")
+    large = cut(large.where("_l > 0 and _r > 0").select("key"))
+    schema = T.StructType([T.StructField("key", kind), T.StructField("token", T.LongType()), T.StructField("text", T.StringType()), T.StructField("side", T.IntegerType())])
     keys = ["key", "token", "lp", "rp"]
+    rarity = None
+    entries = texts.select("key", F.lit(ALL).alias("token"), "text", "side", F.lit(0).alias("lp"), F.lit(0).alias("rp"))
+    if not large.isEmpty():
+        many = texts.join(large, "key", "left_semi")
+        rarity = spark.sparkContext.broadcast(Rarity(frequencies(many)))
+        indexed = [spread(many.where(F.col("side") == k), "key", "text").mapInArrow(_postings(rarity, threshold, k), schema) for k in (0, 1)]
+        entries = entries.join(large, "key", "left_anti").unionByName(_dealt(cut(indexed[0].unionByName(indexed[1]))))
     out = T.StructType([T.StructField("key", kind), T.StructField("left_text", T.StringType()), T.StructField("right_text", T.StringType())])
     placed = spread(entries, *keys).sortWithinPartitions(*keys, "side")
     return placed.mapInArrow(_meet(rarity, threshold, keys), out)

@@ -40,7 +40,7 @@ def sessionize(obs: DataFrame, cfg: CaptionConfig = CaptionConfig()) -> DataFram
 
 
 class _Track:
-    __slots__ = ("number", "last", "norm", "words", "conf", "box")
+    __slots__ = ("number", "last", "norm", "words", "conf", "spot")
 
     def __init__(self, number: int, seen: dict):
         self.number, self.last, self.norm = number, seen["ts"], None
@@ -50,8 +50,7 @@ class _Track:
         """The longest reading speaks for the track; the first wins a tie."""
         self.last = seen["ts"]
         if self.norm is None or (len(seen["norm"]), seen["confidence"]) > (len(self.norm), self.conf):
-            self.norm, self.conf, self.box = seen["norm"], seen["confidence"], seen["box"]
-            self.words = frozenset(self.norm.split())
+            self.norm, self.conf, self.spot, self.words = seen["norm"], seen["confidence"], seen["spot"], seen["words"]
 
 
 class Association(Fold):
@@ -69,7 +68,8 @@ class Association(Fold):
         if self.now and row["ts"] != self.now[0]["ts"]:
             out = self._settle()
         row["norm"] = caption_norm(row["text"])
-        row["box"] = (row["x1"], row["y1"], row["x2"], row["y2"])
+        row["words"] = frozenset(row["norm"].split())
+        row["spot"] = B.Spot.of((row["x1"], row["y1"], row["x2"], row["y2"]))
         self.now.append(row)
         return out
 
@@ -88,17 +88,16 @@ class Association(Fold):
         return score
 
     def _pair(self, track: _Track, seen: dict, gap: float) -> float | None:
-        score = self._score(track.norm, seen["norm"])
-        words = frozenset(seen["norm"].split())
+        near = track.spot.nearness(seen["spot"])
+        if near <= 0:
+            return None
+        score, words = self._score(track.norm, seen["norm"]), seen["words"]
         grows = (
             bool(words and track.words) and (words <= track.words or track.words <= words)
             and min(len(track.norm), len(seen["norm"])) >= 4
         )
         if score < self.cfg.text_similarity_threshold and not grows:
             return None
-        near = B.spatial_compatibility(track.box, seen["box"])
-        if near <= 0:
-            return None
         span = self.cfg.max_missing_seconds + self.cfg.interval
         recency = max(0.0, 1 - gap / max(self.cfg.interval, span))
         return (max(score, 0.70) if grows else score) * 0.75 + near * 0.2 + recency * 0.05

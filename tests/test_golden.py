@@ -155,8 +155,8 @@ def test_kernel_boxes_equal_columns(spark, data):
     rows = df.select(a.alias("a"), b.alias("b"), G.spatial_compatibility(a, b), G.stacked_line_score(a, b), G.fragments_share_line(a, b, roi), G.box_iou(a, b)).collect()
     for p, q, near, stack, line, iou in rows:
         p, q = tuple(p), tuple(q)
-        pair = B.BoxPairs([p], [q])
-        assert B.spatial_compatibility(p, q) == near and pair.stacked[0, 0] == (-np.inf if stack is None else stack)
+        pair = B.BoxPairs([[p]], [[q]])
+        assert B.Spot.of(p).nearness(B.Spot.of(q)) == near and pair.stacked[0, 0] == (-np.inf if stack is None else stack)
         assert pair.on_one_line((10, 0, 160, 100))[0, 0] == line and pair.iou[0, 0] == iou
         assert pair.cover[0, 0] == B.overlap_over_smaller(p, q)
 

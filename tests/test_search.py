@@ -8,10 +8,12 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from captrail.functions.similarity import caption_score
 from captrail.operators import evaluate as EV
 from captrail.operators import textjoin
+from captrail.operators import components as stars
 from captrail.operators.components import components
 
 
@@ -28,14 +30,16 @@ def ratio(a, b):
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-@pytest.mark.parametrize(("threshold", "block"), [(0.72, 2048), (0.72, 7), (0.9, 2048), (0.4, 20)])
-def test_similar_texts(spark, monkeypatch, threshold, block):
+@pytest.mark.parametrize(("threshold", "block", "whole"), [(0.72, 2048, 0), (0.72, 7, 0), (0.9, 2048, 1024), (0.4, 20, 130)])
+def test_similar_texts(spark, monkeypatch, threshold, block, whole):
     monkeypatch.setattr(textjoin, "BLOCK", block)
+    monkeypatch.setattr(textjoin, "WHOLE", whole)
     monkeypatch.setattr(textjoin, "CELLS", 3000 if block == 7 else 1 << 22)
     rng = random.Random(block)
-    sides = [[(v, t) for v in (1, 2) for t in texts(rng, 60)] for _ in range(2)]
+    some = 2 if whole == 130 else 1  # one key over the bound, one below
+    sides = [[(v, t) for v in (1, 2) for t in texts(rng, 60 // (some if v == 1 else 1))] for _ in range(2)]
     for v in (1, 2):
-        sides[1] += rng.sample([x for x in sides[0] if x[0] == v], 40)
+        sides[1] += rng.sample([x for x in sides[0] if x[0] == v], 25)
     left, right = (spark.createDataFrame(s + [(None, "view")], "video_id long, compact string") for s in sides)
     got = {(r.video_id, r.truth_text, r.pred_text): r.similarity for r in EV.similar_texts(left, right, threshold).collect()}
     assert len(got) == EV.similar_texts(left, right, threshold).count()
@@ -64,6 +68,34 @@ def test_ranks_order_repeats_from_rare_to_frequent():
             assert not earlier and least > 64 or least == min(earlier)
 
 
+def test_common_subsequences():
+    rng = random.Random(9)
+    some = ["".join(rng.choice("abcé") for _ in range(rng.choice([0, 1, 7, 30, 63, 64, 90]))) for _ in range(40)]
+    left, right = (x.ravel() for x in np.meshgrid(range(40), range(40)))
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *_next(row, x, b)]
+        return row[-1]
+
+    def _next(row, x, b):
+        out, before = [], 0
+        for k, y in enumerate(b):
+            before = row[k] + 1 if x == y else max(before, row[k + 1])
+            out.append(before)
+        return out
+
+    for threshold in (0.3, 0.6, 0.8):
+        got = textjoin.Subsequences(some).reach(left, right, threshold)
+        for i, j, able in zip(left, right, got, strict=True):
+            a, b = some[i], some[j]
+            if max(len(a), len(b)) <= 63 and a + b:
+                assert able == (2.0 * longest(a, b) / (len(a) + len(b)) >= threshold)
+            elif a + b:
+                assert able
+
+
 class Table:
     """The best pairing from the full table of both sides."""
 
@@ -131,7 +163,7 @@ def test_alignment_of_a_large_block():
     tracemalloc.stop()
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)] + [(7, 7)]
     root = {}
@@ -145,8 +177,12 @@ def test_components(spark):
         if a != b:
             lo, hi = sorted((top(a), top(b)))
             root[hi] = lo
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert Counter((r.node, r.component) for r in got) == Counter((x, top(x)) for x in list(root))
+    for held in (1 << 18, 10):
+        monkeypatch.setattr(stars, "HELD", held)
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+        assert Counter((r.node, r.component) for r in got) == Counter((x, top(x)) for x in list(root))
+    pairs = spark.createDataFrame(edges, "a long, b long").select(F.struct(F.lit("x").alias("s"), "a").alias("a"), F.struct(F.lit("x").alias("s"), F.col("b").alias("a")).alias("b"), F.lit(1).alias("k"))
+    assert Counter((r.node.a, r.component.a) for r in components(pairs, "k").collect()) == Counter((x, top(x)) for x in list(root))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
