@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from captrail.functions import geometry as G
 from captrail.functions import text as T
@@ -166,13 +169,45 @@ def _geometry(box: Column) -> dict[str, Column]:
     }
 
 
+def row_reach(height, other):
+    """How far apart the centres of two boxes of one caption row may lie; numbers or arrays."""
+    return np.maximum(np.maximum(18.0, height * 0.55), other * 0.4)
+
+
+def row_support(height: np.ndarray, centre: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each class of boxes the weight of all classes whose centre is within reach.
+
+    For each height the centres are sorted and their weights summed up once; each class then looks up both ends of its
+    reach. Classes times heights, not classes times classes.
+    """
+    out = np.zeros(len(height), np.int64)
+    for other in np.unique(height):
+        own = np.flatnonzero(height == other)
+        own = own[np.argsort(centre[own], kind="stable")]
+        at, sums = centre[own], np.concatenate(([0], np.cumsum(weight[own])))
+        reach = row_reach(height, other)
+        low, high = np.searchsorted(at, centre - reach, "left"), np.searchsorted(at, centre + reach, "right")
+        # The ends are rounded, the distance decides: an end may be off by one centre.
+        near = lambda k: (k >= 0) & (k < len(at)) & (np.abs(at[np.clip(k, 0, len(at) - 1)] - centre) <= reach)
+        low = np.where(near(low - 1), low - 1, np.where(near(low), low, np.minimum(low + 1, high)))
+        high = np.where(near(high), high + 1, np.where(near(high - 1), high, np.maximum(high - 1, low)))
+        out += sums[high] - sums[low]
+    return out
+
+
+def _weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(counts[order])
+    low, high = (values[order[np.searchsorted(upto, rank, "right")]] for rank in ((upto[-1] - 1) // 2, upto[-1] // 2))
+    return float(low if low == high else low * 0.5 + high * 0.5)
+
+
 def dominant_geometry(events: DataFrame) -> DataFrame:
     """Dominant caption row per video: centre and height of the best supported row.
 
-    Support is summed per distinct (height, centre) class first. The number of
-    classes is bounded by the pixel grid, so comparing classes stays small
-    however many events a video has. Weights are summed as integers, which makes
-    ties independent of the order of rows.
+    Events become classes of equal height and centre, whose number is bounded by the pixel grid however many events a
+    video has; a video's classes are handled at once. Weights are summed as integers, which makes ties independent of the
+    order of rows.
     """
     boxed = events.where(F.col("box").isNotNull()).withColumns(_geometry(F.col("box")))
     weight = F.least(F.lit(6.0), F.col("_w") / F.col("_h")) * F.greatest(F.lit(0.2), F.col("confidence"))
@@ -181,25 +216,23 @@ def dominant_geometry(events: DataFrame) -> DataFrame:
         F.min(F.struct("start_time", "end_time", "cue_id")).alias("_first"),
         F.count(F.lit(1)).alias("_n"),
     )
-    other = classes.select("video_id", F.col("_h").alias("_oh"), F.col("_cy").alias("_ocy"), F.col("_weight").alias("_ow"))
-    reach = F.greatest(F.lit(18.0), F.col("_h") * F.lit(0.55), F.col("_oh") * F.lit(0.4))
-    support = (
-        classes.join(other, "video_id").where(F.abs(F.col("_ocy") - F.col("_cy")) <= reach)
-        .groupBy("video_id", "_h", "_cy")
-        .agg(F.sum("_ow").alias("_support"), F.first("_first").alias("_first"))
-    )
-    seed = support.groupBy("video_id").agg(
-        F.min_by(F.struct("_h", "_cy"), F.struct(-F.col("_support"), F.col("_first"))).alias("_seed")
-    )
-    near = F.greatest(F.lit(18.0), F.col("_seed._h") * F.lit(0.55), F.col("_h") * F.lit(0.4))
-    counted = classes.groupBy("video_id").agg(F.sum("_n").alias("boxed_events"))
-    return (
-        boxed.join(seed, "video_id").where(F.abs(F.col("_cy") - F.col("_seed._cy")) <= near)
-        .groupBy("video_id")
-        .agg(F.median("_cy").alias("dominant_cy"), F.median("_h").alias("dominant_h"),
-             F.count(F.lit(1)).alias("dominant_events"))
-        .join(counted, "video_id")
-    )
+
+    def dominant(rows: pa.Table) -> pa.Table:
+        h, cy, weight, n = (rows.column(c).to_numpy() for c in ("_h", "_cy", "_weight", "_n"))
+        support = row_support(h, cy, weight)
+        best = np.flatnonzero(support == support.max())
+        first = rows.column("_first").take(pa.array(best)).to_pylist()
+        seed = best[min(range(len(best)), key=lambda k: tuple(first[k].values()))]
+        kept = np.abs(cy - cy[seed]) <= row_reach(h[seed], h)
+        values = [_weighted_median(cy[kept], n[kept]), _weighted_median(h[kept], n[kept]), int(n[kept].sum()), int(n.sum())]
+        names = ["dominant_cy", "dominant_h", "dominant_events", "boxed_events"]
+        return pa.table({"video_id": rows.column("video_id").slice(0, 1), **{c: pa.array([v]) for c, v in zip(names, values, strict=True)}})
+
+    schema = StructType([
+        events.schema["video_id"], StructField("dominant_cy", DoubleType()), StructField("dominant_h", DoubleType()),
+        StructField("dominant_events", LongType()), StructField("boxed_events", LongType()),
+    ])
+    return classes.groupBy("video_id").applyInArrow(dominant, schema)
 
 
 def dominant_rejection(roi: Column, sample_fps: float) -> Column:

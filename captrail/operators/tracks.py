@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,24 +126,46 @@ class Association(Fold):
                 self.count += 1
                 self.open.append(home[c])
         return [
-            {k: row[k] for k in _KEPT} | {"track_no": home[c].number} for c, row in enumerate(seen)
+            {k: row[k] for k in _KEPT} | {"track_no": row["band"] * BAND_TRACKS + home[c].number} for c, row in enumerate(seen)
         ]
 
 
-_KEPT = ("video_id", "session_id", "lines", "ts", "cand_no", "text", "confidence", "x1", "y1", "x2", "y2")
+_KEPT = ("video_id", "session_id", "lines", "band", "ts", "cand_no", "text", "confidence", "x1", "y1", "x2", "y2")
+
+
+#: Track numbers of one band.
+BAND_TRACKS = 1 << 32
+
+
+def bands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``band``: rows of one key in different bands are too far apart in height for one caption.
+
+    Boxes near enough to be one caption touch once each is widened to its height and 4 pixels at least on both sides of
+    its centre; a band is a run of touching ones. Worked out on distinct heights, so bounded by the pixels of a frame.
+    """
+    middle, reach = F.col("y1") + F.col("y2"), F.greatest(F.lit(8), F.col("y2") - F.col("y1"))
+    placed = rows.withColumns({"_low": (middle - reach).cast("long"), "_high": (middle + reach).cast("long")})
+    seen = Window.partitionBy(*keys).orderBy("_low", "_high")
+    spans = placed.select(*keys, "_low", "_high").distinct()
+    spans = spans.withColumn("_reach", F.max("_high").over(seen.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.when(F.col("_reach").isNull() | (F.col("_low") > F.col("_reach")), F.col("_low"))
+    spans = spans.withColumn("band", F.last(opens, ignorenulls=True).over(seen)).drop("_reach")
+    return placed.join(spans, [*keys, "_low", "_high"]).drop("_low", "_high")
 
 
 def associate_tracks(obs: DataFrame, cfg: CaptionConfig = CaptionConfig()) -> DataFrame:
     """Add ``track_no`` per (video_id, session_id, lines).
 
-    Tracks never leave a session and never change their number of lines, so the
-    three columns together are an exact parallel key.
+    Tracks never leave a session or a band of rows and never change their number of lines, so these columns together are
+    an exact parallel key. The number holds the band, so it is unique without it.
     """
-    rows = sessionize(obs, cfg).withColumn("lines", TX.line_breaks(F.col("text"))).select(*_KEPT)
+    rows = sessionize(obs, cfg).withColumn("lines", TX.line_breaks(F.col("text")))
+    rows = bands(rows, ["video_id", "session_id", "lines"]).select(*_KEPT)
     schema = T.StructType(list(rows.schema.fields) + [T.StructField("track_no", T.LongType())])
-    return fold_groups(
-        rows, ["video_id", "session_id", "lines"], ["ts", "cand_no"], lambda: Association(cfg), schema
+    tracked = fold_groups(
+        rows, ["video_id", "session_id", "lines", "band"], ["ts", "cand_no"], lambda: Association(cfg), schema
     )
+    return tracked.drop("band")
 
 
 def summarize_tracks(assoc: DataFrame, videos: DataFrame, cfg: CaptionConfig = CaptionConfig()) -> DataFrame:

@@ -110,7 +110,7 @@ def test_sessions_equal_whole_video(spark, data):
     rows = sorted((r.asDict() for r in obs.collect()), key=lambda r: (r["ts"], r["cand_no"]))
     fold, out = TR.Association(CaptionConfig()), []
     for r in rows:
-        r |= {"session_id": 0.0, "lines": 0}
+        r |= {"session_id": 0.0, "lines": 0, "band": 0}
         out += list(fold.push(r))
     out += list(fold.finish())
 
@@ -344,3 +344,45 @@ def test_fold_is_casefold_for_every_letter(spark):
     assert [r.t for r in rows if r.f != r.t.casefold()] == []
     odd = spark.createDataFrame([("ﬁne ΟΔΟΣ ς Straße",)], "t string").select(TX.norm_caption(F.col("t"))).first()[0]
     assert odd == "fine οδοσ σ strasse"
+
+
+def test_bands_split_association_without_changing_it(spark):
+    """Bands of rows give the tracks of one fold over all rows, also where bands move and touch."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(1500):
+        y, h = rng.choice([100, 130, 131, 300, 340, 700, 716]) + rng.randrange(3), rng.choice([0, 8, 30, 40])
+        rows.append((1, (k // 6) * 0.5 + (100 if k > 900 else 0), k, rng.choice(["SMALL STAR", "SMALL STAR POWER", "OLD ROAD", "OLD\nROAD"]), 0.5 + rng.randrange(50) / 100, 100, y, 300, y + h))
+    obs = spark.createDataFrame(rows, "video_id int, ts double, cand_no long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    folds, tracks = {}, {}
+    for r in sorted((r.asDict() for r in TR.sessionize(obs).collect()), key=lambda r: (r["ts"], r["cand_no"])):
+        key = (r["session_id"], r["text"].count("\n"))
+        fold = folds.setdefault(key, TR.Association(CaptionConfig()))
+        for done in fold.push(r | {"lines": key[1], "band": 0}):
+            tracks.setdefault((*key, done["track_no"]), set()).add(done["cand_no"])
+    for key, fold in folds.items():
+        for done in fold.finish():
+            tracks.setdefault((*key, done["track_no"]), set()).add(done["cand_no"])
+    split = {}
+    found = TR.associate_tracks(obs).collect()
+    for r in found:
+        split.setdefault((r["session_id"], r["lines"], r["track_no"]), set()).add(r["cand_no"])
+    assert sorted(map(sorted, split.values())) == sorted(map(sorted, tracks.values()))
+    banded = TR.bands(TR.sessionize(obs).withColumn("lines", F.lit(0)), ["video_id", "session_id", "lines"])
+    assert banded.groupBy("session_id", "band").count().agg(F.max("count")).first()[0] < 500 and banded.count() == 1500
+
+
+def test_row_support_equals_all_pairs():
+    from captrail.operators.cues import _weighted_median, row_reach, row_support
+
+    rng = np.random.default_rng(3)
+    for scale in (0.5, 0.1):
+        h, cy = rng.integers(1, 60, 400) * scale * 2, rng.integers(0, 600, 400) * scale
+        classes = np.unique(np.stack([h, cy], axis=1), axis=0)
+        h, cy, w = classes[:, 0], classes[:, 1], rng.integers(1, 10**9, len(classes))
+        near = np.abs(cy[None, :] - cy[:, None]) <= row_reach(h[:, None], h[None, :])
+        assert (row_support(h, cy, w) == (near * w[None, :]).sum(axis=1)).all()
+    v, n = rng.normal(size=9), rng.integers(1, 5, 9)
+    assert _weighted_median(v, n) == np.median(np.repeat(v, n))
