@@ -6,13 +6,12 @@ import bisect
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from captrail.config import CaptionConfig
 from captrail.functions.numeric import half_even
 from captrail.operators.folds import Fold, cut, fold_groups
 from captrail.operators.intervals import points_in_spans
-from captrail.operators.ordered import ordered, quantiles
+from captrail.operators.ordered import ordered, quantiles, top_k_per
 
 CHUNK_FRAMES = 20000
 
@@ -107,23 +106,18 @@ def merge_variants(intervals: DataFrame) -> DataFrame:
 
 
 class ProbeChoice(Fold):
-    """Take frames in order of strength, not too close to one already taken."""
+    """Take frames in order of strength, none too close to one already taken."""
 
-    def __init__(self, budget: int):
-        self.budget, self.taken = budget, []
+    def __init__(self):
+        self.taken: list[int] = []
 
     def push(self, row):
-        if len(self.taken) >= self.budget:
-            return ()
         frame = row["frame_index"]
-        reach = max(1, round(row["fps"] * 0.02))
         at = bisect.bisect_left(self.taken, frame)
-        if any(abs(frame - t) <= reach for t in self.taken[max(0, at - 1):at + 1]):
-            return ()
-        if row["observed"]:
+        if any(abs(frame - t) <= row["_reach"] for t in self.taken[max(0, at - 1):at + 1]):
             return ()
         self.taken.insert(at, frame)
-        return [{"video_id": row["video_id"], "frame_index": frame, "strength": row["strength"]}]
+        return [row]
 
 
 def select_probes(
@@ -131,22 +125,28 @@ def select_probes(
 ) -> DataFrame:
     """Frames to look at next, at most ``budget`` per video.
 
-    Only the state of the fold (``budget`` frames) is held; candidates stream by.
+    A frame keeps away others within its reach, so frames decide among each other only in islands without a wider gap.
+    Islands are solved apart; the budget then goes to the best of what they took.
     """
-    seen = observed.select("video_id", "frame_index").distinct().withColumn("observed", F.lit(True))
+    rank = ["_o1", "_o2", "_o3", "_o4"]
+    reach = F.greatest(F.lit(1), half_even(F.col("fps") * F.lit(0.02)).cast("long"))
     rows = (
-        merged.join(videos.select("video_id", "fps"), "video_id")
-        .join(seen, ["video_id", "frame_index"], "left")
+        minus_observed(merged, observed, "video_id", "frame_index").join(videos.select("video_id", "fps"), "video_id")
         .select(
-            "video_id", "frame_index", "strength", "fps", F.coalesce("observed", F.lit(False)).alias("observed"),
+            "video_id", F.col("frame_index").cast("long").alias("frame_index"), F.col("strength").cast("double").alias("strength"), reach.alias("_reach"),
             (-F.col("strength")).alias("_o1"), (-F.col("support")).alias("_o2"),
             (-F.col("priority")).alias("_o3"), (-F.col("frame_index")).alias("_o4"),
         )
     )
-    schema = T.StructType([
-        rows.schema["video_id"], T.StructField("frame_index", T.LongType()), T.StructField("strength", T.DoubleType()),
-    ])
-    return fold_groups(rows, ["video_id"], ["_o1", "_o2", "_o3", "_o4"], lambda: ProbeChoice(budget), schema)
+    lagged = ordered(rows, ["video_id"], ["frame_index"], _chunk(), lag={"_p": "frame_index"})
+    opens = F.col("_p").isNull() | (F.col("frame_index") - F.col("_p") > F.col("_reach"))
+    marked = ordered(
+        lagged.withColumn("_open", F.when(opens, F.col("frame_index"))), ["video_id"], ["frame_index"], _chunk(),
+        last_seen={"_island": "_open"},
+    ).drop("_p", "_open")
+    taken = fold_groups(marked, ["video_id", "_island"], rank, ProbeChoice, marked.schema)
+    best = top_k_per(taken, ["video_id"], [F.col(c) for c in rank], budget, ["frame_index"], salts=16)
+    return best.select("video_id", "frame_index", "strength")
 
 
 def minus_observed(wanted: DataFrame, observed: DataFrame, *keys: str) -> DataFrame:

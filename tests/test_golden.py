@@ -386,3 +386,22 @@ def test_row_support_equals_all_pairs():
         assert (row_support(h, cy, w) == (near * w[None, :]).sum(axis=1)).all()
     v, n = rng.normal(size=9), rng.integers(1, 5, 9)
     assert _weighted_median(v, n) == np.median(np.repeat(v, n))
+
+
+def test_probes_equal_the_sequential_choice(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(v, f, rng.randrange(5) / 2, rng.randrange(3), float(rng.randrange(4))) for v in (1, 2) for f in rng.sample(range(300), 140)]
+    seen = [(1, f) for f in range(0, 300, 9)]
+    want = []
+    for v, fps, budget in ((1, 100.0, 30), (2, 160.0, 30)):
+        taken = []
+        for _, f, s, *_ in sorted((r for r in rows if r[0] == v), key=lambda r: (-r[2], -r[3], -r[4], -r[1])):
+            if len(taken) < budget and (v, f) not in seen and all(abs(f - t) > max(1, round(fps * 0.02)) for t in taken):
+                taken.append(f)
+                want.append((v, f, s))
+    merged = spark.createDataFrame(rows, "video_id int, frame_index long, strength double, support long, priority double")
+    videos = spark.createDataFrame([(1, 100.0), (2, 160.0)], "video_id int, fps double")
+    got = CH.select_probes(merged, spark.createDataFrame(seen, "video_id int, frame_index long"), videos, 30)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
