@@ -1,5 +1,7 @@
 """Streams replayed to the end give the rows of their batch twins."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ from captrail.sources.tables import load
 from captrail.streaming import progress as ST
 
 
+@pytest.fixture(autouse=True)
+def only_batches_with_data(spark):
+    """Else a stream with timers never runs out of batches."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def replay(spark, df, folder, transform, name, files=3, order="seq"):
     """Write ``df`` as ordered files, stream them one by one, return the collected rows."""
     schema = df.schema
@@ -101,6 +111,7 @@ def test_edits_equal_batch(spark, data, tmp_path):
 
 
 def test_association_equals_batch(spark, data, tmp_path):
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     obs = load(spark, data, "obs").where("video_id = 3").withColumn("cand_no", F.col("cand_no").cast("long")).dropDuplicates(["ts", "cand_no"])
     timed = obs.withColumn("seen_at", F.timestamp_micros((F.col("ts") * 1000000 + 10**9).cast("long")))
     flush = timed.limit(1).withColumns({"ts": F.lit(1e6), "seen_at": F.timestamp_micros(F.lit(10**13)), "video_id": F.lit(999).cast("long")})
@@ -127,9 +138,69 @@ def test_snapshot_sink(spark, events, tmp_path):
     query = ST.snapshot_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 1).start()
     query.processAllAvailable()
     query.stop()
-    got = spark.read.parquet(str(tmp_path / "out" / "v1"))
+    store = ST.SnapshotStore(spark, str(tmp_path / "out"))
     pick = lambda df: sorted((r["task_id"], r["run_id"], r["latest_event"]["seq"]) for r in df.collect())
-    assert pick(got) == pick(EL.latest_snapshot(events))
+    assert pick(store.read()) == pick(EL.latest_snapshot(events))
+
+
+def test_snapshot_store_survives_broken_and_repeated_batches(spark, events, tmp_path):
+    store = ST.SnapshotStore(spark, str(tmp_path))
+    pick = lambda df: sorted((r["task_id"], r["run_id"], r["latest_event"]["seq"]) for r in df.collect())
+    assert store.read() is None
+    store.merge(events.where("task_id = 'task-0'"), 0)
+    first, before = pick(store.read()), store.current()
+    store.merge(events.where("task_id = 'task-3'"), 0)
+    assert store.current() == before and pick(store.read()) == first, "a repeated batch changes nothing"
+    (tmp_path / "data" / "1-broken" / "bucket=3").mkdir(parents=True)
+    (tmp_path / "manifest" / "batch=1").mkdir()
+    assert pick(store.read()) == first, "a batch without its manifest does not count"
+    store.merge(events.where("task_id <> 'task-0'"), 1)
+    assert pick(store.read()) == pick(EL.latest_snapshot(events))
+    kept = [b for b, f in before[1].items() if store.current()[1][b] == f]
+    assert len(kept) == len(before[1]), "buckets without new events keep their folders"
+
+
+def wait_for(found, seconds=90):
+    end = time.time() + seconds
+    while not (out := found()) and time.time() < end:
+        time.sleep(0.5)
+    return out
+
+
+def started(spark, stream, name):
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(processingTime="1 second").start()
+
+
+def test_a_silent_run_is_reported_once(spark, tmp_path):
+    schema = "task_id string, run_id string, at double, cursor long, ok boolean"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("t", "quiet", 0.0, 1, True), ("t", "quiet", 1.0, 2, True), ("t", "failing", 0.0, 1, False), ("t", "failing", 1.0, 1, False)])
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = started(spark, ST.stalled_runs_stream(stream, 4.0, 2), "silent")
+    try:
+        told = lambda: sorted((r.run_id, r["at"], r.cursor, r.reason) for r in spark.sql("select * from silent").collect())
+        want = [("failing", 1.0, 1, "errors"), ("quiet", 5.0, 2, "silent")]
+        assert wait_for(lambda: told() == want), told()
+        put([("t", "quiet", 2.0, 3, True), ("t", "failing", 3.0, 1, False)])
+        time.sleep(8)
+        assert told() == want
+    finally:
+        query.stop()
+
+
+def test_state_goes_after_the_end_and_the_time_to_live(spark, events, tmp_path):
+    put = lambda df: df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(events)
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = started(spark, ST.single_terminal(stream, live=20.0, linger=3.0), "released")
+    try:
+        held = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert wait_for(lambda: held() and max(held()) > 0) and wait_for(lambda: held()[-1] == 0), held()
+        ends = spark.sql("select * from released where type in ('job.completed', 'job.failed')").count()
+        assert ends == EL.first_terminal(events).count() > 0
+    finally:
+        query.stop()
 
 
 def test_torn_log_line_is_isolated(spark, tmp_path):
