@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +80,8 @@ def merge_multiline(pred: DataFrame, videos: DataFrame) -> DataFrame:
     """
     chunk = F.floor(F.col("start_frame") / F.lit(CHUNK_ROWS))
     order = ["start_frame", "end_frame", "idx"]
-    timed = pred.join(videos.select("video_id", F.col("fps").cast("double").alias("fps")), "video_id")
+    timed = pred.join(videos.select("video_id", F.col("fps").cast("double").alias("fps")), "video_id", "left")
+    timed = timed.withColumn("fps", F.coalesce("fps", F.lit(DEFAULT_FPS)))
     slop = F.greatest(F.lit(2), half_even(F.col("fps") * F.lit(0.06)).cast("long"))
     lagged = ordered(timed, ["video_id"], order, chunk, lag={"_p": "start_frame"})
     opens = F.col("_p").isNull() | (F.col("start_frame") - F.col("_p") > slop)
@@ -288,10 +291,26 @@ def match_rows(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFra
     )
 
 
+def tier_a_rows(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every truth event of tier A with how exactly it was found; null errors where it was not."""
+    found = match_rows(truth, pred, matches).select(
+        "video_id", F.col("truth_idx").alias("idx"), "pred_idx", "pred_text", "start_error", "end_error")
+    exact = lambda *c: F.coalesce(reduce(lambda a, b: a & b, [F.col(x) == 0 for x in c]), F.lit(False))
+    return truth.where("tier = 'A'").select("video_id", "idx", "text").join(found, ["video_id", "idx"], "left").select(
+        "video_id", F.col("idx").alias("truth_idx"), F.col("text").alias("truth_text"), "pred_idx", "pred_text",
+        F.col("pred_idx").isNotNull().alias("matched"), exact("start_error").alias("exact_start"), exact("end_error").alias("exact_end"),
+        exact("start_error", "end_error").alias("exact_both"), "start_error", "end_error",
+    )
+
+
+#: Frames per second of videos that nobody described.
+DEFAULT_FPS = 30.0
+
+
 def timeline_report(
     truth: DataFrame, pred: DataFrame, matches: DataFrame, videos: DataFrame, raw_pred: DataFrame | None = None
 ) -> DataFrame:
-    """One report row per video of ``videos`` (video_id, fps); ratios on nothing are 0."""
+    """One report row per video of either side or of ``videos`` (video_id, fps); ratios on nothing are 0."""
     six = lambda c: half_even(c, 6)
     n_truth = truth.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("truth"), F.count_if(F.col("tier") == "A").alias("tier_a_truth")
@@ -310,7 +329,10 @@ def timeline_report(
         F.count_if(a & (e == 0)).alias("tier_a_exact_end"), F.count_if(a & (s == 0) & (e == 0)).alias("tier_a_exact_both"),
         F.avg(F.when(a, s)).alias("_as"), F.avg(F.when(a, e)).alias("_ae"),
     )
-    j = videos.select("video_id", "fps").join(n_truth, "video_id", "left").join(n_pred, "video_id", "left").join(
+    raw = raw_pred if raw_pred is not None else pred
+    every = reduce(DataFrame.union, [x.select("video_id") for x in (videos, truth, raw)]).distinct()
+    described = every.join(videos.select("video_id", "fps"), "video_id", "left").withColumn("fps", F.coalesce(F.col("fps").cast("double"), F.lit(DEFAULT_FPS)))
+    j = described.join(n_truth, "video_id", "left").join(n_pred, "video_id", "left").join(
         n_raw, "video_id", "left").join(agg, "video_id", "left").fillna(0)
     m, nt, np_ = F.col("matched"), F.col("truth"), F.col("evaluated_prediction")
     precision, recall = safe_ratio(m, np_), safe_ratio(m, nt)
@@ -331,14 +353,20 @@ def timeline_report(
     )
 
 
-def report_lines(report: DataFrame) -> DataFrame:
-    """The report as fixed text lines, (video_id, line_no, line)."""
+def report_lines(report: DataFrame, false_positives: DataFrame, false_negatives: DataFrame) -> DataFrame:
+    """The report as text lines, (video_id, line_no, line), with a line for each unmatched event.
+
+    Unmatched events: (video_id, idx, text, start_frame, end_frame). They stay rows, numbered in chunks.
+    """
     f = F.format_string
     label = F.when(
         F.col("prediction") != F.col("evaluated_prediction"),
         f("%d (semantic: %d)", "prediction", "evaluated_prediction"),
     ).otherwise(F.col("prediction").cast("string"))
-    lines = F.array(
+    wrong, missed = F.col("false_positive"), F.col("false_negative")
+    second = F.greatest(F.lit(1), wrong) + HEAD_LINES
+    none = lambda n, at: F.when(n == 0, F.struct(at.cast("long").alias("line_no"), F.lit("    (none)").alias("line")))
+    head = [
         F.lit("Visual subtitle timeline evaluation"),
         f("  Truth: %d | Prediction: %s | Matched: %d", "truth", label, "matched"),
         f("  Detection: precision=%.4f recall=%.4f f1=%.4f", "precision", "recall", "f1"),
@@ -346,9 +374,40 @@ def report_lines(report: DataFrame) -> DataFrame:
         f("  Boundaries: start_MAE=%.3f frames end_MAE=%.3f frames", "start_frame_mae", "end_frame_mae"),
         f("  Tier A: matched=%d/%d exact_both=%d/%d result=%s", "tier_a_matched", "tier_a_truth",
           "tier_a_exact_both", "tier_a_truth", F.when(F.col("tier_a_passed"), "PASS").otherwise("FAIL")),
-        f("  False positives (%d):", "false_positive"), f("  False negatives (%d):", "false_negative"),
-    )
-    return report.select("video_id", F.posexplode(lines).alias("line_no", "line"))
+        f("  False positives (%d):", "false_positive"),
+    ]
+    fixed = [F.struct(F.lit(k).cast("long").alias("line_no"), x.alias("line")) for k, x in enumerate(head)]
+    fixed.append(F.struct(second.cast("long").alias("line_no"), f("  False negatives (%d):", "false_negative").alias("line")))
+    fixed += [none(wrong, F.lit(HEAD_LINES)), none(missed, second + 1)]
+    lines = report.select("video_id", F.explode(F.array_compact(F.array(*fixed))).alias("x")).select("video_id", "x.*")
+
+    def unmatched_lines(events, first):
+        rows = ordered(events, ["video_id"], ["idx"], F.floor(F.col("idx") / F.lit(CHUNK_ROWS)), number="_n")
+        row = f("    [%d] %d-%d %s", "idx", "start_frame", "end_frame", "text")
+        return rows.join(report.select("video_id", first.alias("_first")), "video_id").select(
+            "video_id", (F.col("_first") + F.col("_n") - 1).cast("long").alias("line_no"), row.alias("line"))
+
+    return lines.union(unmatched_lines(false_positives, F.lit(HEAD_LINES))).union(unmatched_lines(false_negatives, second + 1))
+
+
+#: Lines of a report before its unmatched events.
+HEAD_LINES = 7
+
+
+def report_sections(
+    truth: DataFrame, pred: DataFrame, matches: DataFrame, videos: DataFrame, threshold: float = 0.72, raw_pred: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """The whole report as tables: a summary per video, and rows for matches, tier A and unmatched events."""
+    summary = timeline_report(truth, pred, matches, videos, raw_pred).withColumns({
+        "text_threshold": F.lit(threshold), "merge_simultaneous_multiline": F.lit(raw_pred is not None)})
+    normal = lambda c: TX.norm_eval(F.col(c))
+    return {
+        "summary": summary,
+        "matches": match_rows(truth, pred, matches).withColumns({"truth_normalized": normal("truth_text"), "pred_normalized": normal("pred_text")}),
+        "tier_a": tier_a_rows(truth, pred, matches),
+        "false_positives": unmatched(pred, matches, "pred"),
+        "false_negatives": unmatched(truth, matches, "truth"),
+    }
 
 
 def evaluate_timelines(truth: DataFrame, pred: DataFrame, videos: DataFrame, threshold: float = 0.72) -> DataFrame:

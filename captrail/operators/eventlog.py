@@ -64,6 +64,33 @@ def parse_cursor(cursor: Column) -> Column:
     return F.when(seq.isNotNull(), F.struct(F.when(with_run != "", with_run).alias("run_id"), seq.alias("seq")))
 
 
+def cursor_request(requested_run: Column, last_event_id: Column, after_seq: Column) -> Column:
+    """What a reader asks for, struct(run_id, seq, error).
+
+    The id of its last event goes before ``after_seq``; nothing at all means from the start. An id that names another run
+    than the requested one, or that cannot be read, is an error.
+    """
+    given = F.trim(F.coalesce(last_event_id, F.lit("")))
+    cursor = parse_cursor(F.when(given != "", given).otherwise(F.coalesce(F.trim(after_seq), F.lit("0"))))
+    run = F.coalesce(cursor["run_id"], requested_run)
+    clash = cursor["run_id"].isNotNull() & requested_run.isNotNull() & (cursor["run_id"] != requested_run)
+    error = F.when(cursor.isNull(), "unreadable").when(clash, "conflict")
+    return F.struct(F.when(error.isNull(), run).alias("run_id"), F.when(error.isNull(), cursor["seq"]).alias("seq"), error.alias("error"))
+
+
+def resume_cursors(cursors: DataFrame, events: DataFrame) -> DataFrame:
+    """Where readers go on: their rows with the newest ``run``, ``after`` and ``reset``.
+
+    ``cursors``: (task_id, run_id?, seq). A reader of another run, or one ahead of the log, starts over. Tasks without
+    events leave their readers as they are.
+    """
+    runs = events.groupBy(*RUN).agg(F.max("seq").alias("_latest"), F.max(F.struct("occurred_at", "seq")).alias("_at"))
+    newest = runs.groupBy("task_id").agg(F.max_by(F.struct(F.col("run_id").alias("run"), "_latest"), F.struct("_at", "run_id")).alias("_n"))
+    joined = cursors.join(newest, "task_id", "left").withColumn("run", F.col("_n.run"))
+    moved = F.col("run").isNotNull() & ((F.col("seq") > F.col("_n._latest")) | F.coalesce(F.col("run_id") != F.col("run"), F.lit(False)))
+    return joined.withColumns({"reset": moved, "after": F.when(moved, F.lit(0)).otherwise(F.col("seq"))}).select(*cursors.columns, "run", "after", "reset")
+
+
 def replay(events: DataFrame, task_id: str, run_id: str, after_seq: int = 0, limit: int = 500) -> DataFrame:
     """One cursor page of a run: rows after ``after_seq`` with latest_seq and has_more."""
     if limit < 1:
@@ -86,6 +113,17 @@ def retain_latest(events: DataFrame, keys: list[str], distinct_on: str, k: int)
     return top_k_per(last, keys, [F.desc("seq")], k, [distinct_on], salts=16)
 
 
+def retain_previews(previews: DataFrame, ended: DataFrame, k: int = 8) -> DataFrame:
+    """Previews that stay: all that serve as evidence, and the newest ``k`` others of runs that have not ended.
+
+    ``previews``: (task_id, run_id, preview_id, seq, evidence); ``ended``: (task_id, run_id).
+    """
+    evidence = previews.where("evidence").groupBy(*RUN, "preview_id").agg(F.max("seq").alias("seq"))
+    others = previews.join(evidence, [*RUN, "preview_id"], "left_anti").join(ended.select(*RUN), RUN, "left_anti")
+    newest = retain_latest(others, RUN, "preview_id", k).drop("rank")
+    return evidence.withColumn("evidence", F.lit(True)).unionByName(newest.withColumn("evidence", F.lit(False)))
+
+
 def latest_snapshot(events: DataFrame) -> DataFrame:
     """Per task: newest run with its last event, last frame event and last frame with a preview.
 
@@ -174,22 +212,26 @@ def explode_candidates(frames: DataFrame) -> DataFrame:
 
 
 def progress_state(events: DataFrame, thumbnails: int = 5) -> DataFrame:
-    """Final reducer state per run: last given value of every field, newest thumbnails.
+    """Final reducer state per run: last given value of every field, newest frames and thumbnails.
 
-    ``events`` may lack values (null); an absent field keeps the older value.
+    ``events`` may lack values (null); an absent field keeps the older value. ``frame_seq`` and ``preview_seq`` number the
+    newest frame and the newest one with a preview.
     """
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    ended = F.col("type").isin(*TERMINAL_TYPES)
-    percent = F.when(F.col("type") == "job.completed", 100.0).otherwise(clamp(F.col("progress").cast("double"), 0.0, 100.0))
+    ended, frame = F.col("type").isin(*TERMINAL_TYPES), F.col("type") == "frame.analyzed"
+    bounded = lambda c: F.when(F.col(c).isNotNull(), clamp(F.col(c).cast("double"), 0.0, 100.0))
+    percent = F.when(F.col("type") == "job.completed", 100.0).otherwise(bounded("progress"))
     e = events.withColumns({
-        "progress": percent, "_end": F.when(ended, F.split_part("type", F.lit("."), F.lit(2))),
+        "progress": percent, "stage_progress": bounded("stage_progress"), "_end": F.when(ended, F.split_part("type", F.lit("."), F.lit(2))),
         "_why": F.when(F.col("type") == "job.failed", F.col("message")),
-        "preview_id": F.when((F.col("type") == "frame.analyzed") & (F.col("preview_id") != ""), F.col("preview_id")),
+        "preview_id": F.when(frame & (F.col("preview_id") != ""), F.col("preview_id")),
     })
     base = e.groupBy(*RUN).agg(
-        F.max("seq").alias("last_seq"), *[last(c) for c in ("stage", "message", "progress", "processed", "total")],
+        F.max("seq").alias("last_seq"),
+        *[last(c) for c in ("stage", "label", "message", "progress", "stage_progress", "processed", "total", "cue_count")],
         F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("seq"))).alias("terminal"),
         F.max_by("_why", F.when(F.col("_why").isNotNull(), F.col("seq"))).alias("failure"),
+        F.max(F.when(frame, F.col("seq"))).alias("frame_seq"), F.max(F.when(F.col("preview_id").isNotNull(), F.col("seq"))).alias("preview_seq"),
     )
     newest = retain_latest(e.where("preview_id is not null"), RUN, "preview_id", thumbnails)
     thumbs = newest.groupBy(*RUN).agg(

@@ -121,17 +121,32 @@ def _fixed(value: str, digits: int) -> str:
     return f"cast(cast(round(cast({value} as decimal(28, 6)), {digits}) as decimal(28, {digits})) as varchar)"
 
 
-@query("report_lines", oracle("truth pred", f"""with rep as ({_REPORT})
-select video_id, i as line_no, case i when 0 then 'Visual subtitle timeline evaluation'
+@query("tier_a_rows", oracle("truth pred", f"""with {_MATCH}
+select t.video_id, t.idx as truth_idx, t.text as truth_text, pred_idx, p.text as pred_text, pred_idx is not null as matched,
+ coalesce(se = 0, false) as exact_start, coalesce(ee = 0, false) as exact_end, coalesce(se = 0 and ee = 0, false) as exact_both, se as start_error, ee as end_error
+from t left join m on m.video_id = t.video_id and m.truth_idx = t.idx left join p on p.video_id = t.video_id and p.idx = pred_idx where t.tier = 'A'"""))
+def tier_a_rows(spark, d):
+    return EV.tier_a_rows(*_key_matches(spark, d))
+
+
+@query("report_lines", oracle("truth pred", f"""with rep as ({_REPORT}), {_MATCH},
+bad as (select p.video_id, p.idx, p.text, p.start_frame, p.end_frame, 0 as side from p where not exists (select 1 from m where m.video_id = p.video_id and m.pred_idx = p.idx)
+ union all select t.video_id, t.idx, t.text, t.start_frame, t.end_frame, 1 from t where not exists (select 1 from m where m.video_id = t.video_id and m.truth_idx = t.idx))
+select video_id, (case when i < 7 then i else 7 + greatest(1, false_positive) end)::bigint as line_no, case i when 0 then 'Visual subtitle timeline evaluation'
  when 1 then '  Truth: '||truth||' | Prediction: '||prediction||' | Matched: '||matched
  when 2 then '  Detection: precision='||{_fixed('precision', 4)}||' recall='||{_fixed('recall', 4)}||' f1='||{_fixed('f1', 4)}
  when 3 then '  Text: exact='||exact_text||'/'||matched||' mean_similarity='||{_fixed('mean_similarity', 4)}
  when 4 then '  Boundaries: start_MAE='||{_fixed('start_frame_mae', 3)}||' frames end_MAE='||{_fixed('end_frame_mae', 3)}||' frames'
  when 5 then '  Tier A: matched='||tier_a_matched||'/'||tier_a_truth||' exact_both='||tier_a_exact_both||'/'||tier_a_truth||' result='||case when tier_a_passed then 'PASS' else 'FAIL' end
  when 6 then '  False positives ('||false_positive||'):' else '  False negatives ('||false_negative||'):' end as line
- from rep, unnest([0, 1, 2, 3, 4, 5, 6, 7]) u(i)"""))
+ from rep, unnest([0, 1, 2, 3, 4, 5, 6, 7]) u(i)
+union all select video_id, 7, '    (none)' from rep where false_positive = 0
+union all select video_id, 8 + greatest(1, false_positive), '    (none)' from rep where false_negative = 0
+union all select video_id, case side when 0 then 7 else 8 + greatest(1, false_positive) end + row_number() over (partition by video_id, side order by idx) - 1,
+ '    ['||idx||'] '||start_frame||'-'||end_frame||' '||text from bad join rep using (video_id)"""))
 def report_lines(spark, d):
-    return EV.report_lines(timeline_report(spark, d))
+    t, p, m = _key_matches(spark, d)
+    return EV.report_lines(EV.timeline_report(t, p, m, videos(t)), EV.unmatched(p, m, "pred"), EV.unmatched(t, m, "truth"))
 
 
 def _timed(spark, d, name):

@@ -128,12 +128,15 @@ def progress(spark, d):
         F.when(k % 3 != 0, F.col("seq") % 90).alias("processed"), F.when(k % 5 != 0, F.lit(90)).cast("long").alias("total"),
         F.when(k % 2 == 0, F.concat(F.lit("p"), (k % 12).cast("string"))).alias("preview_id"),
         (F.col("seq") % 50 + k / 100).alias("media_time"), F.concat(F.lit("cue-"), (k % 10).cast("string")).alias("cue_id"),
+        F.when(k % 7 == 0, F.concat(F.lit("part "), (k % 9).cast("string"))).alias("label"),
+        F.when(k % 6 != 0, F.col("seq") % 140 - 20).alias("stage_progress"), F.when(k % 8 == 0, F.col("seq") % 33).alias("cue_count"),
     )
 
 
 _PG = """pg as (select task_id, run_id, seq, type, occurred_at, progress, message, k, case k % 4 when 0 then 'coarse_ocr' when 1 then 'boundary_refinement' else 'probing' end as stage,
  case when k % 3 <> 0 then seq % 90 end as processed, case when k % 5 <> 0 then 90::bigint end as total, case when k % 2 = 0 then 'p'||(k % 12) end as preview_id,
- seq % 50 + k/100 as media_time, 'cue-'||(k % 10) as cue_id from progress)"""
+ seq % 50 + k/100 as media_time, 'cue-'||(k % 10) as cue_id, case when k % 7 = 0 then 'part '||(k % 9) end as label,
+ case when k % 6 <> 0 then seq % 140 - 20 end as stage_progress, case when k % 8 = 0 then seq % 33 end as cue_count from progress)"""
 
 
 @query("validate_events", oracle("progress", """select task_id, run_id, seq, type, message from progress where event_is_ok""".replace("event_is_ok", "seq % 37 <> 0 and seq % 41 <> 0 and seq % 43 <> 0")))
@@ -182,6 +185,45 @@ def parse_cursor(spark, d):
     return e.select("task_id", "run_id", "seq", F.col("c.run_id").alias("cursor_run"), F.col("c.seq").alias("cursor_seq"))
 
 
+@query("cursor_requests", oracle("progress", """select task_id, run_id, seq, case when seq % 5 in (0, 3) then null when seq % 5 = 1 then run_id when seq % 5 = 2 and seq % 2 = 0 then run_id end as asked_run,
+ case seq % 5 when 0 then null when 1 then seq when 2 then seq when 3 then null else 0 end as asked_seq,
+ case seq % 5 when 0 then 'conflict' when 3 then 'unreadable' end as error from progress"""))
+def cursor_requests(spark, d):
+    s, run = F.col("seq"), F.col("run_id")
+    other = F.when(s % 5 == 0, F.lit("f" * 32)).when((s % 5 == 1) | ((s % 5 == 2) & (s % 2 == 0)), run)
+    event = F.when(s % 5 < 2, F.concat(run, F.lit(":"), s.cast("string"))).when(s % 5 == 3, "x:1")
+    asked = F.when(s % 5 == 2, s.cast("string"))
+    out = load(spark, d, "progress").withColumn("c", EL.cursor_request(other, event, asked))
+    return out.select("task_id", "run_id", "seq", F.col("c.run_id").alias("asked_run"), F.col("c.seq").alias("asked_seq"), F.col("c.error").alias("error"))
+
+
+@query("resume_cursors", oracle("progress", """with r as (select task_id, run_id, max(seq) as latest, max((occurred_at, seq)) as newest from progress group by all),
+n as (select task_id, arg_max(run_id, newest) as run, arg_max(latest, newest) as latest from r group by 1),
+c as (select task_id, run_id as reader, case when latest % 3 = 0 then null else run_id end as run_id, case when latest % 2 = 0 then latest + 5 else latest // 2 end as seq from r)
+select c.task_id, reader, c.run_id, c.seq, run, case when c.seq > latest or coalesce(c.run_id <> run, false) then 0 else c.seq end as after,
+ c.seq > latest or coalesce(c.run_id <> run, false) as reset from c join n using (task_id)"""))
+def resume_cursors(spark, d):
+    e = load(spark, d, "progress")
+    latest = F.col("latest")
+    runs = e.groupBy("task_id", "run_id").agg(F.max("seq").alias("latest"))
+    cursors = runs.select(
+        "task_id", F.col("run_id").alias("reader"), F.when(latest % 3 != 0, F.col("run_id")).alias("run_id"),
+        F.when(latest % 2 == 0, latest + 5).otherwise(F.floor(latest / 2)).alias("seq"))
+    return EL.resume_cursors(cursors, e)
+
+
+@query("retain_previews", oracle("progress", f"""with {_PG}, e as (select distinct task_id, run_id from pg where type in ('job.completed', 'job.failed') and seq % 2 = 0),
+v as (select task_id, run_id, preview_id, max(seq) filter (k % 5 = 0) as kept, max(seq) as seq from pg where preview_id is not null group by all),
+o as (select *, row_number() over (partition by task_id, run_id order by seq desc) as rn from v where kept is null and not exists (select 1 from e where e.task_id = v.task_id and e.run_id = v.run_id))
+select task_id, run_id, preview_id, kept as seq, true as evidence from v where kept is not null union all select task_id, run_id, preview_id, seq, false from o where rn <= 2"""))
+def retain_previews(spark, d):
+    p = progress(spark, d)
+    k = load(spark, d, "progress").select("task_id", "run_id", "seq", (F.col("k") % 5 == 0).alias("evidence"))
+    previews = p.where("preview_id is not null").join(k, ["task_id", "run_id", "seq"])
+    ended = p.where("type in ('job.completed', 'job.failed') and seq % 2 = 0").select("task_id", "run_id").distinct()
+    return EL.retain_previews(previews, ended, 2)
+
+
 @query("retain_latest", oracle("progress", f"""with {_PG}, l as (select task_id, preview_id, max(seq) as seq from pg where preview_id is not null group by all)
 select task_id, preview_id, seq, rank from (select *, row_number() over (partition by task_id order by seq desc) as rank from l) q where rank <= 5"""))
 def retain_latest(spark, d):
@@ -251,7 +293,10 @@ def explode_candidates(spark, d):
 tr as (select task_id, run_id, string_agg(preview_id, ',' order by seq) as thumbnails from (select *, row_number() over (partition by task_id, run_id order by seq desc) as rn from th) q where rn <= 5 group by all),
 b as (select task_id, run_id, max(seq) as last_seq, arg_max(stage, seq) as stage, arg_max(message, seq) as message,
  arg_max(case when type = 'job.completed' then 100 else greatest(0, least(100, progress)) end::double, seq) as progress, arg_max(processed, seq) filter (processed is not null) as processed, arg_max(total, seq) filter (total is not null) as total,
- arg_max(string_split(type, '.')[2], seq) filter (type in ('job.completed', 'job.failed')) as terminal, arg_max(message, seq) filter (type = 'job.failed') as failure from pg group by all)
+ arg_max(string_split(type, '.')[2], seq) filter (type in ('job.completed', 'job.failed')) as terminal, arg_max(message, seq) filter (type = 'job.failed') as failure,
+ arg_max(label, seq) filter (label is not null) as label, arg_max(greatest(0, least(100, stage_progress))::double, seq) filter (stage_progress is not null) as stage_progress,
+ arg_max(cue_count, seq) filter (cue_count is not null) as cue_count, max(seq) filter (type = 'frame.analyzed') as frame_seq,
+ max(seq) filter (type = 'frame.analyzed' and preview_id is not null) as preview_seq from pg group by all)
 select b.*, thumbnails from b left join tr using (task_id, run_id)"""))
 def progress_state(spark, d):
     return EL.progress_state(progress(spark, d)).withColumn("thumbnails", F.array_join("thumbnails", ","))

@@ -26,8 +26,11 @@ def write_cues_json(cues: DataFrame, path: str) -> None:
     _ranged(rows, "video_id", "number").write.mode("overwrite").partitionBy("video_id").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").json(path)
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """A folder of JSON rows per section of the report, by video; the summary is one row per video."""
+    for name, rows in sections.items():
+        out = rows if name == "summary" else _ranged(rows, "video_id", "truth_idx" if "truth_idx" in rows.columns else "idx")
+        out.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def append_events(events: DataFrame, path: str) -> None:

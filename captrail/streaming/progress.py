@@ -113,6 +113,37 @@ def progress_state_stream(stream: DataFrame, thumbnails: int = 5, live: float |
     return state_fold(stream, ["task_id"], ["occurred_at", "seq"], lambda: Reducer(thumbnails), PROGRESS, live, linger)
 
 
+class CursorEpochs(StateFold):
+    """Per task: the newest run, how far it is, and how many runs there were; answers readers by it."""
+
+    STATE = "run string, latest long, epoch long"
+
+    def __init__(self):
+        self.run, self.latest, self.epoch = None, 0, 0
+
+    def push(self, row):
+        if row["reader"] is None:
+            if row["run_id"] != self.run:
+                self.run, self.latest, self.epoch = row["run_id"], 0, self.epoch + 1
+            self.latest = max(self.latest, row["seq"])
+            return ()
+        known = self.run is not None
+        reset = known and (row["seq"] > self.latest or row["run_id"] not in (None, self.run))
+        return [{"task_id": row["task_id"], "reader": row["reader"], "run": self.run, "after": 0 if reset else row["seq"], "reset": reset, "epoch": self.epoch}]
+
+
+RESUME = T.StructType([T.StructField("task_id", T.StringType()), T.StructField("reader", T.StringType()), T.StructField("run", T.StringType()),
+                       T.StructField("after", T.LongType()), T.StructField("reset", T.BooleanType()), T.StructField("epoch", T.LongType())])
+
+
+def resume_stream(stream: DataFrame, live: float | None = 86_400.0) -> DataFrame:
+    """Answers to readers as they come, in one stream with the events they read: (task_id, run_id, seq, occurred_at, reader).
+
+    ``reader`` is null for events. A reader of another run, or one ahead of the log, starts over.
+    """
+    return state_fold(stream, ["task_id"], ["occurred_at", "reader", "seq"], CursorEpochs, RESUME, live, None)
+
+
 class SingleTerminal(StateFold):
     """Pass events of a run up to and including its first terminal event."""
 

@@ -75,10 +75,20 @@ def test_progress_state_equals_batch(spark, events, tmp_path):
     for r in got:
         last[r["run_id"]] = max(last.get(r["run_id"], r), r, key=lambda x: x["last_seq"])
     want = EL.progress_state(events).withColumn("thumbnails", F.array_join("thumbnails", ",")).collect()
-    fields = ("last_seq", "stage", "message", "progress", "processed", "total", "terminal", "failure", "thumbnails")
+    fields = ("last_seq", "stage", "label", "message", "progress", "stage_progress", "processed", "total", "cue_count", "terminal", "failure",
+              "frame_seq", "preview_seq", "thumbnails")
     assert {r["run_id"]: tuple(r[f] for f in fields) for r in want} == {k: tuple(r[f] for f in fields) for k, r in last.items()}
 
 
+def test_readers_resume_as_in_batch(spark, events, tmp_path):
+    runs = events.groupBy("task_id", "run_id").agg(F.max("seq").alias("latest"), F.lit("2100-01-01").cast("timestamp").alias("occurred_at"))
+    ask = runs.select("task_id", F.when(F.col("latest") % 3 != 0, F.col("run_id")).alias("run_id"), (F.col("latest") % 2 * 100000 + 7).alias("seq"), "occurred_at", F.col("run_id").alias("reader"))
+    both = events.select("task_id", "run_id", "seq", "occurred_at", F.lit(None).cast("string").alias("reader")).unionByName(ask)
+    got = replay(spark, both, tmp_path / "in", ST.resume_stream, "resume", files=1)
+    want = EL.resume_cursors(ask, events).select("task_id", "reader", "run", "after", "reset").collect()
+    assert sorted((r.task_id, r.reader, r.run, r.after, r.reset) for r in got) == sorted(map(tuple, want)) and any(r.reset for r in got) and any(not r.reset for r in got)
+
+
 def test_single_terminal(spark, events, tmp_path):
     got = replay(spark, events, tmp_path / "in", ST.single_terminal, "terminal")
     ends = [r for r in got if r["type"] in EL.TERMINAL_TYPES]
