@@ -34,19 +34,36 @@ def fold(c: Column) -> Column:
     odd = "".join(ch for ch in map(chr, range(0x250)) if ch.casefold() != ch.lower() and ch != "ß")
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in long])
     spelled = F.aggregate(pairs, sharp, lambda t, x: F.replace(t, x["a"], x["b"]))
-    return F.when(sharp.rlike(rf"[^\x00-\x{{24F}}]|[{odd}]"), F.translate(spelled, letters, folded)).otherwise(F.lower(sharp))
+    usual = F.octet_length(sharp) == F.char_length(sharp)
+    usual = usual | sharp.rlike(rf"\A[\x00-\x{{24F}}&&[^{odd}]]*+\z")
+    return F.when(usual, F.lower(sharp)).otherwise(F.translate(spelled, letters, folded))
+
+
+# Forms of a folded text; a query that needs several folds once.
+
+
+def caption_of(folded: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(folded, F.lit("_"), F.lit(" ")), r"[^\p{L}\p{N}']+", " "))
+
+
+def fragment_of(folded: Column) -> Column:
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}_']+", " "))
+
+
+def compact_of(folded: Column) -> Column:
+    return F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", "")
 
 
 def norm_caption(c: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(F.translate(c, "_", " ")), r"[^\p{L}\p{N}']+", " "))
+    return caption_of(fold(c))
 
 
 def norm_fragment(c: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}_']+", " "))
+    return fragment_of(fold(c))
 
 
 def compact_caption(c: Column) -> Column:
-    return F.regexp_replace(fold(c), r"[^\p{L}\p{N}_]+", "")
+    return compact_of(fold(c))
 
 
 @F.pandas_udf(StringType())
@@ -55,24 +72,31 @@ def _norm_eval_unicode(values: pd.Series) -> pd.Series:
         if value is None:
             return None
         folded = unicodedata.normalize("NFKC", value).casefold()
-        return " ".join("".join(ch if ch.isalnum() else " " for ch in folded).split())
+        for ch in set(folded):
+            if not ch.isalnum():
+                folded = folded.replace(ch, " ")
+        return " ".join(folded.split())
 
     return values.map(one, na_action="ignore")
 
 
 def norm_eval(c: Column) -> Column:
     """Evaluation text. Only rows with non-ASCII text reach Python."""
-    plain = c.rlike(r"\A[\x00-\x7f]*\z")
+    plain = F.octet_length(c) == F.char_length(c)
     ascii_form = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     return F.when(plain, ascii_form).otherwise(_norm_eval_unicode(F.when(~plain, c)))
 
 
+def without_spaces(norm: Column) -> Column:
+    return F.replace(norm, F.lit(" "), F.lit(""))
+
+
 def compact_eval(c: Column) -> Column:
-    return F.replace(norm_eval(c), F.lit(" "), F.lit(""))
+    return without_spaces(norm_eval(c))
 
 
 def clean_ocr(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(c, "|", "I"), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(c, F.lit("|"), F.lit("I")), r"(?U)\s+", " "))
 
 
 def clean_text(c: Column) -> Column:
@@ -83,7 +107,7 @@ def clean_text(c: Column) -> Column:
 
 
 def variation_key(c: Column) -> Column:
-    return F.regexp_replace(fold(c), r"[^\p{L}\p{N}_]+", "")
+    return compact_of(fold(c))
 
 
 def tokens(norm: Column) -> Column:

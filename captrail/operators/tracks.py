@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,16 @@ from captrail.operators.ordered import ordered, time_chunk
 _GAPS = re.compile(r"[^\w']+")
 
 
+@lru_cache(1 << 16)
 def caption_norm(text: str) -> str:
     return _GAPS.sub(" ", text.casefold().replace("_", " ")).strip()
 
 
+@lru_cache(1 << 16)
+def caption_words(norm: str) -> frozenset[str]:
+    return frozenset(norm.split())
+
+
 def sessionize(obs: DataFrame, cfg: CaptionConfig = CaptionConfig()) -> DataFrame:
     """Add ``session_id``: the first time stamp of a stretch no track can leave.
 
@@ -68,7 +75,7 @@ class Association(Fold):
         if self.now and row["ts"] != self.now[0]["ts"]:
             out = self._settle()
         row["norm"] = caption_norm(row["text"])
-        row["words"] = frozenset(row["norm"].split())
+        row["words"] = caption_words(row["norm"])
         row["spot"] = B.Spot.of((row["x1"], row["y1"], row["x2"], row["y2"]))
         self.now.append(row)
         return out

@@ -23,11 +23,12 @@ from documents"""
 
 @query("text_forms", _FORMS)
 def text_forms(spark, d):
-    t = F.col("text")
-    return load(spark, d, "documents").select(
-        "doc_id", T.norm_caption(t).alias("caption"), T.norm_fragment(t).alias("fragment"),
-        T.norm_eval(t).alias("eval"), T.compact_eval(t).alias("eval_compact"),
-        T.compact_caption(t).alias("caption_compact"), T.variation_key(t).alias("variation"),
+    t, folded, normal = F.col("text"), F.col("_folded"), F.col("_eval")
+    docs = load(spark, d, "documents").select("doc_id", "text", T.fold(t).alias("_folded"), T.norm_eval(t).alias("_eval"))
+    return docs.select(
+        "doc_id", T.caption_of(folded).alias("caption"), T.fragment_of(folded).alias("fragment"),
+        normal.alias("eval"), T.without_spaces(normal).alias("eval_compact"),
+        T.compact_of(folded).alias("caption_compact"), T.compact_of(folded).alias("variation"),
         T.clean_ocr(t).alias("ocr_clean"), T.clean_text(t).alias("editor_clean"),
     )
 
