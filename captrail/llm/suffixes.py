@@ -5,7 +5,8 @@ equal places. So suffixes are dealt into buckets by anchor gram and place, and o
 carry text. A task sorts one block of buckets at a time: by the first ``PERIOD`` bytes, then, for the long ties, by the
 ranks of cover samples. The cover has for any two suffixes a common shift below ``PERIOD`` at which both are samples; the
 sample ranks reach over ``LENGTH - PERIOD`` bytes and the last ``PERIOD`` bytes are compared directly. Memory is bounded
-by the block, never by the corpus. Buckets of very many anchors are dealt by whole strings instead.
+by the block, never by the corpus. In buckets of very many anchors, those with equal surroundings count as one, and what
+is left is dealt by whole strings instead, which two 64-bit hashes tell apart.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ PIECE = 1 << 18
 BLOCK = 3 << 18
 AT_ONCE = 300_000
 BIG = 12_000
-_LETTERS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTERS, _OTHERS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER)
                     for j in range(PERIOD)] for i in range(PERIOD)])
@@ -51,6 +52,12 @@ def string_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * _DOWN[: len(data) - width + 1])
 
 
+def context_hashes(data: np.ndarray, letters: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Hashes of the ``width`` bytes from each start, which may differ in length."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters[data] * _UP[: len(data)], dtype=np.uint64)))
+    return mix((sums[start + width] - sums[start]) * _DOWN[start])
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchor position of the string at every start, and the gram hashes."""
     hashes = string_hashes(data, GRAM)
@@ -87,7 +94,7 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarr
         yield owner, offset, np.array(begin), np.frombuffer(b"".join(held), np.uint8)
 
 
-ANCHORS = "t long, bucket long, start long, n int, place int"
+ANCHORS = "t long, bucket long, start long, n int, place int, one long, two long"
 
 
 def _find(batches):
@@ -105,10 +112,12 @@ def _find(batches):
             n = np.bincount(run, minlength=len(first))
             who = text[first]
             key = np.array(owner)[who]
+            one, two = (context_hashes(data, letters, first, n + LENGTH - 1).view(np.int64) for letters in (_LETTERS, _OTHERS))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(t[key]), pa.array(hashes[at[first]].view(np.int64)),
-                 pa.array(first - begin[who] + np.array(offset)[who]), pa.array(n.astype(np.int32)), pa.array((at[first] - first).astype(np.int32))],
-                names=["t", "bucket", "start", "n", "place"])
+                 pa.array(first - begin[who] + np.array(offset)[who]), pa.array(n.astype(np.int32)), pa.array((at[first] - first).astype(np.int32)),
+                 pa.array(one), pa.array(two)],
+                names=["t", "bucket", "start", "n", "place", "one", "two"])
 
 
 def _several(batches):
@@ -351,8 +360,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = found.repartition("bucket").sortWithinPartitions("bucket", "t", "start")
     anchored = stage(placed.mapInArrow(_several, ANCHORS))
     big = stage(anchored.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > BIG))
-    crowded = not big.isEmpty()
-    anchored = anchored.join(big, "bucket", "left") if crowded else anchored.withColumn("members", F.lit(None).cast("long"))
+    anchored, whole = anchored.withColumn("members", F.lit(None).cast("long")), None
+    if not big.isEmpty():
+        anchored, whole = _crowded(anchored.drop("members").join(big, "bucket", "left"))
     marks = anchored.groupBy("t").agg(F.collect_set(
         F.struct("bucket", "start", "n", "place", F.col("members").isNotNull().alias("crowded"))).alias("marks"))
     packed = rows.mapInArrow(_pack, "doc_id long, t long, packed binary, size long")
@@ -364,11 +374,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = texts.select("r.t", "r.packed", "r.size", "k.marks").mapInArrow(_cut, CONTEXTS)
     contexts = contexts.repartition("bucket").sortWithinPartitions("bucket", "context", "place", "t", "start")
     spans = contexts.mapInArrow(_sort, SPANS)
+    spans = spans if whole is None else spans.union(whole)
     per_text = spans.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     facts = keys.select("t", "copies").join(per_text, "t", "left")
     return packed.join(facts, "t").select("doc_id", "packed", "size", "copies", "spans").mapInArrow(_remove, KEPT)
 
 
+def _crowded(anchored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The anchors whose strings are still to be compared, and the runs of those that are repeated as a whole.
+
+    In a crowded bucket, anchors of equal contexts, by two hashes, are one class: each member's run is repeated as it is,
+    one row for it, and only one member stays for comparison with contexts that differ.
+    """
+    same = ["bucket", "place", "n", "one", "two"]
+    spot = F.struct("t", "start")
+    crowd = anchored.where("members is not null")
+    classes = crowd.groupBy(*same).agg(F.min(spot).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    crowd = stage(crowd.join(classes, same, "left"))
+    rest = crowd.where(F.col("first").isNull() | (F.col("first") == spot)).drop("first")
+    whole = crowd.where("first is not null").select("t", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
+    return anchored.where("members is null").unionByName(rest), whole
+
+
 def _named(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a 64-bit name ``t`` of their text, and a row per text with its least id and its copies.
 
