@@ -14,7 +14,7 @@ from captrail.functions.numeric import half_even, safe_ratio
 from captrail.functions.similarity import caption_similarity, eval_similarity
 from captrail.operators.components import components
 from captrail.operators.folds import Fold, cut, fold_groups, spread
-from captrail.operators.intervals import overlap_join
+from captrail.operators.intervals import overlap_join, points_in_spans
 from captrail.operators.ordered import ordered
 from captrail.operators.textjoin import candidate_pairs, contained_pairs
 
@@ -491,6 +491,24 @@ def proxy_report(ref: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFra
     )
 
 
+def binned_boundary_errors(reference: DataFrame, cues: DataFrame) -> DataFrame:
+    """How far the ends of coarse reference segments are from the first and last cue in them, per video.
+
+    ``reference``: (video_id, segment, start_time, end_time); a cue belongs to the segment that holds its middle, the end
+    excluded. Segments without a cue are counted only.
+    """
+    ref = reference.select("video_id", "segment", F.col("start_time").alias("_rs"), F.col("end_time").alias("_re"))
+    own = cues.select("video_id", F.col("start_time").alias("_s"), F.col("end_time").alias("_e"), ((F.col("start_time") + F.col("end_time")) / 2).alias("_mid"))
+    held = points_in_spans(ref, own, ["video_id"], (F.col("_rs"), F.col("_re")), F.col("_mid"), width=64.0).where("_mid < _re")
+    bins = held.groupBy("video_id", "segment", "_rs", "_re").agg(F.min("_s").alias("_first"), F.max("_e").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    start, end = F.abs(F.col("_first") - F.col("_rs")), F.abs(F.col("_last") - F.col("_re"))
+    found = bins.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("filled"), F.sum("_n").alias("cues"), half_even(F.avg(start), 6).alias("start_mae"),
+        half_even(F.avg(end), 6).alias("end_mae"), half_even(F.max(end), 6).alias("max_end_error"),
+    )
+    return reference.groupBy("video_id").agg(F.count(F.lit(1)).alias("segments")).join(found, "video_id", "left").fillna(0, ["filled", "cues"])
+
+
 def error_rates(a_norm: Column, b_norm: Column) -> dict[str, Column]:
     """Word and character edits of ``b`` against reference ``a`` (normal forms)."""
     ta, tb = TX.tokens(a_norm), TX.tokens(b_norm)

@@ -74,6 +74,7 @@ CHUNKS = T.ArrayType(T.StructType([
     T.StructField("end_time", T.DoubleType()), T.StructField("confidence", T.DoubleType()),
 ]))
 
+# Ends of sentences and clauses.
 _SENTENCE = re.compile(r"[.!?][\"']?$")
 _CLAUSE = re.compile(r"[,;:][\"']?$")
 
@@ -157,6 +158,7 @@ def join_asr(events: DataFrame, asr: DataFrame, pad: float = 0.45, width: float
     )
 
 
+# What counts as a spoken word, and what parts words.
 _SPOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _NOT_WORD = re.compile(r"[^\w]+")
 _GAPS = re.compile(r"[^\w']+")

@@ -82,7 +82,7 @@ def task_summary(tasks: DataFrame) -> DataFrame:
 
 
 def parent_state(tasks: DataFrame) -> DataFrame:
-    """Status of a task from its two sources."""
+    """Status of a task from its two sources. The messages are fixed values."""
     t = tasks.withColumns({
         "_vs": source_status("visual"), "_as": source_status("audio"),
         "_vp": source_progress("visual"), "_ap": source_progress("audio"),

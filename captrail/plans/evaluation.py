@@ -193,3 +193,15 @@ g as (select video_id, cast(sum(levenshtein(a, b)) as bigint) as char_edits, cas
 select *, coalesce(round_even(char_edits/nullif(chars, 0), 6), 0) as cer from g"""))
 def character_error_rates(spark, d):
     return corpus_error_rates(spark, d).select("video_id", "char_edits", "chars", "words", "cer")
+
+
+@query("binned_boundary_errors", oracle("truth pred", """with r as (select video_id, cast(floor(start_frame/4000) as bigint) as segment, min(start_frame)/30 as rs, max(end_frame + 1)/30 as re from truth group by all),
+c as (select video_id, start_frame/30 as s, (end_frame + 1)/30 as e from pred),
+b as (select r.video_id, segment, rs, re, min(s) as f, max(e) as l, count(*) as n from r join c on c.video_id = r.video_id and (s + e)/2 >= rs and (s + e)/2 < re group by all),
+g as (select video_id, count(*) as filled, sum(n)::bigint as cues, round_even(avg(abs(f - rs)), 6) as start_mae, round_even(avg(abs(l - re)), 6) as end_mae, round_even(max(abs(l - re)), 6) as max_end_error from b group by 1)
+select t.video_id, segments, coalesce(filled, 0) as filled, coalesce(cues, 0) as cues, start_mae, end_mae, max_end_error from (select video_id, count(*) as segments from r group by 1) t left join g using (video_id)"""))
+def binned_boundary_errors(spark, d):
+    segments = load(spark, d, "truth").groupBy("video_id", F.floor(F.col("start_frame") / 4000).alias("segment")).agg(
+        (F.min("start_frame") / 30).alias("start_time"), (F.max(F.col("end_frame") + 1) / 30).alias("end_time"))
+    cues = load(spark, d, "pred").select("video_id", (F.col("start_frame") / 30).alias("start_time"), ((F.col("end_frame") + 1) / 30).alias("end_time"))
+    return EV.binned_boundary_errors(segments, cues)

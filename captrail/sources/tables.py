@@ -143,7 +143,7 @@ from {lineitem}
 
 _TEXTS = """
 select d.doc_id, d.text as a, b.text as b, d.source
-from {documents} d join {benchmark} b on d.doc_id % 40 = b.item_id
+from (select *, doc_id % (select count(*) from {benchmark}) as item from {documents}) d join {benchmark} b on d.item = b.item_id
 """
 
 _BOXES = """
